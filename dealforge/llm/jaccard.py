@@ -201,6 +201,10 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     return packed.view(np.uint8)
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+
+
 def _sets_of(picked: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, n, s) of the wanted ids. A bit set spares most other texts; the join makes it exact."""
     bits = _filter_of(wanted)
@@ -219,6 +223,21 @@ def _sets_of(picked: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, "id", "left_semi")
 
 
+def _likely(pairs: DataFrame, listed: DataFrame) -> DataFrame:
+    """Of pairs (u, v) those that share enough list entries to link.
+
+    Sets of a and b shingles that overlap in t share l of their first a - t + l and b - t + l,
+    for any l (in the common order). With whole prefixes of both that is this l:
+    """
+    left = listed.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("hs").alias("hu"))
+    right = listed.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("hs").alias("hv"))
+    both = pairs.join(right, "v").join(left, "u")
+    t = F.ceil(NUMERATOR * (F.col("nu") + F.col("nv")) / (NUMERATOR + DENOMINATOR))
+    spare = lambda n: 1 - F.ceil(NUMERATOR * n / DENOMINATOR) + t
+    least = F.greatest(F.lit(1), F.least(spare(F.col("nu")), spare(F.col("nv"))))
+    return both.filter(F.size(F.array_intersect("hu", "hv")) >= least).select("u", "v")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (u, v) those that link."""
     left = sets.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("s").alias("su"))
@@ -253,14 +272,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lists = entries.repartition(F.col("h")).sortWithinPartitions("h", "d2").mapInArrow(_shared_lists, "h bigint, d2 bigint")
     reps = classes.filter("rep is not null").select("d2", "rep", "n")
     lists = checkpointed(lists.join(reps, "d2").select("h", F.col("rep").alias("id"), "n").distinct())
-    ids = checkpointed(lists.select("id").distinct())
-    sets = materialise(_sets_of(picked, ids), "sets")
+    listed = checkpointed(lists.groupBy("id", "n").agg(F.collect_list("h").alias("hs")))
 
     # Each list to its least member first.
     reach = lambda a, b: (DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b))
     hubs = lists.groupBy("h").agg(F.min(F.struct("id", "n")).alias("hub")).select("h", F.col("hub.id").alias("u"), F.col("hub.n").alias("nu"))
     stars = lists.join(hubs, "h").filter((F.col("id") != F.col("u")) & reach(F.col("n"), F.col("nu"))).select("u", F.col("id").alias("v")).distinct()
-    links = checkpointed(_verified(stars, sets))
+    likely = checkpointed(_likely(stars, listed))
+    links = checkpointed(_verified(likely, _sets_of(picked, _ids(likely))))
     parts = checkpointed(components(links))
 
     # Then members of different components, in lists that have them.
@@ -270,7 +289,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     a, b = rest.alias("a"), rest.alias("b")
     pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & reach(F.col("a.n"), F.col("b.n")))
     pairs = pairs.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
-    more = _verified(pairs, sets)
+    likely = checkpointed(_likely(pairs, listed))
+    more = _verified(likely, _sets_of(picked, _ids(likely)))
     final = components(links.unionByName(more)).select(F.col("node").alias("rep"), "component")
 
     named = classes.join(final, "rep", "left").select("d1", "d2", F.col("n").alias("size"), F.coalesce("component", "rep").alias("component"))
