@@ -21,7 +21,7 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, materialise
@@ -223,7 +223,11 @@ def _sets_of(picked: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.join(wanted, "id", "left_semi")
 
 
-def _likely(pairs: DataFrame, listed: DataFrame) -> DataFrame:
+def _needed(a, b):
+    return F.ceil(NUMERATOR * (a + b) / (NUMERATOR + DENOMINATOR))
+
+
+def _likely(pairs: DataFrame, listed: DataFrame, boundary: int) -> DataFrame:
     """Of pairs (u, v) those that share enough list entries to link.
 
     Sets of a and b shingles that overlap in t share l of their first a - t + l and b - t + l,
@@ -232,9 +236,10 @@ def _likely(pairs: DataFrame, listed: DataFrame) -> DataFrame:
     left = listed.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("hs").alias("hu"))
     right = listed.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("hs").alias("hv"))
     both = pairs.join(right, "v").join(left, "u")
-    t = F.ceil(NUMERATOR * (F.col("nu") + F.col("nv")) / (NUMERATOR + DENOMINATOR))
+    t = _needed(F.col("nu"), F.col("nv"))
     spare = lambda n: 1 - F.ceil(NUMERATOR * n / DENOMINATOR) + t
-    least = F.greatest(F.lit(1), F.least(spare(F.col("nu")), spare(F.col("nv"))))
+    light = F.greatest("nu", "nv") <= boundary  # one shared subset is enough
+    least = F.when(light, 1).otherwise(F.greatest(F.lit(1), F.least(spare(F.col("nu")), spare(F.col("nv")))))
     return both.filter(F.size(F.array_intersect("hu", "hv")) >= least).select("u", "v")
 
 
@@ -247,6 +252,19 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter((NUMERATOR + DENOMINATOR) * overlap >= NUMERATOR * (F.col("nu") + F.col("nv"))).select("u", "v")
 
 
+def _rarest_lists(sets: DataFrame) -> DataFrame:
+    """(h, id, n, most, place): list entries in the exact order of rarity among these sets.
+
+    most: how many shingles of a set another one has. Shingles of one set only come first and
+    make no list, so a prefix may be used up by them.
+    """
+    tokens = sets.select("id", "n", F.explode("s").alias("h")).withColumn("c", F.count("*").over(Window.partitionBy("h"))).filter("c > 1")
+    own = Window.partitionBy("id", "n")
+    ranked = tokens.withColumn("most", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("c", "h")))
+    ranked = ranked.withColumn("place", F.col("n") - F.col("most") + F.col("rank"))
+    return ranked.filter(F.col("place") <= F.col("n") + 1 - F.ceil(NUMERATOR * F.col("n") / DENOMINATOR)).select("h", "id", "n", "most", "place")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_shingles, component_id.
 
@@ -273,12 +291,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = classes.filter("rep is not null").select("d2", "rep", "n")
     lists = checkpointed(lists.join(reps, "d2").select("h", F.col("rep").alias("id"), "n").distinct())
     listed = checkpointed(lists.groupBy("id", "n").agg(F.collect_list("h").alias("hs")))
-
-    # Each list to its least member first.
-    reach = lambda a, b: (DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b))
-    hubs = lists.groupBy("h").agg(F.min(F.struct("id", "n")).alias("hub")).select("h", F.col("hub.id").alias("u"), F.col("hub.n").alias("nu"))
-    stars = lists.join(hubs, "h").filter((F.col("id") != F.col("u")) & reach(F.col("n"), F.col("nu"))).select("u", F.col("id").alias("v")).distinct()
-    likely = checkpointed(_likely(stars, listed))
+    # A prefix entry that no list has is in no other set, so this bounds a set's overlap with any:
+    most = F.when(F.col("n") <= boundary, F.col("n")).otherwise(F.ceil(NUMERATOR * F.col("n") / DENOMINATOR) - 1 + F.size("hs"))
+    lists = checkpointed(listed.select("id", "n", F.least("n", most).alias("most"), F.explode("hs").alias("h")))
+
+    # Each list to the member that may overlap most of itself.
+    hubs = lists.groupBy("h").agg(F.min(F.struct(-F.col("most") / F.col("n"), "id", "n", "most")).alias("hub")).select("h", F.col("hub.id").alias("u"), F.col("hub.n").alias("nu"), F.col("hub.most").alias("mu"))
+    stars = lists.join(hubs, "h").filter((F.col("id") != F.col("u")) & (_needed(F.col("n"), F.col("nu")) <= F.least("most", "mu"))).select("u", F.col("id").alias("v")).distinct()
+    likely = checkpointed(_likely(stars, listed, boundary))
     links = checkpointed(_verified(likely, _sets_of(picked, _ids(likely))))
     parts = checkpointed(components(links))
 
@@ -286,11 +306,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labelled = lists.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_lists = labelled.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("h")
     rest = checkpointed(labelled.join(open_lists, "h", "left_semi"))
-    a, b = rest.alias("a"), rest.alias("b")
-    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & reach(F.col("a.n"), F.col("b.n")))
-    pairs = pairs.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
-    likely = checkpointed(_likely(pairs, listed))
-    more = _verified(likely, _sets_of(picked, _ids(likely)))
+
+    def meet(how: str) -> DataFrame:
+        a, b = rest.alias("a"), rest.alias("b")
+        t = _needed(F.col("a.n"), F.col("b.n"))
+        fits = t <= F.least("a.most", "b.most")
+        if "place" in rest.columns:  # one of the shared shingles is as early as this in both
+            fits &= (F.col("a.place") <= F.col("a.n") - t + 1) & (F.col("b.place") <= F.col("b.n") - t + 1)
+        order = F.col("a.id") < F.col("b.id") if how == "inner" else F.col("a.id") != F.col("b.id")
+        return a.join(b, (F.col("a.h") == F.col("b.h")) & order & (F.col("a.component") != F.col("b.component")) & fits, how)
+
+    # Sets that have a partner left are few: over these the lists are made anew from whole sets.
+    active = checkpointed(meet("left_semi").select("a.id").distinct())
+    sets = materialise(_sets_of(picked, active), "sets")
+    rest = checkpointed(_rarest_lists(sets).join(rest.select("id", "component").distinct(), "id"))
+    pairs = meet("inner").select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+    more = _verified(checkpointed(_likely(pairs, listed, boundary)), sets)
     final = components(links.unionByName(more)).select(F.col("node").alias("rep"), "component")
 
     named = classes.join(final, "rep", "left").select("d1", "d2", F.col("n").alias("size"), F.coalesce("component", "rep").alias("component"))
