@@ -1,4 +1,8 @@
 """All queries and their SQL equivalents."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from dealforge.plans import matches, prices, relational, text
+
+QUERIES: dict = prices.QUERIES | relational.QUERIES | text.QUERIES | matches.QUERIES
+ORACLE: dict = prices.ORACLE | relational.ORACLE | text.ORACLE | matches.ORACLE
