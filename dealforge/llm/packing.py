@@ -25,6 +25,7 @@ CAPACITY = 4096
 WIDTH = 8
 END_ID = 2
 MEMO_WORDS = 400_000
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SALTS = 64
 _LOADED: dict[str, tuple] = {}
 
@@ -38,11 +39,27 @@ def _load(path: str) -> tuple:
     return _LOADED[path]
 
 
+def cut(word: str) -> list[str]:
+    """Parts of a word that this tokenizer encodes each for itself: marks before, letters, marks after.
+
+    Letters and runs of marks are never one piece, but for apostrophes and special strings;
+    words with these stay whole.
+    """
+    if "'" in word or "<|" in word:
+        return [word]
+    core = word.strip(MARKS)
+    if len(core) == len(word) or not core or not (core[0].isalnum() and core[-1].isalnum()):
+        return [word]
+    at = word.index(core)
+    return [p for p in (word[:at], core.lower() if core.isascii() else core, word[at + len(core) :]) if p]
+
+
 def encoder(path: str):
     """A function from a text to its ids as little-endian bytes.
 
     This tokenizer drops white space and never merges over it, so a text's ids are those of its
-    words in order. Words recur: each worker encodes only new ones and keeps a bounded memo.
+    words in order, and a word's those of its parts. Both recur: each worker encodes only new
+    parts, many in a call, and keeps a bounded memo.
     """
     tokenizer, memo = _load(path)
 
@@ -50,10 +67,22 @@ def encoder(path: str):
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(memo) > MEMO_WORDS:
             memo.clear()
-        new = list({w for words in split for w in words if w not in memo})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            memo.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False)))
+        cuts, missing = {}, set()
+        for w in set().union(*split).difference(memo):
+            if w.isalpha() and (w.islower() or not w.isascii()):
+                missing.add(w)
+            else:
+                cuts[w] = cut(w)
+                missing.update(p for p in cuts[w] if p not in memo)
+        todo = list(missing)
+        for at in range(0, len(todo), 1024):
+            some = todo[at : at + 1024]
+            found = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4").tobytes()
+            ends = (4 * np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(some)).cumsum()).tolist()
+            memo.update(zip(some, [ids[a:b] for a, b in zip([0, *ends], ends)]))
+        for w, ps in cuts.items():
+            memo[w] = memo[ps[0]] if len(ps) == 1 else b"".join([memo[p] for p in ps])
         get = memo.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
