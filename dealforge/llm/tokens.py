@@ -1,6 +1,7 @@
 """Token counts: whole texts, cut at boundaries that no merge crosses, encoded in batches.
 
-A text is cut where one space stands between two other characters. No piece of the
+A text is cut where one space stands between two characters that are neither spaces nor the
+library's own mark for one. No piece of the
 vocabulary has a space mark after another character (checked when the model is loaded), and
 the library writes a space mark before each text that it is given, so the cut space is not
 lost and the counts of the parts add up to the count of the whole. Parts recur, so each
@@ -20,12 +21,12 @@ from pyspark.sql import functions as F
 
 MEMO_PARTS = 400_000
 BATCH_BYTES = 1 << 20
-_CUT = re.compile(r"(?<=[^ ]) (?=[^ ])")
+_CUT = re.compile(r"(?<=[^ ▁]) (?=[^ ▁])")
 _LOADED: dict[str, tuple] = {}
 
 
 def cut(text: str) -> list[str]:
-    if "  " in text or text[:1] == " " or text[-1:] == " ":
+    if "  " in text or "▁" in text or text[:1] == " " or text[-1:] == " ":
         return _CUT.split(text)
     return text.split(" ")
 
