@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dealforge.plans import matches, prices, relational, text
+from dealforge.plans import matches, more, prices, relational, text
 
-QUERIES: dict = prices.QUERIES | relational.QUERIES | text.QUERIES | matches.QUERIES
-ORACLE: dict = prices.ORACLE | relational.ORACLE | text.ORACLE | matches.ORACLE
+_MODULES = (prices, relational, text, matches, more)
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE: dict = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
