@@ -80,8 +80,9 @@ def drop_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, th, gone): the positions of lines that each document loses. th is a hash of its text."""
     spark = docs.sparkSession
     at = F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST))
-    cuts = sorted(set(docs.select(at.alias("at")).approxQuantile("at", [i / n_batches for i in range(1, n_batches)], 0.02)))
-    batch = reduce(lambda x, c: x + F.when(F.col("at") > F.lit(int(c)), 1).otherwise(0), cuts, F.lit(0))
+    quantiles = docs.select(at.alias("at")).approxQuantile("at", [i / n_batches for i in range(1, n_batches)], 0.02)
+    cuts = sorted({min(int(q), LAST) for q in quantiles})  # as a double, LAST is one more
+    batch = reduce(lambda x, c: x + F.when(F.col("at") > F.lit(c), 1).otherwise(0), cuts, F.lit(0))
     lines = split_lines(docs, id_col, text_col).select(at.alias("at"), F.xxhash64(text_col).alias("th"), F.posexplode("_lines").alias("pos", "line"))
     keyed = lines.withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= least)
     keyed = keyed.select(batch.alias("batch"), "at", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key", F.char_length("key")).alias("h2"))
@@ -119,11 +120,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     such rows as one document; so do rows that repeat an id. Other columns stay as they are. An
     empty table gives no rows. Keys are compared by two 64-bit hashes.
     """
-    gone = drop_positions(docs, id_col, text_col, n_batches, least).withColumnRenamed("at", "_at").withColumnRenamed("th", "_th")
+    gone = drop_positions(docs, id_col, text_col, n_batches, least).withColumnRenamed("at", "_at").withColumnRenamed("th", "_th").withColumnRenamed("gone", "_gone")
     whole = split_lines(docs, id_col, text_col).withColumn("_at", F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST))).withColumn("_th", F.xxhash64(text_col))
     whole = whole.drop("_lines").join(gone, ["_at", "_th"], "left")
     whole = split_lines(whole, id_col, text_col)
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("gone"))
-    kept = F.when(F.col("gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.col("_lines")[i]), "\n"))
-    out = whole.withColumn("_kept", kept).withColumn("_n_lines", F.size("_lines").cast("bigint")).withColumn("_n_dropped", F.coalesce(F.size("gone"), F.lit(0)).cast("bigint"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    kept = F.when(F.col("_gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.col("_lines")[i]), "\n"))
+    out = whole.withColumn("_kept", kept).withColumn("_n_lines", F.size("_lines").cast("bigint")).withColumn("_n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"))
     return out.select(*[F.col("_kept").alias(c) if c == text_col else F.col(c) for c in docs.columns], "_n_lines", "_n_dropped")
