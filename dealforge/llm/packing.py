@@ -16,75 +16,102 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
+from .textkernel import chunks
 
 CAPACITY = 4096
 WIDTH = 8
 END_ID = 2
+CHUNK = 4 << 20  # bytes of text encoded at a time
 MEMO_WORDS = 400_000
-MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+MARKS = r"([!-&(-/:-@\[-`{-~]+)"
+#: ASCII without white space, controls and the apostrophe; Latin letters but the dotted capital I.
+PLAIN = r"^[!-&(-~\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{2af}]*$"
 SALTS = 64
 _LOADED: dict[str, tuple] = {}
 
 
 def _load(path: str) -> tuple:
+    """The tokenizer, the memo of parts, and which ids end a pre-token."""
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _LOADED[path] = (Tokenizer.from_file(path), {})
+        tokenizer = Tokenizer.from_file(path)
+        last = np.zeros(tokenizer.get_vocab_size(), bool)
+        last[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>") and i < len(last)]] = True
+        _LOADED[path] = (tokenizer, {"": b""}, last)
     return _LOADED[path]
 
 
-def cut(word: str) -> list[str]:
-    """Parts of a word that this tokenizer encodes each for itself: marks before, letters, marks after.
+def _cut(words: pa.Array) -> pa.Array:
+    """The parts, at single spaces, that this tokenizer encodes each for itself: runs of marks, and what is between.
 
-    Letters and runs of marks are never one piece, but for apostrophes and special strings;
-    words with these stay whole.
+    In a word of ASCII and Latin letters these never merge, and case does not matter, but for
+    apostrophes and special strings. All other words stay whole.
     """
-    if "'" in word or "<|" in word:
-        return [word]
-    core = word.strip(MARKS)
-    if len(core) == len(word) or not core or not (core[0].isalnum() and core[-1].isalnum()):
-        return [word]
-    at = word.index(core)
-    return [p for p in (word[:at], core.lower() if core.isascii() else core, word[at + len(core) :]) if p]
+    plain = pc.and_(pc.match_substring_regex(words, PLAIN), pc.invert(pc.match_substring(words, "<|")))
+    return pc.if_else(plain, pc.ascii_lower(pc.replace_substring_regex(words, MARKS, r" \1 ")), words)
+
+
+def _gather(pool: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of pool that codes name, one after the other, and the n + 1 ends of what they give."""
+    starts = ends[codes]
+    n = ends[codes + 1] - starts
+    out = np.concatenate([[0], n.cumsum()])
+    return pool[np.arange(out[-1]) + np.repeat(starts - out[:-1], n)], out
 
 
 def encoder(path: str):
-    """A function from a text to its ids as little-endian bytes.
+    """A function from an array of texts to the ids of all and the n + 1 offsets of the texts into them.
 
     This tokenizer drops white space and never merges over it, so a text's ids are those of its
-    words in order, and a word's those of its parts. Both recur: each worker encodes only new
-    parts, many in a call, and keeps a bounded memo.
+    words in order, and a word's those of its parts. Both recur: distinct words are found and cut
+    by Arrow, each worker encodes only new parts, many in a call, and keeps a bounded memo.
     """
-    tokenizer, memo = _load(path)
-
-    def encode(texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        cuts, missing = {}, set()
-        for w in set().union(*split).difference(memo):
-            if w.isalpha() and (w.islower() or not w.isascii()):
-                missing.add(w)
+    tokenizer, memo, last = _load(path)
+
+    def learn(parts: list[str]) -> None:
+        simple = [p.isalpha() and p.islower() and max(p) < "\u02b0" for p in parts]
+        # Lower-case Latin words are one pre-token each, so spaces keep them apart.
+        words = [p for p, yes in zip(parts, simple) if yes]
+        rest = [p for p, yes in zip(parts, simple) if not yes]
+        for at in range(0, len(words), 1024):
+            some = words[at : at + 1024]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(last[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                keep(some, ids, ends)
             else:
-                cuts[w] = cut(w)
-                missing.update(p for p in cuts[w] if p not in memo)
-        todo = list(missing)
-        for at in range(0, len(todo), 1024):
-            some = todo[at : at + 1024]
+                rest += some
+        for at in range(0, len(rest), 1024):
+            some = rest[at : at + 1024]
             found = tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, dtype="<u4").tobytes()
-            ends = (4 * np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(some)).cumsum()).tolist()
-            memo.update(zip(some, [ids[a:b] for a, b in zip([0, *ends], ends)]))
-        for w, ps in cuts.items():
-            memo[w] = memo[ps[0]] if len(ps) == 1 else b"".join([memo[p] for p in ps])
-        get = memo.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            keep(some, np.array(found.ids, dtype="<u4"), np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(some)).cumsum())
+
+    def keep(parts: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        raw, to = ids.tobytes(), (4 * ends).tolist()
+        memo.update(zip(parts, [raw[a:b] for a, b in zip([0, *to], to)]))
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        words = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        parts = pc.split_pattern(_cut(coded.dictionary), " ")
+        of_parts = parts.flatten().dictionary_encode()
+        names = of_parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+            memo[""] = b""
+        learn([p for p in names if p not in memo])
+        got = [memo[p] for p in names]
+        ends = np.concatenate([[0], np.cumsum([len(g) // 4 for g in got], dtype=np.int64)])
+        pool, ends = _gather(np.frombuffer(b"".join(got), "<u4"), ends, of_parts.indices.to_numpy())
+        pool, ends = _gather(pool, ends[parts.offsets.to_numpy()], coded.indices.to_numpy())
+        return pool, ends[words.offsets.to_numpy()]
 
     return encode
 
@@ -95,16 +122,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
         end = END_ID.to_bytes(4, "little")
-        for b in batches:
-            rows: list[tuple] = []
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                for row, ids in enumerate(encode(part.column(1).to_pylist()), at):
-                    ids += end
-                    n = len(ids) // 4
-                    rows += [(row, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n) for s in range(0, n, capacity)]
-            at, start, length, crc, n = (pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * 5))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), start, length, crc, n], names=[id_col, "start", "length", "ids_crc32", "doc_tokens"])
+        for whole in batches:
+            for b in chunks(whole, size=CHUNK):
+                ids, ends = encode(b.column(1))
+                rows: list[tuple] = []
+                for row, (a, z) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                    raw = ids[a:z].tobytes() + end
+                    n = z - a + 1
+                    rows += [(row, s, min(capacity, n - s), zlib.crc32(raw[4 * s : 4 * (s + capacity)]), n) for s in range(0, n, capacity)]
+                at, start, length, crc, n = (pa.array(x, pa.int64()) for x in (zip(*rows) if rows else [[]] * 5))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), start, length, crc, n], names=[id_col, "start", "length", "ids_crc32", "doc_tokens"])
 
     picked = docs.select(F.col(id_col), F.col(text_col).alias("text"))
     kind = picked.schema[0].dataType.simpleString()
