@@ -35,6 +35,7 @@ WINDOW = 1 << 21  # shingles that a task counts at a time
 FREQUENT = 48
 FILTER_BITS = 1 << 24  # 2 MB, whatever the input
 MAX_LIGHT = 12
+BEFORE = 16  # list entries before its own that a list entry carries
 
 
 def needed(a: int, b: int) -> int:
@@ -253,16 +254,18 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _rarest_lists(sets: DataFrame) -> DataFrame:
-    """(h, id, n, most, place): list entries in the exact order of rarity among these sets.
+    """(h, id, n, most, place, before): list entries in the exact order of rarity among these sets.
 
     most: how many shingles of a set another one has. Shingles of one set only come first and
-    make no list, so a prefix may be used up by them.
+    make no list, so a prefix may be used up by them. before: the last BEFORE entries of the same
+    set; where two sets share one of these, the pair has met already.
     """
     tokens = sets.select("id", "n", F.explode("s").alias("h")).withColumn("c", F.count("*").over(Window.partitionBy("h"))).filter("c > 1")
     own = Window.partitionBy("id", "n")
-    ranked = tokens.withColumn("most", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("c", "h")))
+    rarest = own.orderBy("c", "h")
+    ranked = tokens.withColumn("most", F.count("*").over(own)).withColumn("rank", F.row_number().over(rarest)).withColumn("before", F.collect_list("h").over(rarest.rowsBetween(-BEFORE, -1)))
     ranked = ranked.withColumn("place", F.col("n") - F.col("most") + F.col("rank"))
-    return ranked.filter(F.col("place") <= F.col("n") + 1 - F.ceil(NUMERATOR * F.col("n") / DENOMINATOR)).select("h", "id", "n", "most", "place")
+    return ranked.filter(F.col("place") <= F.col("n") + 1 - F.ceil(NUMERATOR * F.col("n") / DENOMINATOR)).select("h", "id", "n", "most", "place", "before")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,6 +316,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         fits = t <= F.least("a.most", "b.most")
         if "place" in rest.columns:  # one of the shared shingles is as early as this in both
             fits &= (F.col("a.place") <= F.col("a.n") - t + 1) & (F.col("b.place") <= F.col("b.n") - t + 1)
+            # The first shared entry is the earliest in both, so no pair is lost by this.
+            fits &= ~F.arrays_overlap("a.before", "b.before")
         order = F.col("a.id") < F.col("b.id") if how == "inner" else F.col("a.id") != F.col("b.id")
         return a.join(b, (F.col("a.h") == F.col("b.h")) & order & (F.col("a.component") != F.col("b.component")) & fits, how)
 
