@@ -26,8 +26,8 @@ from .textkernel import chunks
 CAPACITY = 4096
 WIDTH = 8
 END_ID = 2
-CHUNK = 4 << 20  # bytes of text encoded at a time
-MEMO_WORDS = 400_000
+CHUNK = 2 << 20  # bytes of text encoded at a time
+MEMO_WORDS = 200_000
 MARKS = r"([!-&(-/:-@\[-`{-~]+)"
 #: ASCII without white space, controls and the apostrophe; Latin letters but the dotted capital I.
 PLAIN = r"^[!-&(-~\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{2af}]*$"
