@@ -26,7 +26,7 @@ from .textkernel import chunks
 CAPACITY = 4096
 WIDTH = 8
 END_ID = 2
-CHUNK = 2 << 20  # bytes of text encoded at a time
+CHUNK = 1 << 19  # bytes of text encoded at a time
 MEMO_WORDS = 200_000
 MARKS = r"([!-&(-/:-@\[-`{-~]+)"
 #: ASCII without white space, controls and the apostrophe; Latin letters but the dotted capital I.
@@ -42,8 +42,7 @@ def _load(path: str) -> tuple:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        last = np.zeros(tokenizer.get_vocab_size(), bool)
-        last[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>") and i < len(last)]] = True
+        last = np.array([(tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(tokenizer.get_vocab_size())])
         _LOADED[path] = (tokenizer, {"": b""}, last)
     return _LOADED[path]
 
@@ -66,6 +65,16 @@ def _gather(pool: np.ndarray, ends: np.ndarray, codes: np.ndarray) -> tuple[np.n
     return pool[np.arange(out[-1]) + np.repeat(starts - out[:-1], n)], out
 
 
+def _stretches(text: str, size: int) -> Iterator[str]:
+    """A long text in stretches of about `size`, cut at single spaces, over which no ids merge."""
+    at = 0
+    while at < len(text):
+        to = text.find(" ", at + size)
+        to = len(text) if to < 0 else to
+        yield text[at:to]
+        at = to + 1
+
+
 def encoder(path: str):
     """A function from an array of texts to the ids of all and the n + 1 offsets of the texts into them.
 
@@ -124,7 +133,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_co
         end = END_ID.to_bytes(4, "little")
         for whole in batches:
             for b in chunks(whole, size=CHUNK):
-                ids, ends = encode(b.column(1))
+                if b.num_rows == 1 and b.column(1).is_valid()[0].as_py() and len(text := b.column(1)[0].as_py()) > CHUNK:
+                    ids = np.concatenate([encode(pa.array([t]))[0] for t in _stretches(text, CHUNK)])
+                    ends = np.array([0, len(ids)])
+                else:
+                    ids, ends = encode(b.column(1))
                 rows: list[tuple] = []
                 for row, (a, z) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
                     raw = ids[a:z].tobytes() + end

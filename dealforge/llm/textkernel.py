@@ -54,6 +54,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK) -> It
         stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()  # workers wait for later stages with what they keep
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
