@@ -114,13 +114,16 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _lister(frequent: np.ndarray, boundary: int):
-    """Rows (h, d2): the list entries and light subsets of each class that a task meets."""
+    """Rows (h, d2): the list entries and light subsets of each class that a task meets.
+
+    One more row of a class, (d2, d2, end), tells where its prefix ends in the common order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for whole in batches:
             for b in chunks(whole):
-                keys, owners = [], []
+                keys, owners, ended, ends = [], [], [], []
                 for found in shingle_sets(*buffers(b.column(0)), SHINGLE):
                     n = len(found)
                     if not n:
@@ -140,12 +143,18 @@ def _lister(frequent: np.ndarray, boundary: int):
                             listed = found[:p]
                         keys.append(listed)
                         owners.append(np.full(len(listed), owner, np.int64))
+                        ended.append(owner)
+                        late = len(frequent) and p > n - int(common.sum())
+                        ends.append((int(listed[-1]) >> 2) + ((1 << 62) if late else 0))
                     if n <= boundary:
                         subsets = [run_hashes(np.array(s, np.uint64) ^ np.uint64(0x5BD1E995), len(s))[0] for k in subset_sizes(n, boundary) for s in combinations(found.tolist(), k)]
                         keys.append(np.array(subsets, np.uint64))
                         owners.append(np.full(len(subsets), owner, np.int64))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners))], names=["h", "d2"])
+                    h, d = np.concatenate(keys).view(np.int64), np.concatenate(owners)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(d), pa.nulls(len(h), pa.int64())], names=["h", "d2", "end"])
+                if ended:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ended, ended, ends)], names=["h", "d2", "end"])
 
     return run
 
@@ -153,11 +162,16 @@ def _lister(frequent: np.ndarray, boundary: int):
 def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (h, d2): distinct rows of the lists that hold two classes at least.
 
-    Only the last row of a batch and whether its list was already sent are carried over.
+    Only the last row of a batch and whether its list was already sent are carried over. Rows
+    that tell a prefix's end pass through.
     """
     last: tuple[int, int] | None = None
     sent = False
     for b in batches:
+        told = b.filter(b.column(2).is_valid())
+        if told.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.nulls(told.num_rows, pa.int64()), *told.columns[1:]], names=["h", "d2", "end"])
+        b = b.filter(b.column(2).is_null())
         h, d = b.column(0).to_numpy(), b.column(1).to_numpy()
         if last is not None:
             h, d = np.concatenate([[last[0]], h]), np.concatenate([[last[1]], d])
@@ -178,7 +192,7 @@ def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             tail_sent = bool(keep[-1])
         last, sent = (int(h[-1]), int(d[-1])), tail_sent
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(d[keep])], names=["h", "d2"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(d[keep]), pa.nulls(int(keep.sum()), pa.int64())], names=["h", "d2", "end"])
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
@@ -228,20 +242,33 @@ def _needed(a, b):
     return F.ceil(NUMERATOR * (a + b) / (NUMERATOR + DENOMINATOR))
 
 
+def _least_shared(a, b, end_a, end_b, boundary: int):
+    """How many list entries sets of a and b shingles share at least if they link.
+
+    Of the two prefixes one ends first in the common order. What the sets share up to there is in
+    both prefixes, so in lists of both; beyond it that set has ceil(t n) - 1 shingles. The other
+    set's list entries say nothing of its overlap alone: one without a list may lie in the first
+    set beyond its prefix.
+    """
+    spare = lambda n: 1 - F.ceil(NUMERATOR * n / DENOMINATOR) + _needed(a, b)
+    first = F.when(end_a < end_b, spare(a)).when(end_b < end_a, spare(b)).otherwise(F.least(spare(a), spare(b)))
+    light = F.greatest(a, b) <= boundary  # one shared subset is enough
+    return F.when(light, 1).otherwise(F.greatest(F.lit(1), first))
+
+
 def _likely(pairs: DataFrame, listed: DataFrame, boundary: int) -> DataFrame:
     """Of pairs (u, v) those that share enough list entries to link.
 
-    Sets of a and b shingles that overlap in t share l of their first a - t + l and b - t + l,
-    for any l (in the common order). With whole prefixes of both that is this l:
+    16 bits of each entry are moved. Entries of a set that agree in these may be shared and are
+    counted once, so their number is added: no pair is lost by it.
     """
-    left = listed.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("hs").alias("hu"))
-    right = listed.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("hs").alias("hv"))
+    short = F.array_distinct(F.transform("hs", lambda h: (h.bitwiseAND(F.lit(65535)) - 32768).cast("smallint")))
+    slim = listed.select("id", "n", "end", F.size("hs").alias("m"), short.alias("hs"))
+    left, right = (slim.select(F.col("id").alias(x), *[F.col(c).alias(c + x) for c in ("n", "end", "m", "hs")]) for x in "uv")
     both = pairs.join(right, "v").join(left, "u")
-    t = _needed(F.col("nu"), F.col("nv"))
-    spare = lambda n: 1 - F.ceil(NUMERATOR * n / DENOMINATOR) + t
-    light = F.greatest("nu", "nv") <= boundary  # one shared subset is enough
-    least = F.when(light, 1).otherwise(F.greatest(F.lit(1), F.least(spare(F.col("nu")), spare(F.col("nv")))))
-    return both.filter(F.size(F.array_intersect("hu", "hv")) >= least).select("u", "v")
+    twice = F.least(F.col("mu") - F.size("hsu"), F.col("mv") - F.size("hsv"))
+    least = _least_shared(F.col("nu"), F.col("nv"), F.col("endu"), F.col("endv"), boundary)
+    return both.filter(F.size(F.array_intersect("hsu", "hsv")) + twice >= least).select("u", "v")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -289,18 +316,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     often = seen.filter("h is not null").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= threshold).select("h").toArrow()
     frequent = np.sort(often.column("h").to_numpy().view(np.uint64)) if often.num_rows else np.empty(0, np.uint64)
 
-    entries = picked.select("text").mapInArrow(_lister(frequent, boundary), "h bigint, d2 bigint")
-    lists = entries.repartition(F.col("h")).sortWithinPartitions("h", "d2").mapInArrow(_shared_lists, "h bigint, d2 bigint")
+    entries = picked.select("text").mapInArrow(_lister(frequent, boundary), "h bigint, d2 bigint, end bigint")
+    lists = entries.repartition(F.col("h")).sortWithinPartitions("h", "d2").mapInArrow(_shared_lists, "h bigint, d2 bigint, end bigint")
     reps = classes.filter("rep is not null").select("d2", "rep", "n")
-    lists = checkpointed(lists.join(reps, "d2").select("h", F.col("rep").alias("id"), "n").distinct())
-    listed = checkpointed(lists.groupBy("id", "n").agg(F.collect_list("h").alias("hs")))
-    # A prefix entry that no list has is in no other set, so this bounds a set's overlap with any:
-    most = F.when(F.col("n") <= boundary, F.col("n")).otherwise(F.ceil(NUMERATOR * F.col("n") / DENOMINATOR) - 1 + F.size("hs"))
-    lists = checkpointed(listed.select("id", "n", F.least("n", most).alias("most"), F.explode("hs").alias("h")))
+    lists = checkpointed(lists.join(reps, "d2").select("h", F.col("rep").alias("id"), "n", "end").distinct())
+    # A light set that is not listed has no prefix and links with light ones only.
+    listed = checkpointed(lists.groupBy("id", "n").agg(F.collect_list("h").alias("hs"), F.coalesce(F.max("end"), F.lit(0)).alias("end")).filter(F.size("hs") > 0))
+    lists = checkpointed(listed.select("id", "n", "end", F.size("hs").alias("shared"), F.explode("hs").alias("h")))
 
     # Each list to the member that may overlap most of itself.
-    hubs = lists.groupBy("h").agg(F.min(F.struct(-F.col("most") / F.col("n"), "id", "n", "most")).alias("hub")).select("h", F.col("hub.id").alias("u"), F.col("hub.n").alias("nu"), F.col("hub.most").alias("mu"))
-    stars = lists.join(hubs, "h").filter((F.col("id") != F.col("u")) & (_needed(F.col("n"), F.col("nu")) <= F.least("most", "mu"))).select("u", F.col("id").alias("v")).distinct()
+    most = F.when(F.col("n") <= boundary, F.col("n")).otherwise(F.least("n", F.ceil(NUMERATOR * F.col("n") / DENOMINATOR) - 1 + F.col("shared")))
+    hubs = lists.groupBy("h").agg(F.min(F.struct(-most / F.col("n"), "id", "n", "end", "shared")).alias("hub")).select("h", F.col("hub.id").alias("u"), F.col("hub.n").alias("nu"), F.col("hub.end").alias("eu"), F.col("hub.shared").alias("mu"))
+    enough = _least_shared(F.col("n"), F.col("nu"), F.col("end"), F.col("eu"), boundary) <= F.least("shared", "mu")
+    stars = lists.join(hubs, "h").filter((F.col("id") != F.col("u")) & enough).select("u", F.col("id").alias("v")).distinct()
     likely = checkpointed(_likely(stars, listed, boundary))
     links = checkpointed(_verified(likely, _sets_of(picked, _ids(likely))))
     parts = checkpointed(components(links))
@@ -313,9 +341,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def meet(how: str) -> DataFrame:
         a, b = rest.alias("a"), rest.alias("b")
         t = _needed(F.col("a.n"), F.col("b.n"))
-        fits = t <= F.least("a.most", "b.most")
-        if "place" in rest.columns:  # one of the shared shingles is as early as this in both
-            fits &= (F.col("a.place") <= F.col("a.n") - t + 1) & (F.col("b.place") <= F.col("b.n") - t + 1)
+        if "place" not in rest.columns:
+            fits = _least_shared(F.col("a.n"), F.col("b.n"), F.col("a.end"), F.col("b.end"), boundary) <= F.least("a.shared", "b.shared")
+        else:  # one of the shared shingles is as early as this in both
+            fits = (t <= F.least("a.most", "b.most")) & (F.col("a.place") <= F.col("a.n") - t + 1) & (F.col("b.place") <= F.col("b.n") - t + 1)
             # The first shared entry is the earliest in both, so no pair is lost by this.
             fits &= ~F.arrays_overlap("a.before", "b.before")
         order = F.col("a.id") < F.col("b.id") if how == "inner" else F.col("a.id") != F.col("b.id")

@@ -42,3 +42,22 @@ def test_packing_encoder_equals_the_library():
     assert ends[1] == 0
     for text, a, b in zip(texts, ends[1:-1], ends[2:]):
         assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_jaccard_of_cut_and_extended_copies(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):  # pairs alone, of unequal size, about the threshold
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(20, 160))]
+        cut = round(len(words) * rng.uniform(0.7, 0.9))
+        at = rng.randint(0, len(words) - cut)
+        other = words[at : at + cut] if i % 2 else words[:at] + [f"x{rng.randrange(10**6)}" for _ in range(len(words) - cut)] + words[at:]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    want = {}
+    for i in range(0, 600, 2):
+        linked = 100 * len(sets[i] & sets[i + 1]) >= 75 * len(sets[i] | sets[i + 1])
+        want |= {i: i, i + 1: i if linked else i + 1}
+    assert 60 < sum(k != v for k, v in want.items()) < 240
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want
