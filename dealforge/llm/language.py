@@ -2,7 +2,8 @@
 
 Texts are vectors of hashed byte trigrams around letters, sublinear counts times idf, unit
 length. Each language has a few centroids, clustered by cosine on a bounded sample; a text gets
-the language of the nearest one. A text farther from it than the calibrated bound is rejected.
+the language of the nearest one. A text farther from it than
+the bound of that language, a low quantile of held-out prose, is rejected.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ SIZE = 1 << BITS
 #: Bound of the training sample: so many rows of each language, and at most MAX_SAMPLE in all.
 SAMPLE, MAX_SAMPLE = 400, 4096
 CLUSTERS = 3
+FOLDS = 5
+REJECTED = 0.005  # the share of a language's held-out prose that its bound leaves out
+FEW = 20  # with fewer rows of prose a language's bound is half the least cosine
 UNKNOWN = "und"
 _LETTERS = np.zeros(256, dtype=np.uint8)
 _LETTERS[97:123] = np.arange(97, 123)
@@ -79,7 +83,7 @@ class Centroids:
     languages: list[str]  # of each centroid
     centres: np.ndarray
     idf: np.ndarray
-    reject_below: float
+    reject_below: np.ndarray  # of each centroid
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         tf = counts(texts)
@@ -89,14 +93,36 @@ class Centroids:
         cosine = weigh(tf, self.idf) @ self.centres.T
         best = cosine.argmax(axis=1)
         score = np.where(lettered, np.clip(cosine[np.arange(len(tf)), best], 0, 1), 0.0)
-        return [self.languages[j] if ok else UNKNOWN for j, ok in zip(best, lettered)], score, ~lettered | (score < self.reject_below)
+        return [self.languages[j] if ok else UNKNOWN for j, ok in zip(best, lettered)], score, ~lettered | (score < np.asarray(self.reject_below)[best])
+
+
+def prose(texts: pa.Array) -> np.ndarray:
+    """Whether a text is mostly letters, in words: spaces between, or another script's letters."""
+    out = []
+    for t in texts.to_pylist():
+        b = np.frombuffer((t or "").encode(), np.uint8)
+        white, letters = int((b <= 32).sum()), int((_LETTERS[b] > 0).sum())
+        out.append(letters >= 0.8 * max(1, len(b) - white) and (white >= 0.05 * len(b) or 2 * int((b >= 128).sum()) > len(b)))
+    return np.array(out, bool)
+
+
+def bound(x: np.ndarray, is_prose: np.ndarray, found: np.ndarray) -> float:
+    """The cosine below which a text is not in the language of the rows x, whose centroids are found.
+
+    A low quantile of the cosines of prose to centroids of the other folds.
+    """
+    if is_prose.sum() < FEW:
+        return 0.5 * float((x @ found.T).max(axis=1).min())
+    fold = np.arange(len(x)) % FOLDS
+    held = np.concatenate([(x[(fold == k) & is_prose] @ cluster(x[fold != k], CLUSTERS).T).max(axis=1) for k in range(FOLDS) if ((fold == k) & is_prose).any()])
+    return float(np.quantile(held, REJECTED, method="lower"))
 
 
 def train(labelled: DataFrame) -> Centroids:
     """labelled: (id, text, lang), lang not null. At most MAX_SAMPLE rows are fitted, by hash of id."""
     by_lang = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
     if not by_lang:
-        return Centroids([], np.empty((0, SIZE), np.float32), np.ones(SIZE, np.float32), 0.0)
+        return Centroids([], np.empty((0, SIZE), np.float32), np.ones(SIZE, np.float32), np.empty(0))
     each = max(8, min(SAMPLE, MAX_SAMPLE // len(by_lang)))
     share = F.create_map(*[F.lit(x) for lang, n in by_lang.items() for x in (lang, min(1.0, each / n))])
     unit = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_003)) / 1_000_003
@@ -106,24 +132,25 @@ def train(labelled: DataFrame) -> Centroids:
         for whole in batches:
             for b in chunks(whole, size=1 << 18):
                 tf = np.minimum(counts(b.column(1)), 65535).astype("<u2")
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in tf], pa.binary())], names=["id", "lang", "tf"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in tf], pa.binary()), pa.array(prose(b.column(1)))], names=["id", "lang", "tf", "prose"])
 
-    got = chosen.select("id", "text", "lang").mapInArrow(vectors, "id string, lang string, tf binary").limit(2 * MAX_SAMPLE).toArrow()
+    got = chosen.select("id", "text", "lang").mapInArrow(vectors, "id string, lang string, tf binary, prose boolean").limit(2 * MAX_SAMPLE).toArrow()
     order = sorted(range(got.num_rows), key=lambda i: (got["lang"][i].as_py(), got["id"][i].as_py() or ""))
     langs = np.array([got["lang"][i].as_py() for i in order])
     tf = np.stack([np.frombuffer(got["tf"][i].as_py(), "<u2") for i in order]).astype(np.float32) if order else np.empty((0, SIZE), np.float32)
+    is_prose = np.array([got["prose"][i].as_py() for i in order], bool)
     used = tf.any(axis=1)
-    langs, tf = langs[used], tf[used]
+    langs, tf, is_prose = langs[used], tf[used], is_prose[used]
     idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 1).astype(np.float32)
     x = weigh(tf, idf)
-    names, centres, nearest = [], [], [1.0]
+    names, centres, bounds = [], [], []
     for lang in sorted(set(langs)):
         own = x[langs == lang]
         found = cluster(own, CLUSTERS)
         names += [str(lang)] * len(found)
         centres.append(found)
-        nearest.append(float((own @ found.T).max(axis=1).min()))
-    return Centroids(names, np.concatenate(centres) if centres else np.empty((0, SIZE), np.float32), idf, 0.5 * min(nearest))
+        bounds += [bound(own, is_prose[langs == lang], found)] * len(found)
+    return Centroids(names, np.concatenate(centres) if centres else np.empty((0, SIZE), np.float32), idf, np.array(bounds))
 
 
 def identify(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataFrame:
