@@ -35,6 +35,8 @@ WINDOW = 1 << 21  # shingles that a task counts at a time
 FREQUENT = 48
 FILTER_BITS = 1 << 24  # 2 MB, whatever the input
 MAX_LIGHT = 12
+CELLS = 64  # steps of the common order at which a set's shingles are counted
+STEP = 62 - 6  # its bits below a cell's number
 BEFORE = 16  # list entries before its own that a list entry carries
 
 
@@ -113,17 +115,21 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield frequent(last)
 
 
+GRID = pa.list_(pa.int32())
+
+
 def _lister(frequent: np.ndarray, boundary: int):
     """Rows (h, d2): the list entries and light subsets of each class that a task meets.
 
-    One more row of a class, (d2, d2, end), tells where its prefix ends in the common order.
+    One more row of a class, (d2, d2, end, grid), tells where its prefix ends in the common order,
+    and how many of its shingles are in each of the cells up to there, and before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for whole in batches:
             for b in chunks(whole):
-                keys, owners, ended, ends = [], [], [], []
+                keys, owners, ended, ends, grids = [], [], [], [], []
                 for found in shingle_sets(*buffers(b.column(0)), SHINGLE):
                     n = len(found)
                     if not n:
@@ -138,23 +144,25 @@ def _lister(frequent: np.ndarray, boundary: int):
                         p = prefix_length(n)
                         if len(frequent):
                             common = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
-                            listed = np.concatenate([found[~common], found[common]])[:p]
+                            rare = found[~common]
+                            listed = np.concatenate([rare, found[common]])[:p]
                         else:
-                            listed = found[:p]
+                            rare, listed = found, found[:p]
                         keys.append(listed)
                         owners.append(np.full(len(listed), owner, np.int64))
                         ended.append(owner)
-                        late = len(frequent) and p > n - int(common.sum())
-                        ends.append((int(listed[-1]) >> 2) + ((1 << 62) if late else 0))
+                        ends.append((int(listed[-1]) >> 2) + ((1 << 62) if p > len(rare) else 0))
+                        steps = np.arange(1, min(CELLS, ends[-1] >> STEP) + 1, dtype=np.uint64) << np.uint64(STEP)
+                        grids.append(np.searchsorted(rare >> np.uint64(2), steps, "right").tolist())
                     if n <= boundary:
                         subsets = [run_hashes(np.array(s, np.uint64) ^ np.uint64(0x5BD1E995), len(s))[0] for k in subset_sizes(n, boundary) for s in combinations(found.tolist(), k)]
                         keys.append(np.array(subsets, np.uint64))
                         owners.append(np.full(len(subsets), owner, np.int64))
                 if keys:
                     h, d = np.concatenate(keys).view(np.int64), np.concatenate(owners)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(d), pa.nulls(len(h), pa.int64())], names=["h", "d2", "end"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(d), pa.nulls(len(h), pa.int64()), pa.nulls(len(h), GRID)], names=["h", "d2", "end", "grid"])
                 if ended:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ended, ended, ends)], names=["h", "d2", "end"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (ended, ended, ends)), pa.array(grids, GRID)], names=["h", "d2", "end", "grid"])
 
     return run
 
@@ -170,7 +178,7 @@ def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in batches:
         told = b.filter(b.column(2).is_valid())
         if told.num_rows:
-            yield pa.RecordBatch.from_arrays([pa.nulls(told.num_rows, pa.int64()), *told.columns[1:]], names=["h", "d2", "end"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(told.num_rows, pa.int64()), *told.columns[1:]], names=["h", "d2", "end", "grid"])
         b = b.filter(b.column(2).is_null())
         h, d = b.column(0).to_numpy(), b.column(1).to_numpy()
         if last is not None:
@@ -192,7 +200,7 @@ def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             tail_sent = bool(keep[-1])
         last, sent = (int(h[-1]), int(d[-1])), tail_sent
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(d[keep]), pa.nulls(int(keep.sum()), pa.int64())], names=["h", "d2", "end"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(d[keep]), pa.nulls(int(keep.sum()), pa.int64()), pa.nulls(int(keep.sum()), GRID)], names=["h", "d2", "end", "grid"])
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
@@ -242,18 +250,26 @@ def _needed(a, b):
     return F.ceil(NUMERATOR * (a + b) / (NUMERATOR + DENOMINATOR))
 
 
-def _least_shared(a, b, end_a, end_b, boundary: int):
-    """How many list entries sets of a and b shingles share at least if they link.
+def _least_shared(x: dict, y: dict, boundary: int):
+    """How many list entries sets x and y (columns n, end, grid) share at least if they link.
 
     Of the two prefixes one ends first in the common order. What the sets share up to there is in
-    both prefixes, so in lists of both; beyond it that set has ceil(t n) - 1 shingles. The other
-    set's list entries say nothing of its overlap alone: one without a list may lie in the first
-    set beyond its prefix.
+    both prefixes, so in lists of both. Beyond it each has its other shingles: all but its prefix if
+    its own ends there, else all but those it has in the cells before.
     """
-    spare = lambda n: 1 - F.ceil(NUMERATOR * n / DENOMINATOR) + _needed(a, b)
-    first = F.when(end_a < end_b, spare(a)).when(end_b < end_a, spare(b)).otherwise(F.least(spare(a), spare(b)))
+    a, b = x["n"], y["n"]
+    cell = F.least(F.shiftright(F.least(x["end"], y["end"]), STEP), F.lit(CELLS)).cast("int")
+
+    def beyond(own: dict, other: dict):
+        prefix = own["n"] - F.ceil(NUMERATOR * own["n"] / DENOMINATOR) + 1
+        return own["n"] - F.when(own["end"] <= other["end"], prefix).otherwise(F.coalesce(F.get(own["grid"], cell - 1), F.lit(0)))
+
     light = F.greatest(a, b) <= boundary  # one shared subset is enough
-    return F.when(light, 1).otherwise(F.greatest(F.lit(1), first))
+    return F.when(light, 1).otherwise(F.greatest(F.lit(1), _needed(a, b) - F.least(beyond(x, y), beyond(y, x))))
+
+
+def _side(prefix: str = "", suffix: str = "") -> dict:
+    return {c: F.col(f"{prefix}{c}{suffix}") for c in ("n", "end", "grid")}
 
 
 def _likely(pairs: DataFrame, listed: DataFrame, boundary: int) -> DataFrame:
@@ -263,11 +279,11 @@ def _likely(pairs: DataFrame, listed: DataFrame, boundary: int) -> DataFrame:
     counted once, so their number is added: no pair is lost by it.
     """
     short = F.array_distinct(F.transform("hs", lambda h: (h.bitwiseAND(F.lit(65535)) - 32768).cast("smallint")))
-    slim = listed.select("id", "n", "end", F.size("hs").alias("m"), short.alias("hs"))
-    left, right = (slim.select(F.col("id").alias(x), *[F.col(c).alias(c + x) for c in ("n", "end", "m", "hs")]) for x in "uv")
+    slim = listed.select("id", "n", "end", "grid", F.size("hs").alias("m"), short.alias("hs"))
+    left, right = (slim.select(F.col("id").alias(x), *[F.col(c).alias(c + x) for c in ("n", "end", "grid", "m", "hs")]) for x in "uv")
     both = pairs.join(right, "v").join(left, "u")
     twice = F.least(F.col("mu") - F.size("hsu"), F.col("mv") - F.size("hsv"))
-    least = _least_shared(F.col("nu"), F.col("nv"), F.col("endu"), F.col("endv"), boundary)
+    least = _least_shared(_side(suffix="u"), _side(suffix="v"), boundary)
     return both.filter(F.size(F.array_intersect("hsu", "hsv")) + twice >= least).select("u", "v")
 
 
@@ -316,25 +332,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     often = seen.filter("h is not null").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= threshold).select("h").toArrow()
     frequent = np.sort(often.column("h").to_numpy().view(np.uint64)) if often.num_rows else np.empty(0, np.uint64)
 
-    entries = picked.select("text").mapInArrow(_lister(frequent, boundary), "h bigint, d2 bigint, end bigint")
-    lists = entries.repartition(F.col("h")).sortWithinPartitions("h", "d2").mapInArrow(_shared_lists, "h bigint, d2 bigint, end bigint")
-    reps = classes.filter("rep is not null").select("d2", "rep", "n")
-    lists = checkpointed(lists.join(reps, "d2").select("h", F.col("rep").alias("id"), "n", "end").distinct())
+    kinds = "h bigint, d2 bigint, end bigint, grid array<int>"
+    entries = picked.select("text").mapInArrow(_lister(frequent, boundary), kinds)
+    lists = entries.repartition(F.col("h")).sortWithinPartitions("h", "d2").mapInArrow(_shared_lists, kinds)
+    reps = classes.filter("rep is not null").select("d2", F.col("rep").alias("id"), "n")
     # A light set that is not listed has no prefix and links with light ones only.
-    listed = checkpointed(lists.groupBy("id", "n").agg(F.collect_list("h").alias("hs"), F.coalesce(F.max("end"), F.lit(0)).alias("end")).filter(F.size("hs") > 0))
-    lists = checkpointed(listed.select("id", "n", "end", F.size("hs").alias("shared"), F.explode("hs").alias("h")))
+    prefix = [F.coalesce(F.max("end"), F.lit(0)).alias("end"), F.max("grid").alias("grid")]
+    listed = lists.join(reps, "d2").groupBy("d2", "id", "n").agg(F.collect_set("h").alias("hs"), *prefix).filter(F.size("hs") > 0)
+    listed = checkpointed(listed.drop("d2"))
+    lists = listed.select("id", "n", "end", "grid", F.size("hs").alias("shared"), F.explode("hs").alias("h"))
 
     # Each list to the member that may overlap most of itself.
     most = F.when(F.col("n") <= boundary, F.col("n")).otherwise(F.least("n", F.ceil(NUMERATOR * F.col("n") / DENOMINATOR) - 1 + F.col("shared")))
-    hubs = lists.groupBy("h").agg(F.min(F.struct(-most / F.col("n"), "id", "n", "end", "shared")).alias("hub")).select("h", F.col("hub.id").alias("u"), F.col("hub.n").alias("nu"), F.col("hub.end").alias("eu"), F.col("hub.shared").alias("mu"))
-    enough = _least_shared(F.col("n"), F.col("nu"), F.col("end"), F.col("eu"), boundary) <= F.least("shared", "mu")
-    stars = lists.join(hubs, "h").filter((F.col("id") != F.col("u")) & enough).select("u", F.col("id").alias("v")).distinct()
+    hubs = lists.groupBy("h").agg(F.min(F.struct(-most / F.col("n"), "id", "n", "end", "grid", "shared")).alias("hub")).select("h", *[F.col(f"hub.{c}").alias(f"{c}_u") for c in ("id", "n", "end", "grid", "shared")])
+    enough = _least_shared(_side(), _side(suffix="_u"), boundary) <= F.least("shared", "shared_u")
+    stars = lists.join(hubs, "h").filter((F.col("id") != F.col("id_u")) & enough).select(F.col("id_u").alias("u"), F.col("id").alias("v")).distinct()
     likely = checkpointed(_likely(stars, listed, boundary))
     links = checkpointed(_verified(likely, _sets_of(picked, _ids(likely))))
     parts = checkpointed(components(links))
 
     # Then members of different components, in lists that have them.
-    labelled = lists.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = listed.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = labelled.select("id", "n", "end", "grid", "component", F.size("hs").alias("shared"), F.explode("hs").alias("h"))
     open_lists = labelled.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("h")
     rest = checkpointed(labelled.join(open_lists, "h", "left_semi"))
 
@@ -342,7 +361,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         a, b = rest.alias("a"), rest.alias("b")
         t = _needed(F.col("a.n"), F.col("b.n"))
         if "place" not in rest.columns:
-            fits = _least_shared(F.col("a.n"), F.col("b.n"), F.col("a.end"), F.col("b.end"), boundary) <= F.least("a.shared", "b.shared")
+            fits = _least_shared(_side("a."), _side("b."), boundary) <= F.least("a.shared", "b.shared")
         else:  # one of the shared shingles is as early as this in both
             fits = (t <= F.least("a.most", "b.most")) & (F.col("a.place") <= F.col("a.n") - t + 1) & (F.col("b.place") <= F.col("b.n") - t + 1)
             # The first shared entry is the earliest in both, so no pair is lost by this.
