@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -11,21 +13,59 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_OWN: dict[str, str] = {}  # by application, the folder of its intermediate tables
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset, as in tests, a temporary one is made; but only if everything runs in one
+    process, since on a cluster the executors would not see it.
+    """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         known = sc._jsc.sc().getCheckpointDir()
     return known.get()
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A new path in a folder of this application's, which goes when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = f"{shared_dir(spark).rstrip('/')}/tables-{app}-{uuid.uuid4().hex}"
+        atexit.register(_remove_own, spark, app)
+    return f"{_OWN[app]}/{what}-{uuid.uuid4().hex}"
+
+
+def _remove_own(spark: SparkSession, app: str) -> None:
+    sc = spark.sparkContext
+    if sc._jsc is not None and sc.applicationId == app and not sc._jsc.sc().isStopped():
+        remove(spark, _OWN[app])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table of shared_path() that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until no column of docs is called so (case aside)."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:
@@ -40,6 +80,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only. lower() agrees on pure ASCII and is cheaper than translate()."""
     return F.when(col.rlike(r"[^\x00-\x7F]"), F.translate(col, UPPER, LOWER)).otherwise(F.lower(col))

@@ -21,15 +21,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges(u, v) to (node, component): the least node reachable; nodes without a true edge are absent.
 
     Each step groups with partial minima; a hub's edges are joined, never gathered. The lineage
-    is cut by a checkpoint after each round.
+    is cut by a checkpoint after each round. Rounds go on until nothing changes; their number grows
+    with the logarithm of the longest path.
     """
     edges = checkpointed(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
-    for _ in range(rounds):
+    while True:
         edges = checkpointed(_small_star(_large_star(edges)).filter("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed
+from .common import ascii_lower, checkpointed, fresh, quoted
 
 SIZE = 10
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -104,6 +104,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, id_col: s
 def clean(docs: DataFrame, items: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """docs, with all their columns, without the rows in which some window occurs."""
     met, _ = hits(docs, items, size, id_col, text_col, item_col)
-    bad = met.filter("win is not null").select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct()
-    rows = docs.withColumn("_key", F.xxhash64(text_col))
-    return rows.join(bad, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")), "left_anti").select(*docs.columns)
+    key, bad_id, bad_key = fresh(docs, "_key", "_id", "_th")
+    bad = met.filter("win is not null").select("id", "th").distinct().toDF(bad_id, bad_key)
+    rows = docs.withColumn(key, F.xxhash64(text_col))
+    return rows.join(bad, F.col(id_col).eqNullSafe(F.col(bad_id)) & (F.col(key) == F.col(bad_key)), "left_anti").select(*map(quoted, docs.columns))

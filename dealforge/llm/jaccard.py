@@ -371,7 +371,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # Sets that have a partner left are few: over these the lists are made anew from whole sets.
     active = checkpointed(meet("left_semi").select("a.id").distinct())
-    sets = materialise(_sets_of(picked, active), "sets")
+    sets = checkpointed(_sets_of(picked, active))
     rest = checkpointed(_rarest_lists(sets).join(rest.select("id", "component").distinct(), "id"))
     pairs = meet("inner").select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
     more = _verified(checkpointed(_likely(pairs, listed, boundary)), sets)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .textkernel import FOLD, buffers, chunks
 
 BITS = 12
@@ -24,6 +25,7 @@ SIZE = 1 << BITS
 #: Bound of the training sample: so many rows of each language, and at most MAX_SAMPLE in all.
 SAMPLE, MAX_SAMPLE = 400, 4096
 CLUSTERS = 3
+LEAST = 8  # rows of a language
 FOLDS = 5
 REJECTED = 0.005  # the share of a language's held-out prose that its bound leaves out
 FEW = 20  # with fewer rows of prose a language's bound is half the least cosine
@@ -119,14 +121,18 @@ def bound(x: np.ndarray, is_prose: np.ndarray, found: np.ndarray) -> float:
 
 
 def train(labelled: DataFrame) -> Centroids:
-    """labelled: (id, text, lang), lang not null. At most MAX_SAMPLE rows are fitted, by hash of id."""
-    by_lang = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    """labelled: (id, text, lang), lang not null. At most MAX_SAMPLE rows are fitted, by hash of id.
+
+    If there are more than MAX_SAMPLE // LEAST languages, the most frequent are learned.
+    """
+    by_lang = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_SAMPLE // LEAST).collect()}
     if not by_lang:
         return Centroids([], np.empty((0, SIZE), np.float32), np.ones(SIZE, np.float32), np.empty(0))
-    each = max(8, min(SAMPLE, MAX_SAMPLE // len(by_lang)))
+    each = max(LEAST, min(SAMPLE, MAX_SAMPLE // len(by_lang)))
     share = F.create_map(*[F.lit(x) for lang, n in by_lang.items() for x in (lang, min(1.0, each / n))])
     unit = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_003)) / 1_000_003
-    chosen = labelled.filter(unit < share[F.col("lang")])
+    # About MAX_SAMPLE rows at most; more only where many rows share an id, and these are cut by hash too.
+    chosen = labelled.filter(unit < share[F.col("lang")]).orderBy(F.xxhash64("id", F.lit(17)), F.xxhash64("text")).limit(2 * MAX_SAMPLE)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -134,7 +140,7 @@ def train(labelled: DataFrame) -> Centroids:
                 tf = np.minimum(counts(b.column(1)), 65535).astype("<u2")
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in tf], pa.binary()), pa.array(prose(b.column(1)))], names=["id", "lang", "tf", "prose"])
 
-    got = chosen.select("id", "text", "lang").mapInArrow(vectors, "id string, lang string, tf binary, prose boolean").limit(2 * MAX_SAMPLE).toArrow()
+    got = chosen.select("id", "text", "lang").mapInArrow(vectors, "id string, lang string, tf binary, prose boolean").toArrow()
     order = sorted(range(got.num_rows), key=lambda i: (got["lang"][i].as_py(), got["id"][i].as_py() or ""))
     langs = np.array([got["lang"][i].as_py() for i in order])
     tf = np.stack([np.frombuffer(got["tf"][i].as_py(), "<u2") for i in order]).astype(np.float32) if order else np.empty((0, SIZE), np.float32)
@@ -154,7 +160,8 @@ def train(labelled: DataFrame) -> Centroids:
 
 
 def identify(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, lang_score and lang_rejected appended; every other column passes through.
+    """docs with lang_pred, lang_score and lang_rejected appended as the last three columns (with
+    underscores before the name where docs has such a column); every other column passes through.
 
     A null text, or one without letters, is `und` with score 0 and rejected. With no labelled
     rows at all every text is. Rows with null or repeated ids stay; an empty table gives none.
@@ -162,7 +169,8 @@ def identify(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataF
     from pyspark.sql import types as T
 
     at = docs.columns.index(text_col)
-    new = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())]
+    names = fresh(docs, "lang_pred", "lang_score", "lang_rejected")
+    new = [T.StructField(n, k) for n, k in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -171,7 +179,7 @@ def identify(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataF
             for b in chunks(texts, size=1 << 18):
                 parts.append(model.predict(b.column(0)))
             pred, score, rejected = [x for p in parts for x in p[0]], np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-            yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*whole.schema.names, "lang_pred", "lang_score", "lang_rejected"])
+            yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*whole.schema.names, *names])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *new]))
 

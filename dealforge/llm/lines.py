@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, materialise
+from .common import ascii_lower, checkpointed, fresh, materialise, quoted
 
 FAN = 3
 BATCHES = 4
@@ -72,8 +72,8 @@ class Runs:
         self.levels = [[]]
 
 
-def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumn("_lines", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1))
+def lines_of(text):
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
 def drop_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_batches: int = BATCHES, least: int = LEAST) -> DataFrame:
@@ -83,7 +83,7 @@ def drop_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     quantiles = docs.select(at.alias("at")).approxQuantile("at", [i / n_batches for i in range(1, n_batches)], 0.02)
     cuts = sorted({min(int(q), LAST) for q in quantiles})  # as a double, LAST is one more
     batch = reduce(lambda x, c: x + F.when(F.col("at") > F.lit(c), 1).otherwise(0), cuts, F.lit(0))
-    lines = split_lines(docs, id_col, text_col).select(at.alias("at"), F.xxhash64(text_col).alias("th"), F.posexplode("_lines").alias("pos", "line"))
+    lines = docs.select(at.alias("at"), F.xxhash64(text_col).alias("th"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
     keyed = lines.withColumn("key", line_key(F.col("line"))).filter(F.char_length("key") >= least)
     keyed = keyed.select(batch.alias("batch"), "at", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key", F.char_length("key")).alias("h2"))
     keyed = materialise(keyed, "lines")
@@ -112,7 +112,8 @@ def drop_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_batches: int = BATCHES, least: int = LEAST) -> DataFrame:
-    """docs with text_col reduced to the kept lines, plus _n_lines and _n_dropped.
+    """docs with text_col reduced to the kept lines, plus _n_lines and _n_dropped (last, with more
+    underscores where docs has such a column already).
 
     A line's key is the line without white space at its ends, A-Z lower-cased. Keys of at least
     `least` code points in two documents or more keep their lines only in the document of least
@@ -120,11 +121,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     such rows as one document; so do rows that repeat an id. Other columns stay as they are. An
     empty table gives no rows. Keys are compared by two 64-bit hashes.
     """
-    gone = drop_positions(docs, id_col, text_col, n_batches, least).withColumnRenamed("at", "_at").withColumnRenamed("th", "_th").withColumnRenamed("gone", "_gone")
-    whole = split_lines(docs, id_col, text_col).withColumn("_at", F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST))).withColumn("_th", F.xxhash64(text_col))
-    whole = whole.drop("_lines").join(gone, ["_at", "_th"], "left")
-    whole = split_lines(whole, id_col, text_col)
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.col("_lines")[i]), "\n"))
-    out = whole.withColumn("_kept", kept).withColumn("_n_lines", F.size("_lines").cast("bigint")).withColumn("_n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint"))
-    return out.select(*[F.col("_kept").alias(c) if c == text_col else F.col(c) for c in docs.columns], "_n_lines", "_n_dropped")
+    at, th, lost, lines, kept, n_lines, n_dropped = fresh(docs, "_at", "_th", "_gone", "_lines", "_kept", "_n_lines", "_n_dropped")
+    gone = drop_positions(docs.select(id_col, text_col), id_col, text_col, n_batches, least).toDF(at, th, lost)
+    whole = docs.withColumn(at, F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST))).withColumn(th, F.xxhash64(text_col))
+    whole = whole.join(gone, [at, th], "left").withColumn(lines, lines_of(F.col(text_col)))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))
+    text = F.when(F.col(lost).isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.col(lines)[i]), "\n"))
+    out = whole.withColumn(kept, text).withColumn(n_lines, F.size(lines).cast("bigint")).withColumn(n_dropped, F.coalesce(F.size(lost), F.lit(0)).cast("bigint"))
+    return out.select(*[F.col(kept).alias(c) if c == text_col else F.col(quoted(c)) for c in docs.columns], n_lines, n_dropped)

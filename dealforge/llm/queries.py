@@ -62,14 +62,15 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text, mask in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                turns = "".join(f"{r}\n{t}\n" for r, t in chat.parse_instruct(text))
+            for text, mask in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                read_back = chat.parse_instruct(text)
+                turns = "".join(f"{r}\n{t}\n" for r, t in read_back)
                 loss = "".join(chat.unescape(text[m["start"] : m["end"]]) for m in mask)
-                rows.append((hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-            turns, n, loss, size = zip(*rows) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(turns, pa.string()), pa.array(n, pa.int64()), pa.array(loss, pa.string()), pa.array(size, pa.int64())], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                rows.append((len(read_back), hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
+            n_turns, turns, n, loss, size = zip(*rows) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_turns, pa.int64()), pa.array(turns, pa.string()), pa.array(n, pa.int64()), pa.array(loss, pa.string()), pa.array(size, pa.int64())], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    formatted = chat.format_chats(chats.unionByName(more)).select("conv_id", "n_turns", "formatted", "loss_mask")
+    formatted = chat.format_chats(chats.unionByName(more)).select("conv_id", "formatted", "loss_mask")
     return formatted.mapInArrow(digests, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
