@@ -11,15 +11,12 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from dealforge.functions import vocabulary as V
+
 # Letters with marks and their plain letters.
 MARKED = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
 
-# Words that add nothing to a model name, and words that name the same thing.
-NOISE = ["edition", "surface", "completa", "superficie", "pala", "padel"]
-SAME = {"jr": "junior", "control": "ctrl", "ctr": "ctrl", "pwr": "power", "hyb": "hybrid", "woman": "w"}
-COLOURS = ["red", "blue", "black", "white", "green", "orange", "pink"]
-
 
 def normalize(text: Column) -> Column:
     """Plain lower-case letters and digits, all else one space, none at the ends."""
@@ -37,18 +34,52 @@ def renamed(words: Column, names: dict[str, str]) -> Column:
     return F.transform(words, lambda t: F.coalesce(F.try_element_at(table, t), t))
 
 
+#: What title_tokens() rewrites, in this order. Fixed values.
+TITLE_REWRITES = [
+    (r"hrd\+", "hrd"), (r"\bhard\b", "hrd"), (r"\bsoft\b", "sft"), (r"\bhyb\b", "hybrid"), (r"\bctr\b", "ctrl"), (r"\bcontrol\b", "ctrl"), (r"\bpwr\b", "power"),
+    (r"pro\s*\+", "proplus"), (r"\bpro plus\b", "proplus"), (r"\b(st|electra st)\s+([0-9])\b", "$1$2"), (r"([0-9])w\b", "$1 woman"), (r"\bw\b(?=\s|$)", "woman"),
+    (r"\bproline\b", "line"), (r"\bpro\s+line\b", "line"), (r"\b(hack|vertex|flow)\s+([0-9])\b", "$1 0$2"), (r"\b(hack|vertex|flow)(0[1-9])\b", "$1 $2"), (r"\b([0-9]+)\.([0-9]+)\b", "v$1p$2"),
+]
+
+
 def title_tokens(text: Column) -> Column:
-    """Tokens for matching titles: decimals joined as vApB, synonyms renamed, single letters and years left out."""
-    low = F.lower(F.translate(text, MARKED, PLAIN))
-    low = F.regexp_replace(low, r"([0-9]+)\.([0-9]+)", "v$1p$2")
-    words = renamed(F.split(F.regexp_replace(low, "[^a-z0-9_]+", " "), " ", -1), SAME)
-    return F.filter(words, lambda t: ((F.length(t) >= 2) | t.rlike("^[0-9x]$")) & ~t.rlike("^20(1[89]|2[0-9])$"))
+    """Words for matching titles: synonyms rewritten, decimals as vApB, stop words and years left out."""
+    low = reduce(lambda c, r: F.regexp_replace(c, *r), TITLE_REWRITES, F.lower(F.translate(text, MARKED, PLAIN)))
+    words = F.split(F.regexp_replace(low, r"[^a-z0-9_]+", " "), " ", -1)
+    long = lambda t: (F.length(t) >= 2) | t.rlike("^[0-9x]$")
+    number = lambda t: ~t.rlike("^[0-9]+$") | t.rlike("^[0-9]{1,2}$") | (t.rlike("^[0-9]{3,4}$") & ~t.rlike("^20(1[89]|2[0-9])$"))
+    return F.filter(words, lambda t: long(t) & (t.isin(V.TITLE_KEEP) | (~t.isin(V.TITLE_STOP) & number(t))))
 
 
 def model_tokens(text: Column) -> Column:
-    """Tokens of a model name: 3.4 as 34, noise left out, synonyms renamed."""
-    words = tokens(F.regexp_replace(text, r"([0-9]+)\.([0-9]+)", "$1$2"))
-    return renamed(F.filter(words, lambda t: ~t.isin(NOISE)), SAME)
+    """Words of a model name: 3.4 as 34, noise left out, colours and the like by one name each."""
+    words = tokens(F.regexp_replace(text, r"\b([0-9]+)\.([0-9]+)\b", "$1$2"))
+    return renamed(F.filter(words, lambda t: ~t.isin(V.MODEL_NOISE)), V.MODEL_NAMES)
+
+
+def colour_of(model: Column) -> Column:
+    return F.get(F.filter(model_tokens(model), lambda t: t.isin(V.COLOURS)), 0)
+
+
+def without_colour(model: Column) -> Column:
+    return F.array_join(F.filter(model_tokens(model), lambda t: ~t.isin(V.COLOURS)), " ")
+
+
+def variant_name(variant: Column) -> Column:
+    """Plain lower case, by one name each; null for an empty one."""
+    low = F.trim(F.lower(F.translate(variant, MARKED, PLAIN)))
+    table = F.create_map(*[F.lit(x) for pair in V.VARIANT_NAMES.items() for x in pair])
+    return F.when(variant != "", F.coalesce(F.try_element_at(table, low), low))
+
+
+def line_name(line: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in V.LINE_NAMES.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.trim(F.lower(line))), line)
+
+
+def is_year(word: Column, year: Column) -> Column:
+    """Whether a number is the year, whole or in two digits; false without a year."""
+    return F.coalesce(word.rlike("^[0-9]+$") & ((word == year.cast("string")) | (word == (year % 100).cast("string"))), F.lit(False))
 
 
 def close(a: Column, b: Column) -> Column:
@@ -62,9 +93,12 @@ def all_in(some: Column, other: Column) -> Column:
     return F.forall(some, lambda t: F.exists(other, lambda u: close(t, u)))
 
 
-def signature(model: Column, variant: Column) -> Column:
-    """Sorted distinct tokens of model and variant without years, joined by |; junior goes where boy or girl is."""
-    words = F.filter(model_tokens(F.concat_ws(" ", model, variant)), lambda t: ~t.rlike("^20[0-9]{2}$"))
+def signature(model: Column, variant: Column, year: Column | None = None) -> Column:
+    """Sorted distinct tokens of model and variant without the year, joined by |; junior goes where boy or girl is."""
+    none = F.array().cast("array<string>")
+    year = F.lit(None).cast("int") if year is None else year
+    words = F.concat(F.coalesce(model_tokens(model), none), F.coalesce(model_tokens(variant), none))
+    words = F.filter(words, lambda t: ~is_year(t, year))
     young = F.exists(words, lambda t: t.isin("boy", "girl"))
     words = F.filter(words, lambda t: ~(young & (t == "junior")))
     return F.array_join(F.array_sort(F.array_distinct(words)), "|")
@@ -147,10 +181,12 @@ def html_decode(text: Column) -> Column:
 
 
 def html_text(html: Column) -> Column:
-    """Visible text: scripts, styles, comments and tags go, white space becomes one space."""
+    """Visible text: scripts, styles, comments and tags go, white space becomes one space. After it
+    come the values of data-*, alt, title and placeholder, since sliders keep their texts there."""
+    values = F.regexp_extract_all(html, F.lit(r"(?i)\s(?:data-[a-z][a-z0-9_-]*|alt|title|placeholder)\s*=\s*[\"']([^\"'<>]{1,300})[\"']"), F.lit(1))
     out = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"(?s)<[^>]*>", " ")
-    return F.trim(F.regexp_replace(out, r"[ \t\n\r\f]+", " "))
+    out = F.regexp_replace(F.regexp_replace(out, r"(?s)<[^>]*>", " "), "(?i)&nbsp;", " ")
+    return F.trim(F.regexp_replace(F.concat_ws(" ", out, F.array_join(values, " ")), r"[ \t\n\r\f]+", " "))
 
 
 def url_normalize(url: Column) -> Column:

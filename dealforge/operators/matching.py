@@ -13,10 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealforge.functions import text as X
+from dealforge.functions import vocabulary as V
 
 MAX_WORDS = 3  # of a dictionary alias
-# Model words that tell two products apart.
-TELLING = ["pro", "plus", "light", "hybrid", "ctrl", "power", "junior", "w", "team", "carbon", "air"]
 # Which source's row survives among duplicates.
 SOURCE_ORDER = ["padelful", "padelzoom", "padelnuestro", "revision_manual"]
 
@@ -55,13 +54,14 @@ def extract_attributes(titles: DataFrame, dictionary: DataFrame, id_col: str = "
 
 
 def model_compatible(cat: Column, title: Column, cat_year: Column, title_year: Column) -> Column:
-    """Whether a title's model may be the catalogue's: the words of one are among the other's and
-    no word that is left tells two products apart; bare numbers pass only as the year."""
+    """Whether a title's model may be the catalogue's: the words of one are among the other's and no
+    word that is left tells two products apart. A catalogue row without words allows more only in
+    colours and its year; a title without a model fits a row without one, or with a number only."""
     none = F.array().cast("array<string>")
     tc, tt = F.coalesce(X.model_tokens(cat), none), F.coalesce(X.model_tokens(title), none)
     year = F.coalesce(cat_year, title_year)
-    unsafe = lambda t: t.isin(TELLING) | t.rlike("^v[0-9]+p[0-9]+$") | (t.rlike("^[0-9]+$") & year.isNull())
-    safe = lambda t: t.isin(X.COLOURS) | F.coalesce((t == year.cast("string")) | (t == (year % 100).cast("string")), F.lit(False))
+    unsafe = lambda t: t.isin(V.MODEL_TELLING) | t.rlike("^v[0-9]+p[0-9]+$") | (t.rlike("^[0-9]+$") & year.isNull())
+    safe = lambda t: t.isin(V.COLOURS) | X.is_year(t, year)
     only = lambda a, b: F.filter(a, lambda t: ~F.exists(b, lambda u: X.close(t, u)))
     empty = F.coalesce(title, F.lit("")) == ""
     alone = (F.size(tc) == 0) | F.coalesce(F.trim(cat).rlike("^[0-9.]+$"), F.lit(False))
@@ -126,15 +126,38 @@ def embedding_match(queries: DataFrame, vectors: DataFrame, block: str, least: f
 
 
 def duplicate_groups(items: DataFrame) -> DataFrame:
-    """item_id, key, keep_id. Rows without a year join the dated group of least key with the same
-    brand, line, model and variant; the survivor is the row of the best source, then with an image."""
+    """item_id, key, keep_id. Rows without a year join the dated group of least key with the same brand,
+    line, model and variant. A group whose model words are all among another's, with the rest of the
+    key equal, joins that one. The survivor is the row of the best source, then with an image."""
     part = lambda c: F.coalesce(X.normalize(F.col(c)), F.lit(""))
-    rows = items.filter((part("brand") != "") & (part("line") != "")).withColumn("base", F.concat_ws("|", *[part(c) for c in ("brand", "line", "model", "variant")]))
-    rows = rows.withColumn("key_year", F.coalesce("year", F.min("year").over(Window.partitionBy("base")), F.lit(0)))
-    rows = rows.withColumn("key", F.concat_ws("|", "base", F.col("key_year").cast("string")))
+    rows = items.filter((part("brand") != "") & (part("line") != ""))
+    rows = rows.withColumns({c + "_k": part(c) for c in ("brand", "line", "model", "variant")})
+    base = ["brand_k", "line_k", "model_k", "variant_k"]
+    rows = rows.withColumn("year_k", F.coalesce("year", F.min("year").over(Window.partitionBy(*base)), F.lit(0)))
+    rest = ["brand_k", "line_k", "variant_k", "year_k"]
+    groups = rows.select(*rest, "model_k").distinct()
+    taken = absorbed(groups, rest, "model_k").withColumnRenamed("into", "wide_k")
+    rows = rows.join(taken, [*rest, "model_k"], "left").withColumn("model_k", F.coalesce("wide_k", "model_k"))
+    rows = rows.withColumn("key", F.concat_ws("|", *base, F.col("year_k").cast("string")))
     return survivors(rows, ["key"])
 
 
+def absorbed(groups: DataFrame, rest: list[str], text: str) -> DataFrame:
+    """(rest, text, into): texts whose words are all among those of a longer one with equal `rest`.
+
+    The longest such one that no other takes in, then the first. Pairs meet on the first two letters of
+    the shorter's longest word, since close words begin alike.
+    """
+    rows = groups.withColumn("t", F.filter(F.split(text, " "), lambda w: w != "")).filter(F.size("t") > 0)
+    head = lambda w: F.substring(w, 1, 2)
+    longest = F.element_at(F.array_sort(F.transform("t", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    small = rows.select(*rest, F.col(text), F.col("t").alias("st"), head(longest).alias("head"))
+    wide = rows.select(*rest, F.col(text).alias("into"), F.col("t").alias("wt"), F.explode(F.array_distinct(F.transform("t", head))).alias("head"))
+    met = small.join(wide, [*rest, "head"]).filter((F.size("st") < F.size("wt")) & X.all_in(F.col("st"), F.col("wt")))
+    best = met.groupBy(*rest, text).agg(F.min(F.struct(-F.size("wt"), "into")).alias("b"))
+    return best.select(*rest, text, F.col("b.into").alias("into"))
+
+
 def survivors(rows: DataFrame, keys: list[str]) -> DataFrame:
     source = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, s in enumerate(SOURCE_ORDER, 1) for x in (s, i)]), "source"), F.lit(99)) if "source" in rows.columns else F.lit(99)
     no_image = (F.col("image").isNull() | F.col("image").startswith("data:")).cast("int") if "image" in rows.columns else F.lit(0)
@@ -144,45 +167,101 @@ def survivors(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def duplicate_pairs(items: DataFrame, with_data: DataFrame) -> DataFrame:
-    """Each duplicate with the least item of its brand, line, signature and year, and what to do:
-    SAFE_DELETE without any data, else NEEDS_MERGE."""
-    rows = items.withColumn("sig", X.signature(F.coalesce("model", F.lit("")), F.coalesce("variant", F.lit(""))))
-    first = F.min("item_id").over(Window.partitionBy("brand", "line", "sig", "year"))
-    rows = rows.withColumn("keep_id", first).filter("item_id <> keep_id")
-    held = with_data.select("item_id").distinct().withColumn("held", F.lit(True))
-    return rows.join(held, "item_id", "left").select("item_id", "keep_id", F.when(F.col("held"), "NEEDS_MERGE").otherwise("SAFE_DELETE").alias("action"))
-
-
-def url_guard(url: Column, year: Column, model: Column, shared_by: Column, clashes: tuple = (), code_host: str = "\u0000") -> Column:
-    """The letter of the first guard that a product page fails, else null: A year in the url, B
-    two-digit year in its last part, C url of several items, D url and model clash, E store code."""
-    low = F.lower(url)
-    slug = X.url_slug(low)
-    full, short = F.regexp_extract(low, "20([0-9]{2})", 0), F.regexp_extract(slug, "-(19|2[0-9])-(?![0-9]{3,})", 1)
-    code = F.regexp_extract(low, "-2([0-9]{2})(?:[^0-9]|$)", 1)
-    code_year = code.try_cast("int") + 2000
-    d = reduce(lambda a, b: a | b, [low.contains(u) & F.lower(F.coalesce(model, F.lit(""))).contains(m) for u, m in clashes], F.lit(False))
-    return (
-        F.when((full != "") & (full.try_cast("int") != year), "A")
-        .when((full == "") & (short != "") & (short.try_cast("int") + 2000 != year), "B")
-        .when(shared_by > 1, "C")
-        .when(d, "D")
-        .when(low.contains(code_host) & code_year.between(2018, 2030) & (code_year != year), "E")
-    )
-
+    """(item_id, keep_id, action): pairs of one product in a brand and line, and what to do with them.
 
-def false_positive(title: Column, brand: Column, model: Column, year: Column) -> Column:
-    """The first rule that a stored match breaks, else null."""
-    words, cat = X.title_tokens(title), X.title_tokens(F.coalesce(model, F.lit("")))
-    has = lambda a, t: F.array_contains(a, t)
-    version = lambda a: F.array_join(F.filter(a, lambda t: t.rlike("^v[0-9]+p[0-9]+$")), ",")
-    differs = lambda ts: reduce(lambda a, b: a | b, [has(words, t) != has(cat, t) for t in ts])
+    Two rows are one product if their years agree or one has none, and either their variants are equal
+    and their models compatible both ways, or their signatures are equal. A pair with one side that
+    holds no data is SAFE_DELETE, and keeps the other, or of two such the lesser id; a pair with data
+    on both is NEEDS_MERGE. Pairs meet on (brand, line, variant) and on (brand, line, signature).
+    """
+    line = F.lower(X.line_name(F.col("line")))
+    rows = items.filter(F.col("brand").isNotNull() & F.col("line").isNotNull())
+    rows = rows.select("item_id", F.lower("brand").alias("b"), line.alias("l"), "model", X.variant_name(F.col("variant")).alias("v"), "variant", "year")
+    left, right = (rows.select("b", "l", *[F.col(c).alias(c + side) for c in ("item_id", "model", "v", "variant", "year")]) for side in "12")
+    years = F.col("year1").isNull() | F.col("year2").isNull() | (F.col("year1") == F.col("year2"))
+    same = left.join(right, ["b", "l"]).filter(F.col("v1").eqNullSafe(F.col("v2")) & (F.col("item_id1") < F.col("item_id2")) & years)
+    fits = lambda x, y: model_compatible(F.col("model" + x), F.col("model" + y), F.col("year" + x), F.col("year" + y))
+    pairs = same.filter(fits("1", "2") & fits("2", "1")).select("item_id1", "item_id2")
+    # A year inside a model counts as noise if it is either row's year, so each row has a signature for each.
+    known = rows.select("b", "l", F.col("year").alias("of")).distinct()
+    signed = rows.join(known, ["b", "l"]).filter(F.col("year").isNull() | F.col("of").eqNullSafe(F.col("year")))
+    signed = signed.select("b", "l", "item_id", "year", "of", X.signature(F.col("model"), F.col("variant"), F.col("of")).alias("s")).filter("s <> ''")
+    one, two = (signed.select("b", "l", "of", "s", F.col("item_id").alias("item_id" + side), F.col("year").alias("year" + side)) for side in "12")
+    met = one.join(two, (one.b == two.b) & (one.l == two.l) & (one.s == two.s) & one.of.eqNullSafe(two.of)).filter((F.col("item_id1") < F.col("item_id2")) & years)
+    met = met.filter(one.of.eqNullSafe(F.coalesce("year1", "year2"))).select("item_id1", "item_id2")
+    pairs = pairs.unionByName(met).distinct()
+    held = with_data.select("item_id").distinct()
+    for side in "12":
+        pairs = pairs.join(held.select(F.col("item_id").alias("item_id" + side), F.lit(True).alias("held" + side)), "item_id" + side, "left").withColumn("held" + side, F.coalesce("held" + side, F.lit(False)))
+    swap = ~F.col("held1") & F.col("held2")
+    action = F.when(F.col("held1") & F.col("held2"), "NEEDS_MERGE").otherwise("SAFE_DELETE")
+    return pairs.select(F.when(swap, F.col("item_id1")).otherwise(F.col("item_id2")).alias("item_id"), F.when(swap, F.col("item_id2")).otherwise(F.col("item_id1")).alias("keep_id"), action.alias("action"))
+
+
+def best_by_jaccard(broken: DataFrame, items: DataFrame, least: float = 0.5) -> DataFrame:
+    """(broken_id, item_id, score): the row of the same brand that is most like each broken row, if enough.
+
+    broken and items: item_id, brand, name. Pairs meet on a shared word, and shared words are counted;
+    of an equal score the lesser id is taken. Sets with Jaccard of `least` share one of the first
+    n - ceil(least n) + 1 words of the broken row in any order; rare words come first.
+    """
+    words = lambda d, i: d.select(F.col("item_id").alias(i), X.normalize(F.col("brand")).alias("brand"), F.array_distinct(X.tokens(F.col("name"))).alias("t")).filter(F.size("t") > 0)
+    b, c = words(broken, "broken_id"), words(items, "item_id")
+    count = c.select("brand", F.explode("t").alias("w")).groupBy("brand", "w").agg(F.count("*").alias("n"))
+    keys = b.select("broken_id", "brand", "t", F.explode("t").alias("w")).join(count, ["brand", "w"])
+    rank = F.row_number().over(Window.partitionBy("broken_id", "brand").orderBy("n", "w"))
+    keys = keys.withColumn("r", rank).filter(F.col("r") <= F.size("t") - F.ceil(F.size("t") * least) + 1)
+    met = keys.select("broken_id", "brand", F.col("t").alias("bt"), "w").join(c.select("item_id", "brand", "t", F.explode("t").alias("w")), ["brand", "w"]).filter("broken_id <> item_id")
+    scored = met.select("broken_id", "item_id", X.jaccard(F.col("bt"), F.col("t")).alias("score")).filter(F.col("score") >= least)
+    best = scored.groupBy("broken_id").agg(F.min(F.struct(-F.col("score"), "item_id")).alias("b"))
+    return best.select("broken_id", F.col("b.item_id").alias("item_id"), (-F.col("b.col1")).alias("score"))
+
+
+def brand_of_code(codes: DataFrame, brands: DataFrame, id_col: str, code_col: str = "code") -> DataFrame:
+    """codes with the brand whose name, in capitals without spaces, begins the code; the longest wins."""
+    heads = brands.select("brand", F.upper(F.regexp_replace("brand", "[^A-Za-z0-9]", "")).alias("start")).filter(F.length("start") >= 2).distinct()
+    keyed = codes.withColumn("head", F.upper(F.substring(code_col, 1, 2))).join(heads.withColumn("head", F.substring("start", 1, 2)), "head", "left")
+    fits = F.when(F.upper(code_col).startswith(F.col("start")), F.struct(F.length("start").alias("n"), "brand"))
+    return keyed.groupBy(id_col).agg(F.max(fits).alias("b")).select(id_col, F.col("b.brand").alias("brand"))
+
+
+def near_names(rows: DataFrame, items: DataFrame, block: list[str], least: float = 0.5, n: int = 5) -> DataFrame:
+    """(item_id, other_id, ratio): the n others of the block that have the greatest share of a row's words."""
+    other = items.select(*block, F.col("item_id").alias("other_id"), X.tokens(F.col("name")).alias("ot"))
+    own = rows.select(*block, "item_id", X.tokens(F.col("name")).alias("t")).filter(F.size("t") > 0)
+    met = own.join(other, block).filter("item_id <> other_id")
+    met = met.withColumn("ratio", F.size(F.filter("t", lambda w: F.array_contains("ot", w))) / F.size("t")).filter(F.col("ratio") >= least)
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("ratio"), "other_id"))
+    return met.withColumn("rn", rank).filter(F.col("rn") <= n).select("item_id", "other_id", "ratio")
+
+
+# Brands that a title may name, and those written in more ways than one.
+NAMED_BRANDS = [
+    "Adidas", "Bullpadel", "Siux", "Nox", "Drop Shot", "StarVie", "Head", "Dunlop", "Vibor-A", "Enebe", "Wilson", "Babolat", "Royal Padel", "Varlion", "Black Crown",
+    "Oxdog", "Kombat", "Softee", "Joma", "Akkeron", "Kuikma", "Puma", "Lok", "Tecnifibre", "Alkemia", "Vairo", "Harlem", "Legend", "J-Hayber", "Prince", "Mystica",
+    "Slazenger", "Asics", "K-Swiss", "Munich",
+]
+WRITTEN = {"Vibor-A": "vibor.?a", "Drop Shot": "drop.?shot", "Black Crown": "black.?crown", "StarVie": "star.?vie", "Royal Padel": "royal.?padel", "J-Hayber": "j.?hayber", "K-Swiss": "k.?swiss"}
+
+
+def false_positive(title: Column, name: Column, brand: Column, model: Column, year: Column) -> Column:
+    """The first rule that a stored match breaks, else null: two versions, two weight classes (12K),
+    lite on one side, another brand named and not its own, or years two apart."""
+    found = lambda text, pattern: F.nullif(F.lower(F.regexp_extract(text, pattern, 1)), F.lit(""))
+    differ = lambda a, b: F.coalesce(a != b, F.lit(False))
+    version, weight = r"\b([0-9]+\.[0-9]+)\b", r"(?i)\b([0-9]{1,2}k)\b"
+    lite = lambda text: F.translate(text, X.MARKED, X.PLAIN).rlike(r"(?i)\blite\b")
+    names = {b: title.rlike("(?i)" + WRITTEN.get(b, rf"\b{b}\b")) for b in NAMED_BRANDS}
+    own = reduce(lambda a, b: a | b, [(brand == b) & hit for b, hit in names.items()])
+    own |= ~brand.isin(NAMED_BRANDS) & F.regexp_like(title, F.concat(F.lit(r"(?i)\b"), F.regexp_replace(brand, r"([^A-Za-z0-9 ])", r"\\$1"), F.lit(r"(?![A-Za-z0-9_])")))
+    other = reduce(lambda a, b: a | b, [(brand != b) & hit for b, hit in names.items()])
+    told = found(title, r"\b(20[1-3][0-9])\b").try_cast("int")
     return (
-        F.when((version(words) != "") & (version(words) != version(cat)), "version")
-        .when(differs(["light"]), "weight")
-        .when(differs(["lite"]), "lite")
-        .when(~X.normalize(title).contains(X.normalize(brand)), "brand")
-        .when(F.abs(X.extract_year(title) - year) >= 2, "year")
+        F.when(differ(found(title, version), found(F.coalesce(model, F.lit("")), version)), "version")
+        .when(differ(found(title, weight), found(name, weight)), "weight")
+        .when(lite(title) != lite(name), "lite")
+        .when(~F.coalesce(own, F.lit(False)) & other, "brand")
+        .when(F.abs(told - year) >= 2, "year")
     )
 
 

@@ -6,12 +6,13 @@ url. Money is summed as decimal and divided once. `as_of` is a parameter of ever
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealforge.functions.text import round_half_up
+from dealforge.functions.urls import url_guard
 
 #: Newest first; the order is total but for equal rows.
 NEWEST = ("day", "order_key", "line_number", "price")
@@ -53,7 +54,7 @@ def reference_price_v9(obs: DataFrame, items: DataFrame, as_of: date, days: int
     sure = F.size(F.collect_set(F.when(F.col("confidence") == 1, F.col("store_id"))).over(item))
     rows = rows.withColumn("sure", sure).filter((F.col("sure") < 2) | (F.col("confidence") == 1))
     rows = rows.withColumn("strong", F.max((~F.col("store_id").isin(*weak)).cast("int")).over(item)).filter((F.col("strong") == 0) | ~F.col("store_id").isin(*weak))
-    cheapest = rows.groupBy("item_id", "url").agg(F.min("price").alias("price"), F.min("store_id").alias("store_id"))
+    cheapest = rows.groupBy("item_id", "url").agg(F.min(F.struct("price", "store_id")).alias("c")).select("item_id", "c.price", "c.store_id")
     per = cheapest.groupBy("item_id").agg(mean_of().alias("m"), F.countDistinct("store_id").alias("n_stores"))
     listed = F.col("list_price").cast("double")
     weak_mean = (F.col("n_stores") < 2) | (F.col("m") / listed > most_ratio)
@@ -92,32 +93,56 @@ def cheapest_per_item(obs: DataFrame) -> DataFrame:
     return first_by(effective(obs), ["item_id"], [F.asc("effective"), F.asc("store_id"), F.desc("order_key"), F.desc("line_number")])
 
 
-def judged(obs: DataFrame, excluded: tuple = (2,), least_confidence: float = 0.95, least_stores: int = 3, spread: float = 2.5, wide_spread: float = 4.0, many: int = 5, least_reference: float = 50, floor: float = 0.75, offer: float = 0.75, bargain: float = 0.65) -> DataFrame:
-    """Each item's cheapest offer with its reference and, in `reason`, the first guard it fails."""
-    latest = latest_per_store(obs.filter(F.col("available") & (F.col("confidence") >= F.lit(least_confidence).cast("decimal(3,2)")) & ~F.col("store_id").isin(*excluded)))
-    per = latest.groupBy("item_id").agg(mean_of().alias("ref"), F.min("price").alias("low"), F.max("price").alias("high"), F.count("*").alias("n_stores"))
-    rows = cheapest_per_item(latest).join(per, "item_id")
-    ratio, wide = F.col("effective").cast("double") / F.col("ref"), F.col("high").cast("double") / F.col("low").cast("double")
+def fresh_rows(obs: DataFrame, items: DataFrame, grace_hours: int = 3) -> DataFrame:
+    """Observations no newer than their item's reference (items.updated) and the grace, so that an older
+    row of a store may stand in for one that the reference has not seen. If none is left, all rows."""
+    rows = obs.join(items.select("item_id", "updated"), "item_id", "left")
+    rows = rows.withColumn("fresh", F.coalesce(F.col("seen_at") <= F.col("updated") + F.make_dt_interval(hours=F.lit(grace_hours)), F.lit(False)))
+    any_fresh = rows.agg(F.coalesce(F.bool_or("fresh"), F.lit(False)).alias("any_fresh"))
+    return rows.crossJoin(F.broadcast(any_fresh)).filter(F.col("fresh") | ~F.col("any_fresh")).drop("fresh", "any_fresh", "updated")  # one row
+
+
+def judged(obs: DataFrame, items: DataFrame, references: DataFrame, codes: DataFrame, now: datetime, hours: int = 48, excluded: tuple = (2,), least_confidence: float = 0.95, least_year: int = 2024, least_stores: int = 3, spread: float = 2.5, wide_spread: float = 4.0, many: int = 5, least_reference: float = 50, floor: float = 0.75, low_floor: float = 0.65, offer: float = 0.75, bargain: float = 0.65) -> DataFrame:
+    """Each item's cheapest offer of the window with its reference and, in `reason`, the first guard it fails.
+
+    obs has `seen_at`, a timestamp; items: item_id, brand, model, year, updated; references: item_id,
+    reference_price, n_stores, min_price, max_price; codes: as in live_effective().
+    """
+    since = F.lit(now - timedelta(hours=hours)).cast("timestamp_ntz")
+    rows = obs.filter((F.col("seen_at") >= since) & (F.col("seen_at") <= F.lit(now).cast("timestamp_ntz")))
+    rows = rows.filter(F.col("available") & (F.col("confidence") >= F.lit(least_confidence).cast("decimal(3,2)")) & ~F.col("store_id").isin(*excluded))
+    own = first_by(fresh_rows(rows, items), ["item_id", "store_id"], [F.desc(c) for c in ("seen_at", *NEWEST[1:])])
+    priced = live_effective(own, codes, items)
+    cheapest = first_by(priced, ["item_id"], [F.asc("effective"), F.asc("store_id")])
+    shared = cheapest.groupBy("url").agg(F.count("*").alias("sharing"))
+    out = cheapest.join(shared, "url", "left").join(items.select("item_id", "model", "year"), "item_id").join(references, "item_id", "left")
+    low, high = F.col("min_price").cast("double"), F.col("max_price").cast("double")
+    ref = F.col("reference_price")
+    ratio = F.col("effective").cast("double") / ref
+    guard = url_guard(F.col("url"), F.col("year"), F.col("model"), F.col("sharing"))
     reason = (
-        F.when(F.col("n_stores") < least_stores, "few_stores")
-        .when(wide > F.when(F.col("n_stores") >= many, wide_spread).otherwise(spread), "spread")
-        .when(F.col("ref") < least_reference, "low_reference")
-        .when(F.col("price").cast("double") / F.col("low").cast("double") < floor, "under_minimum")
+        F.when(F.col("year").isNull() | (F.col("year") < least_year), "year")
+        .when(F.col("n_stores").isNull(), "no_reference")
+        .when(F.col("n_stores") < least_stores, "few_stores")
+        .when((low > 0) & (high / low > F.when(F.col("n_stores") >= many, wide_spread).otherwise(spread)), "spread")
+        .when(ref.isNull() | (ref < least_reference), "low_reference")
+        .when((low > 0) & (F.col("price").cast("double") / low < F.when(F.col("n_stores") >= 3, floor).otherwise(low_floor)), "under_minimum")
+        .when(guard.isNotNull(), F.concat(F.lit("guard_"), guard))
         .when(ratio > offer, "no_discount")
     )
     tag = F.when(reason.isNull(), F.when(ratio <= bargain, "CHOLLO").otherwise("OFERTA"))
-    return rows.select(
-        "item_id", "store_id", "n_stores", round_half_up(F.col("price").cast("double"), 2).alias("price"), round_half_up(F.col("effective").cast("double"), 2).alias("effective_price"), round_half_up(F.col("ref"), 2).alias("reference_price"), round_half_up((1 - ratio) * 100).alias("discount_pct"), tag.alias("tag"), reason.alias("reason")
+    return out.select(
+        "item_id", "store_id", "n_stores", round_half_up(F.col("price").cast("double"), 2).alias("price"), round_half_up(F.col("effective").cast("double"), 2).alias("effective_price"), ref.alias("reference_price"), round_half_up((1 - ratio) * 100).alias("discount_pct"), "used_pct", "seen_at", tag.alias("tag"), reason.alias("reason")
     )
 
 
-def deals(obs: DataFrame, **limits) -> DataFrame:
+def deals(*tables: DataFrame, **limits) -> DataFrame:
     """Bargains before offers, greatest discount first."""
-    return judged(obs, **limits).filter("reason is null").drop("reason").orderBy("tag", F.desc("discount_pct"), "item_id")
+    return judged(*tables, **limits).filter("reason is null").drop("reason").orderBy("tag", F.desc("discount_pct"), "item_id")
 
 
-def deal_rejections(obs: DataFrame, **limits) -> DataFrame:
-    return judged(obs, **limits).filter("reason is not null").select("item_id", "store_id", "n_stores", "reason")
+def deal_rejections(*tables: DataFrame, **limits) -> DataFrame:
+    return judged(*tables, **limits).filter("reason is not null").select("item_id", "store_id", "n_stores", "reason")
 
 
 def daily_series(obs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,18 +56,23 @@ def phrase_join(rows: DataFrame, phrases: DataFrame) -> DataFrame:
     return keys.join(keyed, "key").filter(F.lower("title").contains(F.col("phrase"))).drop("key")
 
 
-def opportunities(rows: DataFrame, phrases: DataFrame, now: datetime, threshold: float = 0.75, least: int = 5, least_price: float = 30) -> DataFrame:
-    """listing_id, its best phrase and score: like-new listings well under their phrase's median price."""
-    met = phrase_join(rows.filter(F.col("condition").isin(CONDITIONS["like_new"]) & (F.col("price") >= least_price)), phrases)
+def opportunities(rows: DataFrame, phrases: DataFrame, now: datetime, days: int = 7, threshold: float = 0.75, least: int = 5, least_price: float = 30) -> DataFrame:
+    """listing_id, its best phrase and score: like-new listings of the last days well under their phrase's median.
+
+    The discount is rounded before it is summed. The year is the linked product's (column product),
+    or else the phrase's, since sellers' titles have wrong ones.
+    """
+    recent = F.col("ts") >= F.lit(now - timedelta(days=days)).cast("timestamp_ntz")
+    met = phrase_join(rows.filter(recent & F.col("condition").isin(CONDITIONS["like_new"]) & (F.col("price") >= least_price)), phrases)
     price = F.col("price").cast("double")
     medians = met.groupBy("phrase").agg(F.median(price).alias("med"), F.count("*").alias("n")).filter(F.col("n") >= least)
     low = met.join(medians, "phrase").filter(price < F.col("med") * threshold)
-    year = F.regexp_extract("title", "20[0-9][0-9]", 0).try_cast("int")
+    year = F.regexp_extract(F.coalesce("product", "phrase"), "20[0-9][0-9]", 0).try_cast("int")
     by_year = F.try_element_at(F.create_map(*[F.lit(x) for pair in YEAR_POINTS.items() for x in pair]), year)
     seconds = F.unix_timestamp(F.lit(now)) - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     age = F.floor(seconds / 86400)
     by_age = reduce(lambda w, p: w.when(age > p[0], p[1]), AGE_POINTS[1:], F.when(age > AGE_POINTS[0][0], AGE_POINTS[0][1])).otherwise(0)
-    score = (1 - price / F.col("med")) * 100 + SAVING_POINTS * (F.col("med") - price) + F.when(year.isNull(), NO_YEAR).otherwise(F.coalesce(by_year, F.lit(OLD_YEAR))) + F.when(F.col("condition") == "new", NEW_POINTS).otherwise(0) + by_age + LIKE_POINTS * F.log1p(F.coalesce("likes", F.lit(0)).cast("double"))
+    score = F.floor((F.col("med") - price) / F.col("med") * 100 + 0.5) + SAVING_POINTS * (F.col("med") - price) + F.when(year.isNull(), NO_YEAR).otherwise(F.coalesce(by_year, F.lit(OLD_YEAR))) + F.when(F.col("condition") == "new", NEW_POINTS).otherwise(0) + by_age + LIKE_POINTS * F.log1p(F.coalesce("likes", F.lit(0)).cast("double"))
     scored = low.select("listing_id", "phrase", F.floor(score + 0.5).cast("bigint").alias("score"))
     return first_by(scored, ["listing_id"], [F.desc("score"), F.asc("phrase")])
 
@@ -109,3 +114,27 @@ def alert_matches(alerts: DataFrame, rows: DataFrame, told: DataFrame) -> DataFr
     """(alert_id, listing_id): titles with the alert's word at its price or less, not told before."""
     words = rows.join(told, "listing_id", "left_anti").select("listing_id", "price", F.explode(F.array_distinct(F.split(F.lower("title"), " "))).alias("word"))
     return words.join(alerts, "word").filter("price <= max_price").select("alert_id", "listing_id")
+
+
+def favourite_drops(favourites: DataFrame, prices: DataFrame, told: DataFrame) -> DataFrame:
+    """(user_id, item_id, price): favourites at their wanted price or less, not told before at that price or a lower one."""
+    low = prices.groupBy("item_id").agg(F.min("price").alias("price"))
+    past = told.groupBy("user_id", "item_id").agg(F.min("price").alias("told"))
+    rows = favourites.join(low, "item_id").filter(F.col("price") <= F.col("wanted")).join(past, ["user_id", "item_id"], "left")
+    return rows.filter(F.col("told").isNull() | (F.col("price") < F.col("told"))).select("user_id", "item_id", "price")
+
+
+def drop_histogram(events: DataFrame, zone: str = "Europe/Madrid") -> DataFrame:
+    """(store, kind, slot, drops): price drops by local hour and by local weekday (Sunday 0)."""
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("ts").cast("timestamp_ntz"))
+    rows = price_drops(events).select(F.col("event_type").alias("store"), local.alias("local"))
+    slots = F.array(F.struct(F.lit("hour").alias("kind"), F.hour("local").alias("slot")), F.struct(F.lit("weekday").alias("kind"), (F.dayofweek("local") - 1).alias("slot")))
+    return rows.select("store", F.explode(slots).alias("s")).groupBy("store", "s.kind", F.col("s.slot").cast("bigint").alias("slot")).agg(F.count("*").alias("drops"))
+
+
+def search_flags(rows: DataFrame, share: float = 0.75, least: int = 5) -> DataFrame:
+    """rows with `opportunity`: whether the price is under `share` of the median of the result's like-new
+    rows, if there are enough of these. One pass for the median, one row broadcast."""
+    like = rows.filter(F.col("condition").isin(CONDITIONS["like_new"]))
+    med = like.agg(F.median(F.col("price").cast("double")).alias("_med"), F.count("*").alias("_n"))
+    return rows.crossJoin(F.broadcast(med)).withColumn("opportunity", F.coalesce((F.col("_n") >= least) & (F.col("price").cast("double") < F.col("_med") * share), F.lit(False))).drop("_med", "_n")

@@ -77,3 +77,62 @@ def coupon_sync(known: DataFrame, found: DataFrame, key: str = "store_id") -> Da
     rows = known.withColumnRenamed("code", "old").join(found.withColumnRenamed("code", "new"), key, "full")
     action = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), F.when(F.col("auto"), "deactivate").otherwise("keep")).when(F.col("new") != F.col("old"), "update").otherwise("keep")
     return rows.select(key, F.coalesce("new", "old").alias("code"), action.alias("action"))
+
+
+def replace_table(current: DataFrame, new: DataFrame) -> DataFrame:
+    """The new rows in place of all old ones; the old ones stay if there is no new row at all."""
+    any_new = new.limit(1).agg((F.count("*") > 0).alias("_any"))  # one row
+    kept = current.crossJoin(F.broadcast(any_new)).filter(~F.col("_any")).drop("_any")
+    return new.unionByName(kept)
+
+
+def repair_plan(pairs: DataFrame, dependents: tuple = ("snapshots", "aliases", "listings"), target: str = "items") -> DataFrame:
+    """(keep_id, item_id, step, statement): for each duplicate the updates of its dependents, then its deletion."""
+    q = lambda c: F.col(c).cast("string")
+    steps = [F.concat(F.lit(f"UPDATE {t} SET item_id = '"), q("keep_id"), F.lit("' WHERE item_id = '"), q("item_id"), F.lit("';")) for t in dependents]
+    steps.append(F.concat(F.lit(f"DELETE FROM {target} WHERE id = '"), q("item_id"), F.lit("';")))
+    return pairs.select("keep_id", "item_id", F.posexplode(F.array(*steps)).alias("step", "statement"))
+
+
+def clamp_reference(references: DataFrame, items: DataFrame, low: float = 0.5, high: float = 1.4) -> DataFrame:
+    """references with the list price where theirs is outside low..high times a positive list price; `clamped` says so."""
+    rows = references.join(items.select("item_id", F.col("list_price").cast("double").alias("_list")), "item_id", "left")
+    out = F.coalesce((F.col("_list") > 0) & ((F.col("reference_price") > F.col("_list") * high) | (F.col("reference_price") < F.col("_list") * low)), F.lit(False))
+    return rows.withColumn("clamped", out).withColumn("reference_price", F.when(out, F.col("_list")).otherwise(F.col("reference_price"))).drop("_list")
+
+
+def sync_prices(top: DataFrame, current: DataFrame, key: str = "listing_id") -> DataFrame:
+    """top with the current prices, places as they were; `synced` says which price changed."""
+    now = current.groupBy(key).agg(F.max("price").alias("_now"))
+    rows = top.join(now, key, "left")
+    return rows.withColumn("synced", F.coalesce(F.col("_now") != F.col("price"), F.lit(False))).withColumn("price", F.coalesce("_now", "price")).drop("_now")
+
+
+def run_metrics(rows: DataFrame, run: list[str], matched: Column, inserted: Column, failed: Column) -> DataFrame:
+    """For each run its counts and status: error if rows failed and none was inserted, partial if some failed."""
+    per = rows.groupBy(*run).agg(F.count("*").alias("scraped"), F.count_if(matched).alias("matched"), F.count_if(inserted).alias("inserted"), F.count_if(failed).alias("errors"))
+    status = F.when((F.col("errors") > 0) & (F.col("inserted") == 0), "error").when(F.col("errors") > 0, "partial").otherwise("success")
+    return per.withColumn("status", status)
+
+
+def rekey_all(snapshots: DataFrame, aliases: DataFrame, candidates: DataFrame, items: DataFrame, mapping: DataFrame) -> dict[str, DataFrame]:
+    """The four tables after duplicates (mapping: item_id, keep_id) became their survivors.
+
+    Of aliases that meet on (item, store, text) the survivor's own stays, else the first; the survivors'
+    list price becomes the mean of their available snapshots, in cents.
+    """
+    moved = rekey(snapshots, mapping, "item_id")
+    own = aliases.withColumn("_moved", F.col("item_id")).transform(lambda d: rekey(d, mapping, "item_id")).withColumn("_moved", F.col("_moved") != F.col("item_id"))
+    own = first_by(own, ["item_id", "store_id", "alias"], [F.asc("_moved"), F.asc("alias_id")]).drop("_moved")
+    mean = moved.filter("available").join(mapping.select(F.col("keep_id").alias("item_id")).distinct(), "item_id", "left_semi").groupBy("item_id").agg((F.sum("price").cast("double") / F.count("*")).alias("_m"))
+    left = items.join(mapping.select("item_id"), "item_id", "left_anti").join(mean, "item_id", "left")
+    price = F.when(F.col("_m").isNotNull(), (F.floor(F.col("_m") * 100 + 0.5) / 100).cast("decimal(10,2)")).otherwise(F.col("list_price"))
+    return {"snapshots": moved, "aliases": own, "candidates": rekey(candidates, mapping, "item_id"), "items": left.withColumn("list_price", price).drop("_m")}
+
+
+def merge_into_candidates(current: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored candidates with new sightings merged in: the union of sources, least and greatest price, counter
+    plus one for each sighting. current: title, low, high, seen, sources; new: title, price, source."""
+    found = merge_candidates(new)
+    both = current.select("title", "low", "high", "seen", "sources").unionByName(found.select("title", "low", "high", "seen", "sources"))
+    return both.groupBy("title").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("seen").alias("seen"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))

@@ -68,22 +68,37 @@ def attr_join(spark, sf):
     return rows.groupBy("offer_id").agg(F.count("*").alias("n"))
 
 
-@query(f"{CAT}, k AS (SELECT item_id, lower(brand || '|' || line || '|' || model || '|' || variant) AS b, coalesce(year, min(year) OVER (PARTITION BY lower(brand || '|' || line || '|' || model || '|' || variant)), 0) AS y FROM cat) SELECT item_id, replace(b, '#', ' ') || '|' || y AS key, min(item_id) OVER (PARTITION BY b, y) AS keep_id FROM k QUALIFY count(*) OVER (PARTITION BY b, y) > 1")
+GROUPS = f"""{CAT}, r0 AS (SELECT item_id, replace(lower(brand), '#', ' ') AS b, lower(line) AS l, lower(variant) AS v, lower(CASE WHEN item_id % 4 = 0 THEN split_part(model, ' ', 1) ELSE model END) AS m, year FROM cat),
+r AS (SELECT *, coalesce(year, min(year) OVER (PARTITION BY b, l, v, m), 0) AS y FROM r0), g AS (SELECT DISTINCT b, l, v, m, y FROM r),
+a AS (SELECT s.b, s.l, s.v, s.m, s.y, w.m AS wide FROM g s JOIN g w USING (b, l, v, y) WHERE len(string_split(s.m, ' ')) < len(string_split(w.m, ' ')) AND len(list_filter(string_split(s.m, ' '), lambda x: NOT list_contains(string_split(w.m, ' '), x))) = 0
+  QUALIFY row_number() OVER (PARTITION BY s.b, s.l, s.v, s.m, s.y ORDER BY len(string_split(w.m, ' ')) DESC, w.m) = 1),
+f AS (SELECT r.*, b || '|' || l || '|' || coalesce(wide, m) || '|' || v || '|' || y AS key FROM r LEFT JOIN a USING (b, l, v, m, y))"""
+
+
+@query(f"{GROUPS} SELECT item_id, key, min(item_id) OVER (PARTITION BY key) AS keep_id FROM f QUALIFY count(*) OVER (PARTITION BY key) > 1")
 def duplicate_groups(spark, sf):
-    return M.duplicate_groups(catalogue(spark, sf))
+    """Every fourth model is cut to its first word, so that it is part of a longer one."""
+    short = F.when(F.col("item_id") % 4 == 0, F.substring_index("model", " ", 1)).otherwise(F.col("model"))
+    return M.duplicate_groups(catalogue(spark, sf).withColumn("model", short))
 
 
-@query("SELECT p_partkey AS item_id, p_name AS name, min(p_partkey) OVER (PARTITION BY p_name) AS keep_id FROM part QUALIFY count(*) OVER (PARTITION BY p_name) > 1")
+@query("""WITH s AS (SELECT p_partkey AS item_id, p_name AS name, CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 ELSE 99 END AS rank, CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE 0 END AS bare FROM part)
+SELECT item_id, name, first_value(item_id) OVER (PARTITION BY name ORDER BY rank, bare, item_id) AS keep_id FROM s QUALIFY count(*) OVER (PARTITION BY name) > 1""")
 def survivor(spark, sf):
-    return M.survivors(catalogue(spark, sf).select("item_id", "name"), ["name"])
+    k = F.col("item_id")
+    source = F.when(k % 5 == 0, "padelful").when(k % 5 == 1, "padelzoom").when(k % 5 == 2, "padelnuestro").when(k % 5 == 3, "revision_manual").otherwise("other")
+    image = F.when(k % 3 == 1, "data:x").when(k % 3 == 2, "https://s.example/x.jpg")
+    return M.survivors(catalogue(spark, sf).select("item_id", "name").withColumns({"source": source, "image": image}), ["name"])
 
 
-@query(f"{CAT}, k AS (SELECT item_id, min(item_id) OVER (PARTITION BY brand, line, variant, model, year) AS keep_id FROM cat) SELECT item_id, keep_id, CASE WHEN item_id IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') THEN 'NEEDS_MERGE' ELSE 'SAFE_DELETE' END AS action FROM k WHERE item_id <> keep_id AND true")
+@query(f"""{CAT}, r AS (SELECT item_id, brand AS b, line AS l, lower(variant) AS v, string_split(lower(model), ' ') AS t, year AS y,
+  array_to_string(list_sort(list_distinct(list_concat(string_split(lower(model), ' '), [lower(variant)]))), '|') AS s, item_id IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 3) AS held FROM cat),
+q AS (SELECT x.item_id AS i, z.item_id AS j, x.held AS hi, z.held AS hj, (x.v = z.v AND (len(list_filter(x.t, lambda w: NOT list_contains(z.t, w))) = 0 OR len(list_filter(z.t, lambda w: NOT list_contains(x.t, w))) = 0)) OR x.s = z.s AS same
+  FROM r x JOIN r z ON x.b = z.b AND x.l = z.l AND x.item_id < z.item_id WHERE x.y IS NULL OR z.y IS NULL OR x.y = z.y)
+SELECT CASE WHEN NOT hi AND hj THEN i ELSE j END AS item_id, CASE WHEN NOT hi AND hj THEN j ELSE i END AS keep_id, CASE WHEN hi AND hj THEN 'NEEDS_MERGE' ELSE 'SAFE_DELETE' END AS action FROM q WHERE same""")
 def pair_self_join(spark, sf):
-    held = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("item_id"))
-    # Variant and model may swap places in a signature; a mark keeps them apart.
-    rows = catalogue(spark, sf).withColumn("model", F.concat(F.lit("t"), "model"))
-    return M.duplicate_pairs(rows, held)
+    held = table(spark, sf, "lineitem").filter("l_returnflag = 'R' and l_quantity < 3").select(F.col("l_partkey").alias("item_id"))
+    return M.duplicate_pairs(catalogue(spark, sf), held)
 
 
 SIM = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))"
@@ -121,13 +136,22 @@ def match_audit(spark, sf):
     return M.match_audit(rows).groupBy("code", "severity").agg(F.count("*").alias("n"))
 
 
-@query("SELECT a.p_partkey AS item_id, CAST(100 AS DOUBLE) AS similarity FROM part a")
+@query("""WITH t AS (SELECT p_partkey AS item_id, string_split(p_name, ' ') AS a, list_filter(string_split(lower(p_type), ' '), lambda x: length(x) > 1) AS b0, p_partkey % 3 AS k FROM part),
+s AS (SELECT item_id, a, CASE k WHEN 0 THEN list_concat(list_transform(a, lambda x: x[1:2]), b0) WHEN 1 THEN [a[1] || 'x'] ELSE b0 END AS b FROM t)
+SELECT item_id, CAST(len(list_filter(a, lambda x: len(list_filter(b, lambda y: starts_with(x, y) OR starts_with(y, x))) > 0)) AS DOUBLE) / greatest(len(a), len(list_distinct(b))) * 100 AS similarity FROM s""")
 def token_similarity(spark, sf):
+    """Against prefixes and other words; against a longer first word; against other words."""
     p = table(spark, sf, "part")
-    return p.select(F.col("p_partkey").alias("item_id"), X.token_similarity(F.col("p_name"), F.upper("p_name")).alias("similarity"))
+    a = F.split("p_name", " ")
+    k = F.col("p_partkey") % 3
+    other = F.when(k == 0, F.concat_ws(" ", F.transform(a, lambda x: F.substring(x, 1, 2)), F.upper("p_type"))).when(k == 1, F.concat(a[0], F.lit("x"))).otherwise(F.col("p_type"))
+    return p.select(F.col("p_partkey").alias("item_id"), X.token_similarity(F.col("p_name"), other).alias("similarity"))
 
 
-@query("SELECT p_partkey AS item_id, len(list_intersect(string_split(p_name, ' '), ['red', 'ring', 'small'])) / CAST(len(list_distinct(list_concat(string_split(p_name, ' '), ['red', 'ring', 'small']))) AS DOUBLE) AS similarity FROM part")
+@query(f"""{CAT}, x AS (SELECT item_id, brand, list_distinct(string_split(lower(name || ' ' || model), ' ')) AS t FROM cat), b AS (SELECT * FROM x WHERE item_id % 10 = 0), c AS (SELECT * FROM x WHERE item_id % 10 <> 0),
+s AS (SELECT b.item_id AS broken_id, c.item_id, CAST(len(list_intersect(b.t, c.t)) AS DOUBLE) / len(list_distinct(list_concat(b.t, c.t))) AS score FROM b JOIN c USING (brand))
+SELECT broken_id, item_id, score FROM s WHERE score >= 0.5::DOUBLE QUALIFY row_number() OVER (PARTITION BY broken_id ORDER BY score DESC, item_id) = 1""")
 def jaccard_best(spark, sf):
-    words = F.array(F.lit("red"), F.lit("ring"), F.lit("small"))
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), X.jaccard(F.split("p_name", " "), words).alias("similarity"))
+    """Every tenth row has lost its line."""
+    rows = catalogue(spark, sf).withColumn("name", F.concat_ws(" ", "name", "model"))
+    return M.best_by_jaccard(rows.filter("item_id % 10 = 0"), rows.filter("item_id % 10 <> 0"))

@@ -140,9 +140,9 @@ def coalesce_join(spark, sf):
     return rows.select(F.col("o_orderkey").alias("id"), F.coalesce(F.when(F.col("o_orderstatus") == "P", "own"), "flag", F.lit("none")).alias("image"))
 
 
-@query(f"{LST}, ph AS (SELECT DISTINCT lower(name) AS phrase FROM cat WHERE item_id < 200) SELECT phrase, count(*) AS n, min(price) AS low FROM ph JOIN lst ON contains(lower(title), phrase) GROUP BY phrase")
+@query(f"{LST}, ph AS (SELECT DISTINCT lower(name) AS phrase FROM cat) SELECT phrase, count(*) AS n, min(price) AS low FROM ph JOIN lst ON contains(lower(title), phrase) GROUP BY phrase")
 def phrase_join(spark, sf):
-    phrases = catalogue(spark, sf).filter("item_id < 200").select(F.lower("name").alias("phrase")).distinct()
+    phrases = catalogue(spark, sf).select(F.lower("name").alias("phrase")).distinct()
     return ranking.phrase_join(listings(spark, sf), phrases).groupBy("phrase").agg(F.count("*").alias("n"), F.min("price").alias("low"))
 
 
@@ -209,18 +209,18 @@ def price_patterns(spark, sf):
     return ranking.price_patterns(table(spark, sf, "events"))
 
 
-OPPORTUNITY = f"""{LST}, ph AS (SELECT DISTINCT lower(name) AS phrase FROM cat WHERE item_id < 200),
-j AS (SELECT lst.*, phrase FROM ph JOIN lst ON contains(lower(title), phrase) WHERE condition IN ('new', 'as_good_as_new') AND price >= 1),
+OPPORTUNITY = f"""{LST}, ph AS (SELECT DISTINCT lower(name) AS phrase FROM cat),
+j AS (SELECT lst.*, phrase FROM ph JOIN lst ON contains(lower(title), phrase) WHERE condition IN ('new', 'as_good_as_new') AND price >= 1 AND ts >= TIMESTAMP '{NOW}' - INTERVAL 25 DAY),
 m AS (SELECT phrase, median(CAST(price AS DOUBLE)) AS med FROM j GROUP BY phrase HAVING count(*) >= 5),
-s AS (SELECT listing_id, phrase, price, condition, likes, title, med, 1 - CAST(price AS DOUBLE) / med AS disc, CAST(floor(epoch(TIMESTAMP '{NOW}' - ts) / 86400) AS INTEGER) AS age, CAST(nullif(regexp_extract(title, '20[0-9][0-9]'), '') AS INTEGER) AS y FROM j JOIN m USING (phrase) WHERE CAST(price AS DOUBLE) < med * 0.75::DOUBLE),
-o AS (SELECT listing_id, phrase, floor(disc * 100 + 0.1::DOUBLE * (med - CAST(price AS DOUBLE)) + CASE WHEN y IS NULL THEN -10 ELSE CASE y WHEN 2026 THEN 10 WHEN 2025 THEN 5 WHEN 2024 THEN 2 WHEN 2023 THEN -5 WHEN 2022 THEN -15 WHEN 2021 THEN -20 ELSE -25 END END
+s AS (SELECT listing_id, phrase, price, condition, likes, med, (med - CAST(price AS DOUBLE)) / med AS disc, CAST(floor(epoch(TIMESTAMP '{NOW}' - ts) / 86400) AS INTEGER) AS age, CAST(nullif(regexp_extract(coalesce(product, phrase), '20[0-9][0-9]'), '') AS INTEGER) AS y FROM j JOIN m USING (phrase) WHERE CAST(price AS DOUBLE) < med * 0.75::DOUBLE),
+o AS (SELECT listing_id, phrase, floor(floor(disc * 100 + 0.5) + 0.1::DOUBLE * (med - CAST(price AS DOUBLE)) + CASE WHEN y IS NULL THEN -10 ELSE CASE y WHEN 2026 THEN 10 WHEN 2025 THEN 5 WHEN 2024 THEN 2 WHEN 2023 THEN -5 WHEN 2022 THEN -15 WHEN 2021 THEN -20 ELSE -25 END END
   + CASE WHEN condition = 'new' THEN 8 ELSE 0 END + CASE WHEN age > 45 THEN -60 WHEN age > 30 THEN -40 WHEN age > 21 THEN -25 WHEN age > 14 THEN -15 WHEN age > 7 THEN -5 ELSE 0 END + 8 * ln(1 + likes) + 0.5) AS score FROM s)"""
 
 
 @query(f"{OPPORTUNITY} SELECT listing_id, phrase, CAST(score AS BIGINT) AS score FROM o QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY score DESC, phrase) = 1")
 def opportunity_score(spark, sf):
-    phrases = catalogue(spark, sf).filter("item_id < 200").select(F.lower("name").alias("phrase")).distinct()
-    return ranking.opportunities(listings(spark, sf), phrases, NOW, least_price=1)
+    phrases = catalogue(spark, sf).select(F.lower("name").alias("phrase")).distinct()
+    return ranking.opportunities(listings(spark, sf), phrases, NOW, days=25, least_price=1)
 
 
 @query(f"""{OPPORTUNITY}, b AS (SELECT listing_id, CAST(max(score) AS BIGINT) AS score FROM o GROUP BY listing_id),
@@ -323,11 +323,11 @@ def new_under_reference(spark, sf):
     return ranking.under_reference(rows, share=0.65).select("listing_id", "item_id", "price", round_half_up((1 - F.col("price").cast("double") / F.col("reference")) * 100).cast("double").alias("discount"))
 
 
-@query(f"""{LST}, a AS (SELECT c_custkey AS alert_id, ['red', 'blue', 'small', 'old'][1 + c_custkey % 4] AS word, CAST(c_custkey % 7 AS DECIMAL(10,2)) AS max_price FROM customer WHERE c_custkey % 20 = 0)
+@query(f"""{LST}, a AS (SELECT c_custkey AS alert_id, ['red', 'blue', 'small', 'old'][1 + c_custkey % 4] AS word, CAST(c_custkey % 7 AS DECIMAL(10,2)) AS max_price FROM customer)
 SELECT alert_id, listing_id FROM a JOIN lst ON list_contains(string_split(lower(title), ' '), word) AND price <= max_price WHERE listing_id % 3 <> 0""")
 def alert_matches(spark, sf):
     words = F.array(*[F.lit(w) for w in ("red", "blue", "small", "old")])
-    alerts = table(spark, sf, "customer").filter("c_custkey % 20 = 0").select(F.col("c_custkey").alias("alert_id"), words[(F.col("c_custkey") % 4).cast("int")].alias("word"), (F.col("c_custkey") % 7).cast("decimal(10,2)").alias("max_price"))
+    alerts = table(spark, sf, "customer").select(F.col("c_custkey").alias("alert_id"), words[(F.col("c_custkey") % 4).cast("int")].alias("word"), (F.col("c_custkey") % 7).cast("decimal(10,2)").alias("max_price"))
     rows = listings(spark, sf)
     return ranking.alert_matches(alerts, rows, rows.filter("listing_id % 3 = 0").select("listing_id"))
 

@@ -39,6 +39,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         confidence.alias("confidence"),
         (F.col("l_linestatus") == "O").alias("available"),
         url.alias("url"),
+        (F.col("l_shipdate").cast("date").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("l_orderkey") % 24).cast("int"))).alias("seen_at"),
     )
 
 
@@ -49,7 +50,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").withColumn("item_id", F.col("event_id") % 200)
     condition = F.when(F.col("event_type") == "view", "new").when(F.col("event_type") == "click", "as_good_as_new").when(F.col("event_type") == "purchase", "good").when(F.col("event_type") == "signup", "fair")
     likes = F.get_json_object("props", "$.k").try_cast("int") % 21
-    return rows.join(items, "item_id", "left").select(F.col("event_id").alias("listing_id"), "item_id", title.alias("title"), F.col("value").cast("decimal(10,2)").alias("price"), condition.alias("condition"), F.col("user_id").alias("seller"), "ts", likes.alias("likes"), F.col("event_type").alias("platform"))
+    return rows.join(items, "item_id", "left").select(F.col("event_id").alias("listing_id"), "item_id", title.alias("title"), F.col("value").cast("decimal(10,2)").alias("price"), condition.alias("condition"), F.col("user_id").alias("seller"), "ts", likes.alias("likes"), F.col("event_type").alias("platform"), F.when(F.col("event_id") % 3 != 0, F.concat_ws(" ", "name", F.col("year").cast("string"))).alias("product"))
 
 
 #: The same views in SQL, as common table expressions.
@@ -57,7 +58,8 @@ CATALOGUE_SQL = """cat AS (SELECT p_partkey AS item_id, p_brand AS brand, p_name
   CAST(CASE WHEN p_partkey % 10 <> 0 THEN 2018 + p_partkey % 9 END AS INTEGER) AS year, CAST(p_retailprice AS DECIMAL(10,2)) AS list_price FROM part)"""
 OBSERVATIONS_SQL = """obs AS (SELECT l_partkey AS item_id, l_suppkey AS store_id, CAST(p_retailprice * (50 + l_quantity) / 75 AS DECIMAL(18,4)) AS price, CAST(l_discount AS DECIMAL(6,4)) AS pct,
   CAST(l_shipdate AS DATE) AS day, l_orderkey AS order_key, l_linenumber AS line_number, CAST(CASE l_returnflag WHEN 'N' THEN 1.0 WHEN 'A' THEN 0.95 ELSE 0.9 END AS DECIMAL(3,2)) AS confidence,
-  l_linestatus = 'O' AS available, 'https://s' || l_suppkey || '.example/p-' || (l_partkey % 1000) || '-' || (l_linenumber % 3) AS url FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+  l_linestatus = 'O' AS available, 'https://s' || l_suppkey || '.example/p-' || (l_partkey % 1000) || '-' || (l_linenumber % 3) AS url,
+  CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) + to_hours(CAST(l_orderkey % 24 AS INTEGER)) AS seen_at FROM lineitem JOIN part ON p_partkey = l_partkey)"""
 LISTINGS_SQL = CATALOGUE_SQL + """, lst AS (SELECT event_id AS listing_id, event_id % 200 AS item_id, concat_ws(' ', c.name, c.model, CAST(c.year AS VARCHAR)) AS title, CAST(value AS DECIMAL(10,2)) AS price,
   CASE event_type WHEN 'view' THEN 'new' WHEN 'click' THEN 'as_good_as_new' WHEN 'purchase' THEN 'good' WHEN 'signup' THEN 'fair' END AS condition, user_id AS seller, ts,
-  CAST(json_extract_string(props, '$.k') AS INTEGER) % 21 AS likes, event_type AS platform FROM events LEFT JOIN (SELECT * FROM cat WHERE item_id < 200) c ON c.item_id = event_id % 200)"""
+  CAST(json_extract_string(props, '$.k') AS INTEGER) % 21 AS likes, event_type AS platform, CASE WHEN event_id % 3 <> 0 THEN concat_ws(' ', c.name, CAST(c.year AS VARCHAR)) END AS product FROM events LEFT JOIN (SELECT * FROM cat WHERE item_id < 200) c ON c.item_id = event_id % 200)"""
