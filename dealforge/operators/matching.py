@@ -76,17 +76,44 @@ def prefer(rows: DataFrame, keys: list[str], rung: Column) -> DataFrame:
 
 
 def attribute_candidates(found: DataFrame, items: DataFrame, id_col: str = "offer_id") -> DataFrame:
-    """Candidates of each title on equal brand and line, then variant, model and year, after the ladder."""
-    c = items.select("item_id", F.col("brand"), F.col("line"), F.col("variant").alias("c_variant"), F.col("model").alias("c_model"), F.col("year").alias("c_year"))
-    rows = found.join(c, ["brand", "line"])
-    fits = F.col("variant").eqNullSafe(F.col("c_variant")) & (F.col("year").isNull() | F.col("c_year").isNull() | (F.col("year") == F.col("c_year")))
-    rows = rows.filter(fits).filter(model_compatible(F.col("c_model"), F.col("model"), F.col("c_year"), F.col("year")))
-    rows = prefer(rows, [id_col], X.normalize(F.col("c_model")) == F.col("model"))
-    rows = prefer(rows, [id_col], F.col("year") == F.col("c_year"))
-    # Without a year in the title the newest stays, if nothing but the year differs.
-    newest = Window.partitionBy(id_col)
-    same = F.size(F.collect_set(F.struct(F.coalesce("c_model", F.lit("")), F.coalesce("c_variant", F.lit("")))).over(newest)) == 1
-    return rows.withColumn("_same", same).withColumn("_last", F.max("c_year").over(newest)).filter(~(F.col("_same") & F.col("year").isNull()) | F.col("_last").isNull() | (F.col("c_year") == F.col("_last"))).drop("_same", "_last")
+    """Candidates of each title on equal brand and line, after the ladder.
+
+    First rows with an equal variant and a compatible model (or, without a model in the title, a
+    row whose model is the title's variant); else the same with the player's name (column player,
+    if there is one) for the model; else the only row of an equal signature. Then rows whose model
+    words are just the title's; a single row of the title's year; without a year in the title the
+    newest of rows that differ in nothing else; and of rows that differ in colour the title's.
+    """
+    player = F.col("player") if "player" in found.columns else F.lit(None).cast("string")
+    line = F.lower(X.line_name(F.col("line")))
+    c = items.select("item_id", "brand", line.alias("line_key"), F.col("line").alias("c_line"), F.col("variant").alias("c_variant"), F.col("model").alias("c_model"), F.col("year").alias("c_year"))
+    asked = found.select(*[F.col(x) for x in found.columns if x not in ("player", "line_key")], player.alias("player"), line.alias("line_key"))
+    rows = asked.join(c, ["brand", "line_key"]).filter(F.col("year").isNull() | F.col("c_year").isNull() | (F.col("year") == F.col("c_year")))
+    own, cat = X.variant_name(F.col("variant")), X.variant_name(F.col("c_variant"))
+
+    def fits(model: Column) -> Column:
+        crossed = (F.coalesce(model, F.lit("")) == "") & own.isNotNull() & cat.isNull() & (X.variant_name(F.col("c_model")) == own)
+        return (own.eqNullSafe(cat) & model_compatible(F.col("c_model"), model, F.col("c_year"), F.col("year"))) | F.coalesce(crossed, F.lit(False))
+
+    signed = X.signature(F.coalesce(F.nullif("model", F.lit("")), "player"), F.col("variant"), F.col("year"))
+    same = (signed != "") & (X.signature(F.col("c_model"), F.col("c_variant"), F.coalesce("c_year", "year")) == signed)
+    level = F.when(fits(F.col("model")), 1).when(F.col("player").isNotNull() & fits(F.col("player")), 2).when(same, 3)
+    title = Window.partitionBy(id_col)
+    rows = rows.withColumn("_level", level).filter("_level is not null").withColumn("_least", F.min("_level").over(title)).withColumn("_n", F.count("*").over(title))
+    rows = rows.filter((F.col("_level") == F.col("_least")) & ((F.col("_least") < 3) | (F.col("_n") == 1))).drop("_level", "_least", "_n")
+    named = F.coalesce(F.nullif("model", F.lit("")), "player")
+    tc, tt = X.model_tokens(F.col("c_model")), X.model_tokens(named)
+    rows = prefer(rows, [id_col], (F.size(tc) > 0) & X.all_in(tt, tc) & X.all_in(tc, tt))
+    exact = F.coalesce(F.col("year") == F.col("c_year"), F.lit(False))
+    rows = rows.withColumn("_exact", F.count_if(exact).over(title)).filter((F.col("_exact") != 1) | exact).drop("_exact")
+    key = F.struct(F.lower("c_line"), F.lower(F.coalesce("c_model", F.lit(""))), F.coalesce(cat, F.lit("")))
+    newest = F.row_number().over(title.orderBy(F.desc(F.coalesce("c_year", F.lit(0))), "item_id"))
+    rows = rows.withColumns({"_keys": F.size(F.collect_set(key).over(title)), "_newest": newest}).filter(F.col("year").isNotNull() | (F.col("_keys") > 1) | (F.col("_newest") == 1)).drop("_keys", "_newest")
+    plain = F.struct(F.lower("c_line"), F.coalesce(cat, F.lit("")), F.coalesce("c_year", F.lit(0)), F.coalesce(X.without_colour(F.col("c_model")), F.lit("")))
+    right = X.colour_of(named).eqNullSafe(X.colour_of(F.col("c_model")))
+    rows = rows.withColumns({"_plain": F.size(F.collect_set(plain).over(title)), "_right": right})
+    rows = rows.withColumn("_hits", F.count_if("_right").over(title)).filter((F.col("_plain") > 1) | (F.col("_hits") != 1) | F.col("_right"))
+    return rows.drop("_plain", "_right", "_hits", "player", "line_key", "c_line")
 
 
 def match_cascade(offers: DataFrame, aliases: DataFrame, items: DataFrame, exclude: str, dictionary: DataFrame | None = None) -> DataFrame:

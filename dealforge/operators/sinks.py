@@ -136,3 +136,8 @@ def merge_into_candidates(current: DataFrame, new: DataFrame) -> DataFrame:
     found = merge_candidates(new)
     both = current.select("title", "low", "high", "seen", "sources").unionByName(found.select("title", "low", "high", "seen", "sources"))
     return both.groupBy("title").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("seen").alias("seen"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+
+
+def count_up(current: DataFrame, events: DataFrame) -> DataFrame:
+    """Counters (key, n) with one more for each event of a key; keys not seen before are inserted."""
+    return current.select("key", "n").unionByName(events.groupBy("key").agg(F.count("*").alias("n"))).groupBy("key").agg(F.sum("n").alias("n"))

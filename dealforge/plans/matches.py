@@ -47,8 +47,8 @@ def detect_brand(spark, sf):
 
 @query(f"""{CAT}, o AS (SELECT item_id AS offer_id, brand, line, variant, model, CASE WHEN item_id % 2 = 0 THEN year END AS year FROM cat),
 c AS (SELECT o.*, cat.item_id, cat.year AS cy FROM o JOIN cat USING (brand, line, variant, model) WHERE o.year IS NULL OR cat.year IS NULL OR o.year = cat.year),
-y AS (SELECT *, bool_or(coalesce(year = cy, false)) OVER (PARTITION BY offer_id) AS any_year, max(cy) OVER (PARTITION BY offer_id) AS last FROM c),
-k AS (SELECT * FROM y WHERE (NOT any_year OR year = cy) AND (year IS NOT NULL OR last IS NULL OR cy = last)),
+y AS (SELECT *, count(*) FILTER (year = cy) OVER (PARTITION BY offer_id) AS exact, row_number() OVER (PARTITION BY offer_id ORDER BY coalesce(cy, 0) DESC, item_id) AS newest FROM c),
+k AS (SELECT * FROM y WHERE CASE WHEN year IS NOT NULL THEN exact <> 1 OR year = cy ELSE newest = 1 END),
 n AS (SELECT offer_id, count(DISTINCT item_id) AS n, min(item_id) AS hit FROM k GROUP BY offer_id),
 s AS (SELECT o.offer_id, o.line = 'anvil' AS excluded, o.offer_id % 10 = 3 AS known, coalesce(n, 0) AS n, hit FROM o LEFT JOIN n USING (offer_id))
 SELECT offer_id, CASE WHEN excluded THEN 'excluded' WHEN known THEN 'alias' WHEN n = 1 THEN 'attributes' WHEN n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS class,
@@ -60,12 +60,15 @@ def match_cascade(spark, sf):
     return M.match_cascade(rows, known, marked(spark, sf), r"\banvil\b")
 
 
-@query(f"{CAT}, o AS (SELECT item_id AS offer_id, brand, line, variant, model, CASE WHEN item_id % 2 = 0 THEN year END AS year FROM cat) SELECT offer_id, count(*) AS n FROM o JOIN cat USING (brand, line, variant, model) WHERE o.year IS NULL OR cat.year IS NULL OR o.year = cat.year GROUP BY offer_id")
+@query(f"""{CAT}, o AS (SELECT item_id AS offer_id, brand, line, variant, model, CASE WHEN item_id % 2 = 0 THEN year END AS year FROM cat),
+c AS (SELECT o.*, cat.item_id, cat.year AS cy FROM o JOIN cat USING (brand, line, variant, model) WHERE o.year IS NULL OR cat.year IS NULL OR o.year = cat.year),
+y AS (SELECT *, count(*) FILTER (year = cy) OVER (PARTITION BY offer_id) AS exact, row_number() OVER (PARTITION BY offer_id ORDER BY coalesce(cy, 0) DESC, item_id) AS newest FROM c),
+k AS (SELECT * FROM y WHERE CASE WHEN year IS NOT NULL THEN exact <> 1 OR year = cy ELSE newest = 1 END) SELECT offer_id, item_id FROM k""")
 def attr_join(spark, sf):
-    c = catalogue(spark, sf)
-    o = c.select(F.col("item_id").alias("offer_id"), "brand", "line", F.col("variant").alias("v"), F.lower("model").alias("m"), F.when(F.col("item_id") % 2 == 0, F.col("year")).alias("y"), "year")
-    rows = o.drop("year").join(c, ["brand", "line"]).filter((F.col("v") == F.col("variant")) & (F.col("m") == F.lower("model")) & (F.col("y").isNull() | F.col("year").isNull() | (F.col("y") == F.col("year"))))
-    return rows.groupBy("offer_id").agg(F.count("*").alias("n"))
+    """Titles' attributes as the extractor gives them, against the catalogue."""
+    c = marked(spark, sf)
+    asked = c.select(F.col("item_id").alias("offer_id"), "brand", "line", "variant", "model", F.when(F.col("item_id") % 2 == 0, F.col("year")).alias("year"))
+    return M.attribute_candidates(asked, c).select("offer_id", "item_id")
 
 
 GROUPS = f"""{CAT}, r0 AS (SELECT item_id, replace(lower(brand), '#', ' ') AS b, lower(line) AS l, lower(variant) AS v, lower(CASE WHEN item_id % 4 = 0 THEN split_part(model, ' ', 1) ELSE model END) AS m, year FROM cat),

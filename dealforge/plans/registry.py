@@ -1,9 +1,8 @@
-"""All queries and their SQL equivalents."""
+"""All queries of the library and their SQL."""
 
-from __future__ import annotations
+from dealforge.plans import landed, matches, more, prices, relational, resolved, rules, text
 
-from dealforge.plans import matches, more, prices, relational, text
-
-_MODULES = (prices, relational, text, matches, more)
-QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
-ORACLE: dict = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
+QUERIES, ORACLE = {}, {}
+for module in (relational, text, prices, matches, more, rules, landed, resolved):
+    QUERIES |= module.QUERIES
+    ORACLE |= module.ORACLE

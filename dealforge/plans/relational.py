@@ -336,3 +336,41 @@ def alert_matches(spark, sf):
 def brand_page(spark, sf):
     w = Window.partitionBy("brand").orderBy(F.desc("list_price"), "item_id")
     return catalogue(spark, sf).withColumn("rn", F.row_number().over(w)).filter("rn <= 12").select("brand", "item_id", "list_price")
+
+
+@query("""WITH f AS (SELECT o_custkey AS user_id, l_partkey AS item_id, max(CAST(l_extendedprice * 0.9 AS DECIMAL(15,2))) AS wanted FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL), p AS (SELECT l_partkey AS item_id, min(CAST(l_extendedprice AS DECIMAL(15,2))) AS price FROM lineitem GROUP BY l_partkey)
+SELECT user_id, item_id, price FROM f JOIN p USING (item_id) WHERE price <= wanted AND user_id % 5 <> 0""")
+def favourite_drops(spark, sf):
+    """Every fifth user was told of a lower price before."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_partkey").alias("item_id"), F.col("l_extendedprice").cast("decimal(15,2)").alias("price"), (F.col("l_extendedprice") * 0.9).cast("decimal(15,2)").alias("wanted"))
+    fav = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id")).join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("user_id", "item_id").agg(F.max("wanted").alias("wanted"))
+    told = fav.filter("user_id % 5 = 0").select("user_id", "item_id", F.lit(0).cast("decimal(15,2)").alias("price"))
+    return ranking.favourite_drops(fav, lines.select("item_id", "price"), told)
+
+
+@query(f"{LST}, r AS (SELECT * FROM lst WHERE contains(lower(title), 'ring')), m AS (SELECT median(CAST(price AS DOUBLE)) AS med, count(*) AS n FROM r WHERE condition IN ('new', 'as_good_as_new')) SELECT listing_id, coalesce(n >= 5 AND CAST(price AS DOUBLE) < med * 0.75::DOUBLE, false) AS opportunity FROM r, m")
+def search_flags(spark, sf):
+    return ranking.search_flags(ranking.keyword_search(listings(spark, sf), ["ring"])).select("listing_id", "opportunity")
+
+
+@query("""WITH s AS (SELECT *, coalesce(value < lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id), false) AS fell FROM events), d AS (SELECT event_type AS store, CAST(hour(ts + INTERVAL 1 HOUR) AS BIGINT) AS h, CAST(dayofweek(ts + INTERVAL 1 HOUR) AS BIGINT) AS w FROM s WHERE fell)
+SELECT store, 'hour' AS kind, h AS slot, count(*) AS drops FROM d GROUP BY ALL UNION ALL SELECT store, 'weekday', w, count(*) FROM d GROUP BY ALL""")
+def drop_histogram(spark, sf):
+    return ranking.drop_histogram(table(spark, sf, "events"))
+
+
+@query(f"{LST}, r AS (SELECT l_partkey AS item_id, floor(CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2))) AS DOUBLE) / count(*) / 800 * 100 + 0.5) / 100 AS reference FROM lineitem GROUP BY l_partkey) SELECT listing_id, lst.item_id, reference FROM lst JOIN r ON r.item_id = lst.item_id WHERE condition = 'new' AND CAST(price AS DOUBLE) <= reference * 0.65::DOUBLE")
+def under_own_reference(spark, sf):
+    """New listings against their own product's reference, by an inner join with a condition on it."""
+    price = F.col("l_extendedprice").cast("decimal(15,2)")
+    refs = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("item_id")).agg(round_half_up(F.sum(price).cast("double") / F.count("*") / 800, 2).alias("reference"))
+    rows = listings(spark, sf).filter("condition = 'new'").join(refs, "item_id")
+    return ranking.under_reference(rows, share=0.65).select("listing_id", "item_id", "reference")
+
+
+@query("""WITH o AS (SELECT c_custkey AS key, CAST(c_custkey % 4 AS BIGINT) AS n FROM customer WHERE c_custkey % 2 = 0), w AS (SELECT o_custkey AS key, count(*) AS n FROM orders GROUP BY o_custkey), t AS (SELECT coalesce(o.key, w.key) AS key, CAST(coalesce(o.n, 0) + coalesce(w.n, 0) AS BIGINT) AS n FROM o FULL JOIN w ON o.key = w.key)
+SELECT key, n FROM t ORDER BY n DESC, key LIMIT 10""")
+def counter_top(spark, sf):
+    """Stored counters plus new ones, and the ten greatest."""
+    old = table(spark, sf, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), (F.col("c_custkey") % 4).cast("bigint").alias("n"))
+    return sinks.count_up(old, table(spark, sf, "orders").select(F.col("o_custkey").alias("key"))).orderBy(F.desc("n"), "key").limit(10)

@@ -6,8 +6,10 @@ folder on storage that the cluster shares. AvailableNow catches up and stops.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 
 from dealforge.operators.pricing import first_by
@@ -37,3 +39,50 @@ def daily_upsert(stream: DataFrame, path: str, checkpoint: str, keys: tuple = ("
 def latest(spark: SparkSession, path: str, keys: tuple = ("item_id", "store_id", "day"), order: str = "seq") -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.desc("_batch"), F.desc(order))
     return spark.read.parquet(path).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_batch", "batch")
+
+
+DEAL_STATE = "item_id bigint, store_id bigint, action string, price double"
+
+
+def deal_states(stream: DataFrame, step: float = 0.99) -> DataFrame:
+    """Actions of deals as sightings arrive: (item_id, store_id, action, price); action is insert, reactivate,
+    cheaper or expire.
+
+    stream: item_id, store_id, run, price, where a null price says that run found the deal gone. Of one
+    run's sightings of a deal the least price counts; a run at or before the last one seen is ignored, so that a
+    replay changes nothing. The state of a deal is its last run, whether it is active, and its last price.
+    """
+
+    def update(key: tuple, frames, state: GroupState):
+        run, active, last = state.get if state.exists else (-1, False, float("nan"))
+        seen = state.exists
+        out = []
+        rows = pd.concat(list(frames)).sort_values(["run", "price"])
+        for r, price in zip(rows["run"], rows["price"]):
+            if r <= run:
+                continue
+            run = int(r)
+            if pd.isna(price):
+                if active:
+                    out.append(("expire", last))
+                active = False
+                continue
+            action = "insert" if not seen else "reactivate" if not active else "cheaper" if price < last * step else None
+            if action:
+                out.append((action, float(price)))
+            seen, active, last = True, True, float(price)
+        if seen:
+            state.update((run, active, last))
+        yield pd.DataFrame([(*key, *o) for o in out], columns=["item_id", "store_id", "action", "price"])
+
+    rows = stream.select(F.col("item_id").cast("bigint"), F.col("store_id").cast("bigint"), F.col("run").cast("bigint"), F.col("price").cast("double"))
+    return rows.groupBy("item_id", "store_id").applyInPandasWithState(update, DEAL_STATE, "run bigint, active boolean, last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def every(stream: DataFrame, name: str, sink, checkpoint: str, hours: int) -> StreamingQuery | None:
+    """Starts `sink` on each batch every so many hours, under a name; nothing if a query of that name is running
+    in this application."""
+    spark = stream.sparkSession
+    if any(q.name == name and q.isActive for q in spark.streams.active):
+        return None
+    return stream.writeStream.queryName(name).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=f"{hours} hours").start()

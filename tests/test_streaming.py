@@ -22,3 +22,26 @@ def test_new_listings_once(spark, tmp_path):
     q = jobs.new_listings(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.listing_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_deal_states_over_batches(spark, tmp_path):
+    runs = [(1, 10.0), (2, 9.99), (3, 9.0), (4, None), (5, None), (6, 9.5), (6, 1.0)]
+    kind = "item_id int, store_id int, run int, price double"
+    for n, price in runs:
+        spark.createDataFrame([(1, 1, n, price), (2, 1, n, 5.0)], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/run={n}"))
+    stream = spark.readStream.schema("item_id int, store_id int, run int, price double").option("basePath", str(tmp_path / "in")).parquet(str(tmp_path / "in/*"))
+    q = jobs.deal_states(stream).writeStream.format("memory").queryName("deal_states").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = [(r.item_id, r.action, r.price) for r in spark.table("deal_states").collect()]
+    assert [g for g in got if g[0] == 2] == [(2, "insert", 5.0)]
+    assert [g[1:] for g in got if g[0] == 1][:4] == [("insert", 10.0), ("cheaper", 9.0), ("expire", 9.0), ("reactivate", 1.0)]
+
+
+def test_one_query_of_a_name_at_a_time(spark, tmp_path):
+    spark.createDataFrame([(1,)], "x int").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("x int").parquet(str(tmp_path / "in"))
+    first = jobs.every(stream, "periodic", lambda batch, n: None, str(tmp_path / "c"), 2)
+    try:
+        assert first is not None and jobs.every(stream, "periodic", lambda batch, n: None, str(tmp_path / "d"), 2) is None
+    finally:
+        first.stop()
