@@ -5,20 +5,24 @@ library's own mark for one. No piece of the
 vocabulary has a space mark after another character (checked when the model is loaded), and
 the library writes a space mark before each text that it is given, so the cut space is not
 lost and the counts of the parts add up to the count of the whole. Parts recur, so each
-worker keeps a bounded memo of their counts and encodes only new ones, in batches balanced
-by bytes.
+worker keeps a bounded memo of their counts and encodes only new ones. Texts are taken in slices
+balanced by bytes, the new parts of a slice are encoded together in batches balanced by bytes, and
+a text longer than a slice is taken in stretches.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textkernel import chunks
+
 MEMO_PARTS = 400_000
 BATCH_BYTES = 1 << 20
 _CUT = re.compile(r"(?<=[^ ▁]) (?=[^ ▁])")
@@ -31,6 +35,15 @@ def cut(text: str) -> list[str]:
     return text.split(" ")
 
 
+def stretches(text: str, size: int) -> Iterator[str]:
+    """A long text in stretches of about `size`, cut where cut() would."""
+    at = 0
+    while at < len(text):
+        found = _CUT.search(text, at + size) if at + size < len(text) else None
+        yield text[at : found.start() if found else len(text)]
+        at = found.end() if found else len(text)
+
+
 def _load(path: str) -> tuple:
     if path not in _LOADED:
         import sentencepiece
@@ -58,20 +71,15 @@ def token_counter(path: str):
     def count(texts: list[str | None]) -> list[int]:
         if not safe:
             return [len(model.encode(t or "", num_threads=1)) for t in texts]
-        out = []
-        for text in texts:
-            parts = cut(text) if text else []
-            try:
-                out.append(sum(map(memo.__getitem__, parts)))
-            except KeyError:
-                if len(memo) > MEMO_PARTS:
-                    memo.clear()
-                # A long part is not worth a place in the memo, but its count is needed once.
-                _encode(model, [p for p in dict.fromkeys(parts) if p not in memo], memo)
-                out.append(sum(map(memo.__getitem__, parts)))
-                for p in parts:
-                    if len(p) > 200:
-                        memo.pop(p, None)
+        if len(memo) > MEMO_PARTS:
+            memo.clear()
+        parts = [cut(t) if t else [] for t in texts]
+        new = [p for p in dict.fromkeys(chain.from_iterable(parts)) if p not in memo]
+        _encode(model, new, memo)
+        out = [sum(map(memo.__getitem__, own)) for own in parts]
+        for p in new:
+            if len(p) > 200:  # not worth a place in the memo
+                del memo[p]
         return out
 
     return count
@@ -90,8 +98,12 @@ def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: st
             texts = b.column(1)
             n_bytes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             tokens = []
-            for at in range(0, b.num_rows, 64):
-                tokens += count(texts.slice(at, 64).to_pylist())
+            for some in chunks(pa.RecordBatch.from_arrays([texts], names=["text"]), size=BATCH_BYTES):
+                found = some.column(0).to_pylist()
+                if len(found) == 1 and found[0] and len(found[0]) > BATCH_BYTES and _load(model_path)[2]:
+                    tokens.append(sum(count([s])[0] for s in stretches(found[0], BATCH_BYTES)))
+                else:
+                    tokens += count(found)
             yield pa.RecordBatch.from_arrays([b.column(0), n_bytes, pa.array(tokens, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
 
     picked = docs.select(F.col(id_col), F.col(text_col).alias("text"))
