@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 import os
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ MEMO_WORDS = 200_000
 MARKS = r"([!-&(-/:-@\[-`{-~]+)"
 #: ASCII without white space, controls and the apostrophe; Latin letters but the dotted capital I.
 PLAIN = r"^[!-&(-~\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{2af}]*$"
-SALTS = 64
+SALT_ROWS = 20_000  # rows that one window numbers
 _LOADED: dict[str, tuple] = {}
 
 
@@ -182,7 +183,10 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, roun
     basis = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1.0 / np.diag(basis))
     x = inverse @ demand
-    for _ in range(rounds):
+    for turns in range(rounds + 1):
+        if turns == rounds:
+            warnings.warn(f"packing patterns are not the best yet after {rounds} rounds; padding may be higher", stacklevel=2)
+            break
         value, pattern = price(inverse.sum(axis=0), sizes, capacity)
         if value <= 1 + 1e-7:
             break
@@ -246,11 +250,13 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, width:
     """
     cut = materialise(pieces(docs, tokenizer_path, capacity, id_col, text_col), "pieces")
     whole, rest = cut.filter(F.col("length") == capacity), cut.filter(F.col("length") < capacity)
-    rest = rest.withColumn("class", F.ceil(F.col("length") / width).cast("int")).withColumn("salt", F.pmod(F.xxhash64(id_col, "ids_crc32"), F.lit(SALTS)).cast("int"))
-    # At most capacity / width classes times SALTS rows.
+    rest = rest.withColumn("class", F.ceil(F.col("length") / width).cast("int"))
+    # At most capacity / width classes; each is numbered in one window for every SALT_ROWS rows.
+    histogram = {r[0]: r[1] for r in rest.groupBy("class").count().collect()}
+    salts = docs.sparkSession.createDataFrame([(k, -(-n // SALT_ROWS)) for k, n in histogram.items()], "class int, salts int")
+    rest = rest.join(F.broadcast(salts), "class").withColumn("salt", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.col("salts")).cast("int")).drop("salts")
     counts = rest.groupBy("class", "salt").agg(F.count("*").alias("n"))
     counts = counts.withColumn("before", F.sum("n").over(Window.partitionBy("class").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
-    histogram = {r[0]: r[1] for r in rest.groupBy("class").count().collect()}
     segments, n_sequences = plan(histogram, capacity, width)
 
     within = Window.partitionBy("class", "salt").orderBy(id_col, "start", "ids_crc32")
@@ -272,7 +278,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, width:
     before = Window.partitionBy("sequence_id").orderBy(F.desc("length"), id_col, "start", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
     # Whole sequences get ids after the others: numbered inside salts, then shifted by the salts before.
-    whole = whole.withColumn("salt", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
+    whole = whole.withColumn("salt", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.lit(max(1, -(-whole.count() // SALT_ROWS)))).cast("int"))
     shift = whole.groupBy("salt").count().withColumn("before", F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
     whole = whole.withColumn("rank", F.row_number().over(Window.partitionBy("salt").orderBy(id_col, "start", "ids_crc32")) - 1)
     whole = whole.join(F.broadcast(shift.select("salt", F.coalesce("before", F.lit(0)).alias("before"))), "salt")
