@@ -170,7 +170,8 @@ def identify(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataF
 
     at = docs.columns.index(text_col)
     names = fresh(docs, "lang_pred", "lang_score", "lang_rejected")
-    new = [T.StructField(n, k) for n, k in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()))]
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # any name may stand outside
+    new = [T.StructField(n, k) for n, k in zip(("pred", "score", "rejected"), (T.StringType(), T.DoubleType(), T.BooleanType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -179,9 +180,9 @@ def identify(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataF
             for b in chunks(texts, size=1 << 18):
                 parts.append(model.predict(b.column(0)))
             pred, score, rejected = [x for p in parts for x in p[0]], np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-            yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*whole.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*whole.schema.names, *(f.name for f in new)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *new]))
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, *new])).toDF(*docs.columns, *names)
 
 
 def train_on(docs: DataFrame, fold, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Centroids:
