@@ -75,18 +75,21 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    collided = fingerprint.collisions(docs)
+
     def make(rows: list[tuple], following: list[tuple]) -> pa.RecordBatch:
         out = []
         for (doc, text), (_, other) in zip(rows, following):
             half = len(text) // 2
             edited = text[: len(text) - half] + other[:half]
-            own, changed, after = fingerprint.digest(text), fingerprint.digest(edited), fingerprint.digest(other)
+            own, changed, after = (fingerprint.digest(t, collided) for t in (text, edited, other))
             out.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), own, changed, float(own == changed), float(own == after)))
         types = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), types)], names=[n for n, _ in types])
 
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return fingerprint.with_next(read(spark, sf_dir, "documents"), make, schema)
+    return fingerprint.with_groups(fingerprint.with_next(docs, make, schema))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
