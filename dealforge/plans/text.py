@@ -43,7 +43,7 @@ def tokenize_model(spark, sf):
 
 @query("SELECT p_partkey AS item_id, array_to_string(list_sort(list_distinct([lower(p_type), lower(split_part(p_name, ' ', 1)), lower(split_part(p_name, ' ', 2))])), '|') AS signature FROM part")
 def signature(spark, sf):
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), X.signature(F.concat_ws(" ", "p_type", F.lit("2024")), F.col("p_name")).alias("signature"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("item_id"), X.signature(F.concat_ws(" ", "p_type", F.lit("2024")), F.col("p_name"), F.lit(2024)).alias("signature"))
 
 
 @query("SELECT p_partkey AS item_id, replace(lower(p_name), ' ', '-') || CASE WHEN r > 1 THEN '-' || r ELSE '' END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS r FROM part)")
