@@ -26,5 +26,5 @@ def test_rows_that_share_an_id_go_by_their_own_text(spark):
     rows = [(3, text), (5, text + " more"), (5, other), (None, text), (None, other + " x"), (9, None), (9, "")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in P.near_duplicate_stage(spark, docs, SF).collect()), key=str)
-    assert got == sorted([(False, 3, text), (False, 5, other), (False, 9, None), (False, 9, "")], key=str)
+    assert got == sorted([(False, 3, text), (False, 5, other), (False, 9, None), (False, 9, ""), (True, 0, text), (True, 0, other + " x")], key=str)
     assert P.near_duplicate_stage(spark, docs.limit(0), SF).count() == 0
