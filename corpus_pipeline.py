@@ -36,22 +36,22 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near duplicates the document of least id stays.
 
     Rows that share an id but not the text are documents of their own, of which the least hash of
-    the text comes first; rows equal in both stay or go together. Rows without an id come last.
+    the text comes first; rows equal in both stay or go together. Rows without an id stay.
     """
     key = F.xxhash64("text")
-    several = docs.groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).filter("low <> high or doc_id is null")
+    several = docs.groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).filter("low <> high and doc_id is not null")
     if several.isEmpty():
         found = jaccard.jaccard_components(docs.select("doc_id", "text"))
         extra = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
         return docs.join(extra, "doc_id", "left_anti").select(*map(quoted, docs.columns))
-    rows = docs.groupBy("doc_id", key.alias("th")).agg(F.first("text").alias("text"))
+    rows = docs.filter("doc_id is not null").groupBy("doc_id", key.alias("th")).agg(F.first("text").alias("text"))
     rows = materialise(rows.withColumn("node", F.monotonically_increasing_id()), "rows")
     found = jaccard.jaccard_components(rows, "node").join(rows.select("node", "doc_id", "th"), "node")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
+    order = F.struct("doc_id", "th")
     first = found.groupBy("component_id").agg(F.min(order).alias("first"))
     gone = found.join(first, "component_id").filter(order != F.col("first")).select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th"))
     own, gone_id, gone_th = fresh(docs, "own_th", "gone_id", "gone_th")
-    kept = docs.withColumn(own, key).join(gone.toDF(gone_id, gone_th), F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_th)), "left_anti")
+    kept = docs.withColumn(own, key).join(gone.toDF(gone_id, gone_th), (F.col("doc_id") == F.col(gone_id)) & (F.col(own) == F.col(gone_th)), "left_anti")
     return kept.select(*map(quoted, docs.columns))
 
 
