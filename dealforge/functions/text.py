@@ -51,6 +51,45 @@ def title_tokens(text: Column) -> Column:
     return F.filter(words, lambda t: long(t) & (t.isin(V.TITLE_KEEP) | (~t.isin(V.TITLE_STOP) & number(t))))
 
 
+#: What audit_tokens() rewrites, in this order. Fixed values.
+AUDIT_REWRITES = [
+    (r"hrd\+", "hrd"), (r"\bhard\b", "hrd"), (r"\bsoft\b", "sft"), (r"\bctr\b", "ctrl"), (r"\bcontrol\b", "ctrl"), (r"pro\s*\+", "proplus"), (r"\bpro plus\b", "proplus"),
+    (r"\bw\b(?=\s|$)", "woman"), (r"\bproline\b", "line"), (r"\bpro\s+line\b", "line"), (r"\b(hack|vertex|flow)\s+([0-9])\b", "$1 0$2"), (r"\b([0-9]+)\.([0-9]+)\b", "v$1p$2"),
+]
+
+
+def audit_tokens(text: Column) -> Column:
+    """Words that an audit counts: as title_tokens(), with fewer rewrites and only numbers 0 to 9 and 01 to 09."""
+    low = reduce(lambda c, r: F.regexp_replace(c, *r), AUDIT_REWRITES, F.lower(F.translate(text, MARKED, PLAIN)))
+    words = F.split(F.regexp_replace(low, r"[^a-z0-9_]+", " "), " ", -1)
+    return F.filter(words, lambda t: ((F.length(t) >= 2) | t.rlike("^[0-9x]$")) & ~t.isin(V.TITLE_STOP) & (~t.rlike("^[0-9]+$") | t.rlike("^0?[1-9]$|^0$")))
+
+
+#: What prepared_title() rewrites, in this order. Fixed values.
+TITLE_PREPARED = [
+    (r"(?i)^\s*pala\s+de\s+p[aá]del", ""), (r"(?i)padel\s+racket", ""), (r"(?i)^\s*pala", ""), (r"(?i)carb-on", "carbon"), (r"(?i)\bgravitity\b", "gravity"), (r"[–—]", " "),
+    (r"(\w)\+", "$1 PLUS"), (r"(?<=\S) \+(?=\s|$)", " PLUS"), (r"(?<=\s)\+(?=\s|$)", "PLUS"), (r"\b2\.([4-9])\b", "202$1"), (r"(?i)\bspecial\s+edition\b", "SE"), (r"\b[0-9]{5,}\b", ""),
+]
+
+
+def prepared_title(text: Column) -> tuple[Column, Column]:
+    """A title for taking attributes out of it, and the generation (3.1 to 3.4) that it names.
+
+    Shop words in front go, a plus sign becomes PLUS, 2.6 becomes 2026, product codes of five digits and
+    more go. Without a year, 3.1 to 3.4 become 2022 to 2025; the generation is null otherwise.
+    """
+    out = reduce(lambda c, r: F.regexp_replace(c, *r), TITLE_PREPARED, text)
+    dated = out.rlike(r"\b20[2-9][0-9]\b")
+    found = F.nullif(F.regexp_extract(out, r"(?s)^.*\b(3\.[1-4])\b", 1), F.lit(""))
+    years = reduce(lambda c, n: F.regexp_replace(c, rf"\b3\.{n}\b", str(2021 + n)), range(1, 5), out)
+    return F.when(dated, out).otherwise(years), F.when(~dated, found)
+
+
+def title_words(text: Column) -> Column:
+    """Plain lower-case words of letters and digits; a decimal such as 1.0 is one word."""
+    return F.regexp_extract_all(F.lower(F.translate(text, MARKED, PLAIN)), F.lit(r"((?<![a-z0-9])[0-9]+\.[0-9]+(?![a-z0-9])|[a-z0-9]+)"), F.lit(1))
+
+
 def model_tokens(text: Column) -> Column:
     """Words of a model name: 3.4 as 34, noise left out, colours and the like by one name each."""
     words = tokens(F.regexp_replace(text, r"\b([0-9]+)\.([0-9]+)\b", "$1$2"))

@@ -92,3 +92,19 @@ NO_CODES = [
     "CHALECOS", "SHORT", "SHORTS", "PELOTA", "PELOTAS", "GRIP", "OVERGRIP", "OUTLET", "ACCESORIOS", "ACCESORIO", "COMPLEMENTO", "COMPLEMENTOS",
     "FUNDA", "FUNDAS", "TROLLEY", "TROLLEYS", "CALCETINES", "MUNEQUERA", "MUNEQUERAS", "GORRA", "GORRAS", "CAPUCHA", "CAPUCHAS",
 ]
+
+# Words and phrases of a title that say it is no racket.
+AUDIT_EXCLUDED = [
+    "bolsa", "mochila", "funda", "paletero", "grip", "overgrip", "protector", "muñequera", "bolas", "pelota", "pelotas", "camiseta", "zapatilla", "zapatillas",
+    "ropa", "lote", "antivibrador", "pickleball", "tenis head", "tenis wilson", "pure drive", "pure aero", "pure strike", "driver golf", "speedback",
+]
+
+# Brands that titles write in more ways than one.
+AUDIT_BRANDS = {"star vie": ["starvie", "star vie"], "black crown": ["blackcrown", "black crown"], "drop shot": ["dropshot", "drop shot"], "royal padel": ["royal padel"], "vibora": ["vibor-a", "vibora"]}
+
+# Short words that do not count as a model's own in an address.
+AUDIT_COMMON = ["pro", "air", "hit", "evo"]
+
+# Words that are left out of a model, and phrases of shops (plain lower case).
+MODEL_RESIDUE = ["pala", "padel", "de", "la", "el", "by", "raqueta", "edition", "edicion", "series", "nfa"]
+SHOP_PHRASES = ["pala de padel", "superficie completa", "mas raquetera mas tubo de pelotas", "raqueta de segunda mano"]

@@ -22,7 +22,7 @@ SOURCE_ORDER = ["padelful", "padelzoom", "padelnuestro", "revision_manual"]
 
 def dictionary_of(items: DataFrame) -> DataFrame:
     """(kind, alias, value, priority) from a catalogue's brands, lines and variants."""
-    parts = [items.select(F.lit(kind).alias("kind"), X.normalize(F.col(kind)).alias("alias"), F.col(kind).alias("value"), F.lit(p).alias("priority")).filter("alias <> ''").distinct() for p, kind in enumerate(("brand", "line", "variant"), 1)]
+    parts = [items.select(F.lit(kind).alias("kind"), F.array_join(X.title_words(F.col(kind)), " ").alias("alias"), F.col(kind).alias("value"), F.lit(p).alias("priority")).filter("alias <> ''").distinct() for p, kind in enumerate(("brand", "line", "variant"), 1)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -34,23 +34,41 @@ def merge_dictionaries(curated: DataFrame, found: DataFrame) -> DataFrame:
     return rows.withColumn("priority", F.row_number().over(order)).drop("late")
 
 
-def extract_attributes(titles: DataFrame, dictionary: DataFrame, id_col: str = "offer_id", title_col: str = "title") -> DataFrame:
-    """id, brand, line, variant, year and model: the words that are left.
+def extract_attributes(titles: DataFrame, dictionary: DataFrame, id_col: str = "offer_id", title_col: str = "title", guess_line: bool = False) -> DataFrame:
+    """id, brand, line, variant, year, model (the words that are left) and player.
 
-    Runs of up to MAX_WORDS words meet the dictionary by equality. Of each kind the longest alias
-    wins, then the first in the dictionary, then the first in the title. A null title, or one
-    without words, has nothing but nulls and an empty model.
+    Titles are prepared first (text.prepared_title). Runs of up to MAX_WORDS words meet the dictionary by
+    equality. Of each kind (brand, line, variant, player, woman) the longest alias wins, then the first in
+    the dictionary, then the first in the title. A player is told if it is not the line. Without a variant
+    it is WOMAN if the title has a name of kind woman (the players that only women's rackets name) or a
+    lone w. Shop phrases and words that name nothing leave the model; if no model is left, it is the
+    generation (3.4). With guess_line, the first word left stands for a line that is missing, else the
+    player. A null title, or one without words, has nothing but nulls and an empty model.
     """
-    rows = titles.select(F.col(id_col).alias("id"), F.coalesce(X.tokens(F.col(title_col)), F.array().cast("array<string>")).alias("words"), X.extract_year(F.col(title_col)).alias("year"))
+    prepared, generation = X.prepared_title(F.col(title_col))
+    rows = titles.select(F.col(id_col).alias("id"), prepared.alias("title"), generation.alias("generation"))
+    rows = rows.select("id", F.coalesce(X.title_words(F.col("title")), F.array().cast("array<string>")).alias("words"), X.extract_year(F.col("title")).alias("year"), "generation")
     runs = lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1))), lambda i: i + n - 1 <= F.size("words")), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice("words", i, n), " ").alias("alias")))
     met = rows.select("id", F.explode(F.concat(*[runs(n) for n in range(1, MAX_WORDS + 1)])).alias("r")).select("id", "r.at", "r.n", "r.alias").join(dictionary, "alias")
     rank = F.struct(F.length("alias"), -F.col("priority"), -F.col("at"))
-    best = met.groupBy("id").agg(*[F.max_by(F.when(F.col("kind") == k, F.struct("value", "at", "n")), F.when(F.col("kind") == k, rank)).alias("_" + k) for k in ("brand", "line", "variant")])
+    kinds = ("brand", "line", "variant", "player", "woman")
+    best = met.groupBy("id").agg(*[F.max_by(F.when(F.col("kind") == k, F.struct("value", "at", "n")), F.when(F.col("kind") == k, rank)).alias("_" + k) for k in kinds])
     out = rows.join(best, "id", "left")
-    taken = lambda i: reduce(lambda a, b: a | b, [F.coalesce((i >= F.col("_" + k)["at"]) & (i < F.col("_" + k)["at"] + F.col("_" + k)["n"]), F.lit(False)) for k in ("brand", "line", "variant")])
+    taken = lambda i: reduce(lambda a, b: a | b, [F.coalesce((i >= F.col("_" + k)["at"]) & (i < F.col("_" + k)["at"] + F.col("_" + k)["n"]), F.lit(False)) for k in kinds])
     left = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1))), lambda i: (i <= F.size("words")) & ~taken(i)), lambda i: F.col("words")[i - 1])
-    model = F.array_join(F.filter(left, lambda t: ~F.coalesce((t == F.col("year").cast("string")) | (t == (F.col("year") % 100).cast("string")), F.lit(False))), " ")
-    return out.select(F.col("id").alias(id_col), F.col("_brand.value").alias("brand"), F.col("_line.value").alias("line"), F.col("_variant.value").alias("variant"), "year", model.alias("model"))
+    phrases = F.regexp_replace(F.array_join(F.filter(left, lambda t: ~X.is_year(t, F.col("year"))), " "), r"\b(" + "|".join(V.SHOP_PHRASES) + r")\b", "")
+    out = out.withColumn("_left", F.filter(F.split(phrases, " "), lambda t: (t != "") & ~t.isin(V.MODEL_RESIDUE)))
+    line = F.col("_line.value")
+    if guess_line:
+        first = F.when(F.col("_line").isNull(), F.get(F.filter("_left", lambda t: F.length(t) > 1), 0))
+        out = out.withColumn("_first", F.when(F.col("_brand").isNotNull(), first))
+        line = F.coalesce(line, F.initcap("_first"), F.when(F.col("_brand").isNotNull(), F.col("_player.value")))
+        out = out.withColumn("_left", F.filter("_left", lambda t: ~F.coalesce(t == F.col("_first"), F.lit(False))))
+    lone = F.col("_variant").isNull() & F.col("_woman").isNull() & F.array_contains("_left", "w")
+    variant = F.coalesce(F.col("_variant.value"), F.when(F.col("_woman").isNotNull() | lone, "WOMAN"))
+    words = F.array_join(F.filter("_left", lambda t: ~(lone & (t == "w"))), " ")
+    out = out.select("id", F.col("_brand.value").alias("brand"), line.alias("line"), variant.alias("variant"), "year", F.coalesce(F.nullif(words, F.lit("")), "generation", F.lit("")).alias("model"), F.col("_player.value").alias("player"))
+    return out.select(F.col("id").alias(id_col), "brand", "line", "variant", "year", "model", F.when(~F.col("player").eqNullSafe(F.col("line")), F.col("player")).alias("player"))
 
 
 def model_compatible(cat: Column, title: Column, cat_year: Column, title_year: Column) -> Column:
@@ -135,13 +153,25 @@ def match_cascade(offers: DataFrame, aliases: DataFrame, items: DataFrame, exclu
     return done.select("offer_id", kind.alias("class"), item.alias("item_id"), "n")
 
 
-def two_nearest(queries: DataFrame, vectors: DataFrame, block: str) -> DataFrame:
-    """For each query the most similar vector of its block and the runner-up's similarity."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col(block), F.col("embedding").alias("qv"))
-    rows = q.join(vectors, block).filter("vec_id <> query_id").select("query_id", "vec_id", X.cosine(F.col("qv"), F.col("embedding")).alias("sim"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id")
+def two_nearest(queries: DataFrame, vectors: DataFrame, block: str, chunk: int = 256, spread: int = 256) -> DataFrame:
+    """For each query the most similar vector of its block and the runner-up's similarity.
+
+    Vectors of a block lie in chunks of about `chunk`, dealt by a hash; a query keeps two of each chunk, so
+    that few pairs move. A block of more than `spread` chunks has several join keys, each of which meets
+    all queries of the block, so that a hot block is shared among tasks. Vectors without a similarity
+    (null, or of no embedding) are no match.
+    """
+    sizes = vectors.groupBy(block).agg(F.ceil(F.count("*") / chunk).alias("chunks")).withColumn("parts", F.ceil(F.col("chunks") / spread))
+    dealt = vectors.join(sizes, block).withColumn("chunk", F.pmod(F.xxhash64("vec_id", "embedding"), "chunks"))
+    dealt = dealt.groupBy(block, "chunk", F.pmod("chunk", "parts").alias("part")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("held"))
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col(block), F.col("embedding").alias("qv")).join(sizes, block)
+    q = q.select("query_id", block, "qv", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    others = F.filter("held", lambda v: v["vec_id"] != F.col("query_id"))
+    likes = F.filter(F.transform(others, lambda v: F.struct((-X.cosine(F.col("qv"), v["embedding"])).alias("far"), v["vec_id"].alias("vec_id"))), lambda v: v["far"].isNotNull())
+    rows = q.join(dealt, [block, "part"]).select("query_id", F.explode(F.slice(F.array_sort(likes), 1, 2)).alias("v"))
+    w = Window.partitionBy("query_id").orderBy("v.far", "v.vec_id")
     rows = rows.withColumn("rn", F.row_number().over(w)).filter("rn <= 2")
-    return rows.groupBy("query_id").agg(F.max(F.when(F.col("rn") == 1, F.col("vec_id"))).alias("best_id"), F.max("sim").alias("best"), F.max(F.when(F.col("rn") == 2, F.col("sim"))).alias("second"))
+    return rows.groupBy("query_id").agg(F.max(F.when(F.col("rn") == 1, F.col("v.vec_id"))).alias("best_id"), F.max(-F.col("v.far")).alias("best"), F.max(F.when(F.col("rn") == 2, -F.col("v.far"))).alias("second"))
 
 
 def embedding_match(queries: DataFrame, vectors: DataFrame, block: str, least: float = 0.82, gap: float = 0.03, damp: float = 0.88) -> DataFrame:
@@ -292,18 +322,69 @@ def false_positive(title: Column, name: Column, brand: Column, model: Column, ye
     )
 
 
-def match_audit(rows: DataFrame) -> DataFrame:
-    """One row for each failed check of a match: code, severity and whether it is corrected at once.
+def _failed(code: str, severity: str, fails: Column, corrected: bool) -> Column:
+    return F.when(fails, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(corrected).alias("corrected")))
+
+
+def _one_per_check(rows: DataFrame, checks: list[Column]) -> DataFrame:
+    return rows.select("match_id", "item_id", F.explode(F.filter(F.array(*checks), lambda c: c.isNotNull())).alias("c")).select("match_id", "item_id", "c.code", "c.severity", "c.corrected")
+
+
+def _excluded(title: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.lower(title).contains(w) for w in V.AUDIT_EXCLUDED])
+
+
+def _own_words(model: Column, brand: Column) -> Column:
+    """A model's words for an audit, without the brand in front and the first year."""
+    bare = F.when(F.startswith(F.lower(model), F.concat(F.lower(brand), F.lit(" "))), F.substr(model, F.length(brand) + 2)).otherwise(model)
+    return X.audit_tokens(F.regexp_replace(bare, r"^(.*?)\b20[0-9]{2}\b", "$1"))
 
-    rows: match_id, item_id, title, price, confidence, list_price, brand, model, year.
+
+def audit_listings(rows: DataFrame) -> DataFrame:
+    """One row for each failed check of a ranked listing: code, severity, and whether its match is reset.
+
+    M1 the title's year is another; M2 under 40 % of more than two model words are in the title; M3 a
+    word of another kind of product; M4 over 90 % off; M5 the brand is not in the title.
+    rows: match_id, item_id, title, discount_pct, brand, model, year. Rows without an item are left out.
     """
-    check = lambda code, severity, fails, fixed: F.when(fails, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(fixed).alias("corrected")))
-    ratio = F.col("price").cast("double") / F.col("list_price").cast("double")
+    own, title = _own_words(F.col("model"), F.col("brand")), X.audit_tokens(F.col("title"))
+    year = F.nullif(F.regexp_extract("title", r"\b(20(?:1[89]|2[0-9]))\b", 1), F.lit("")).try_cast("int")
+    hits = F.size(F.filter(own, lambda t: F.array_contains(title, t)))
+    plain = lambda c: F.lower(F.translate(c, X.MARKED, X.PLAIN))
+    brand, text = plain(F.col("brand")), plain(F.col("title"))
+    aliases = F.coalesce(F.try_element_at(F.create_map(*[x for b, a in V.AUDIT_BRANDS.items() for x in (F.lit(b), F.array(*map(F.lit, a)))]), brand), F.array(brand))
+    named = F.exists(aliases, lambda a: F.contains(text, a)) | F.contains(text, F.substring_index(brand, " ", 1))
     checks = [
-        check("M1", "error", F.col("item_id").isNull(), False),
-        check("M2", "error", F.abs(X.extract_year(F.col("title")) - F.col("year")) >= 1, True),
-        check("M3", "warning", F.col("confidence") < 0.95, False),
-        check("C1", "warning", ratio < 0.3, False),
-        check("C2", "warning", ratio > 1.4, False),
+        _failed("M1", "error", year != F.col("year"), True),
+        _failed("M2", "warning", (F.size(own) > 2) & (hits / F.size(own) < 0.4), False),
+        _failed("M3", "error", _excluded(F.col("title")), True),
+        _failed("M4", "warning", F.col("discount_pct") > 90, False),
+        _failed("M5", "warning", ~named, False),
     ]
-    return rows.select("match_id", "item_id", F.explode(F.filter(F.array(*checks), lambda c: c.isNotNull())).alias("c")).select("match_id", "item_id", "c.code", "c.severity", "c.corrected")
+    return _one_per_check(rows.filter("item_id is not null"), checks)
+
+
+def audit_prices(rows: DataFrame, as_of: Column, hours: int = 24, least: float = 0.92, skip_stores: tuple[int, ...] = (2,)) -> DataFrame:
+    """One row for each failed check of a shop's recent price: code, severity, and whether it is switched off.
+
+    C1 the address has another year; C2 the title has a word of another kind of product; C3 over 80 % off
+    the reference; C4 under 25 % of two or more model words are in the address. Only available prices of the
+    last `hours`, of matches at `least` or surer, of stores that are not skipped.
+    rows: match_id, item_id, store_id, url, title, price, reference, available, confidence, seen_at, brand, model, year.
+    """
+    recent = (F.col("seen_at") >= as_of - F.make_dt_interval(hours=F.lit(hours))) & F.col("available") & (F.col("confidence") >= least) & ~F.col("store_id").isin(*skip_stores)
+    rows = rows.filter(recent & F.col("item_id").isNotNull())
+    whole = F.regexp_extract("url", "20[0-9]{2}", 0).try_cast("int")
+    short = F.regexp_extract("url", "[_-](2[0-9])[_-](?![0-9]{3,})", 1).try_cast("int") + 2000
+    year = F.when(whole.between(2018, 2030), whole).otherwise(short)
+    off = X.round_half_up((F.col("reference") - F.col("price")).cast("double") / F.col("reference").cast("double") * 100)
+    slug = F.lower(F.translate(F.regexp_replace(X.url_slug(F.col("url")), "[-_]", " "), X.MARKED, X.PLAIN))
+    own = F.filter(_own_words(F.col("model"), F.col("brand")), lambda t: (F.length(t) >= 3) & ~t.isin(V.AUDIT_COMMON))
+    hits = F.size(F.filter(own, lambda t: F.contains(slug, t)))
+    checks = [
+        _failed("C1", "error", year != F.col("year"), True),
+        _failed("C2", "error", _excluded(F.col("title")), True),
+        _failed("C3", "warning", (F.col("reference") > 0) & (off > 80), False),
+        _failed("C4", "warning", (F.size(own) >= 2) & (hits / F.size(own) < 0.25), False),
+    ]
+    return _one_per_check(rows, checks)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dealforge.functions import text as X
 from dealforge.operators import matching as M
-from dealforge.sources.tables import CATALOGUE_SQL, catalogue, observations, table
+from dealforge.sources.tables import CATALOGUE_SQL, catalogue, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -34,9 +34,26 @@ def marked(spark, sf):
     return catalogue(spark, sf).withColumn("model", F.concat(F.lit("t"), F.lower("model")))
 
 
-@query(f"{CAT} SELECT item_id AS offer_id, brand, line, variant, CASE WHEN item_id % 2 = 0 THEN year END AS year, 't' || lower(model) AS model FROM cat")
+@query(f"""{CAT} SELECT item_id AS offer_id, brand, line, CASE WHEN item_id % 8 IN (3, 6) THEN 'WOMAN' WHEN item_id % 8 <> 5 THEN variant END AS variant,
+CASE WHEN item_id % 8 = 1 THEN 2026 WHEN item_id % 8 IN (2, 7) THEN 2025 WHEN item_id % 8 = 4 THEN 2024 ELSE NULL END::INT AS year,
+CASE item_id % 8 WHEN 0 THEN 't' || lower(model) || ' 1.0' WHEN 2 THEN '3.4' ELSE 't' || lower(model) END AS model, CASE item_id % 8 WHEN 3 THEN 'Ale Salazar' WHEN 4 THEN 'Coki Nieto' END AS player FROM cat""")
 def extract_attributes(spark, sf):
-    return M.extract_attributes(offers(spark, sf), M.dictionary_of(catalogue(spark, sf)))
+    """A title for each catalogue row, in one of eight forms that the rules of preparing and leaving words out meet."""
+    c, k = catalogue(spark, sf), F.col("item_id") % 8
+    line, model = F.col("line"), F.concat(F.lit("T"), "model")
+    forms = [
+        F.concat_ws(" ", "brand", "name", model, F.lit("1.0 - 1234567")),
+        F.concat_ws(" ", F.lit("Pala de pádel"), "brand", "name", model, F.lit("2.6")),
+        F.concat_ws(" ", "brand", "name", F.lit("3.4")),
+        F.concat_ws(" ", "brand", line, model, F.lit("by Alejandra Salazar")),
+        F.concat_ws(" ", "brand", "name", model, F.lit("COKI NIETO 2024 Superficie completa")),
+        F.concat_ws(" ", "brand", line, model, F.lit("Edition")),
+        F.concat_ws(" ", "brand", line, F.lit("W"), model),
+        F.concat_ws(" ", "brand", "name", model, F.lit("3.4, Más raquetera, Más tubo de pelotas")),
+    ]
+    rows = c.select(F.col("item_id").alias("offer_id"), F.get(F.array(*forms), k.cast("int")).alias("title"))
+    players = spark.createDataFrame([("player", "alejandra salazar", "Ale Salazar", 1), ("woman", "alejandra salazar", "Ale Salazar", 1), ("player", "coki nieto", "Coki Nieto", 2)], "kind string, alias string, value string, priority int")
+    return M.extract_attributes(rows, M.dictionary_of(c).unionByName(players))
 
 
 @query(f"{CAT} SELECT item_id AS offer_id, brand FROM cat")
@@ -131,14 +148,6 @@ def cosine_similarity(spark, sf):
     return v.join(after, "vec_id").select(F.col("vec_id").alias("id"), F.round(X.cosine(F.col("embedding"), F.col("next")), 5).alias("sim"))
 
 
-@query("""WITH o AS (SELECT l_partkey AS item_id, l_orderkey, l_linenumber, CASE l_returnflag WHEN 'N' THEN 1.0 WHEN 'A' THEN 0.95 ELSE 0.9 END AS confidence, CAST(p_retailprice * (50 + l_quantity) / 75 AS DECIMAL(18,4)) AS price, CAST(p_retailprice AS DECIMAL(10,2)) AS lp FROM lineitem JOIN part ON p_partkey = l_partkey)
-SELECT c.code, c.severity, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN confidence < 0.95 THEN {'code': 'M3', 'severity': 'warning'} END, CASE WHEN CAST(price AS DOUBLE) / CAST(lp AS DOUBLE) < 0.3::DOUBLE THEN {'code': 'C1', 'severity': 'warning'} END, CASE WHEN CAST(price AS DOUBLE) / CAST(lp AS DOUBLE) > 1.25::DOUBLE THEN {'code': 'C2', 'severity': 'warning'} END], lambda x: x IS NOT NULL)) AS c FROM o) GROUP BY ALL""".replace("1.25", "1.4"))
-def match_audit(spark, sf):
-    c = catalogue(spark, sf).select("item_id", "name", "list_price", "brand", "model", "year")
-    rows = observations(spark, sf).join(c, "item_id").select(F.concat_ws("-", "order_key", "line_number").alias("match_id"), "item_id", F.col("name").alias("title"), "price", "confidence", "list_price", "brand", "model", "year")
-    return M.match_audit(rows).groupBy("code", "severity").agg(F.count("*").alias("n"))
-
-
 @query("""WITH t AS (SELECT p_partkey AS item_id, string_split(p_name, ' ') AS a, list_filter(string_split(lower(p_type), ' '), lambda x: length(x) > 1) AS b0, p_partkey % 3 AS k FROM part),
 s AS (SELECT item_id, a, CASE k WHEN 0 THEN list_concat(list_transform(a, lambda x: x[1:2]), b0) WHEN 1 THEN [a[1] || 'x'] ELSE b0 END AS b FROM t)
 SELECT item_id, CAST(len(list_filter(a, lambda x: len(list_filter(b, lambda y: starts_with(x, y) OR starts_with(y, x))) > 0)) AS DOUBLE) / greatest(len(a), len(list_distinct(b))) * 100 AS similarity FROM s""")

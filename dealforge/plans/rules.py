@@ -138,6 +138,65 @@ def false_positives(spark, sf):
     return table(spark, sf, "part").select(k.alias("item_id"), M.false_positive(pick(TITLES + NAMES, k), name, brand, name, _year()).alias("rule"))
 
 
+AUDIT_BRAND = ["Star Vie", "Vibora", "Nox", "Drop Shot", "Black Crown"]
+AUDIT_FORMS = ["Starvie Control 03 Elite", "VIBOR-A soft w 2024", "nox hard 5 Carbon Ctr 2026", "Grip drop shot", "blackcrown pro + 2.6 con Mochila", "Otra cosa", "Vertex 3 pro line 2025"]
+AUDIT_MODEL = ["Control 03 Elite 2025", "Soft Woman", "Hard 5 carbon 2026 control", "Pro Air Hit", "Flow 4 proline 2.6", "Elite"]
+AUDIT_SLUG = ["pala-control-elite-2025-x", "soft_woman-24-p", "hard-carbon-25-12345", "x", "flow-04-line", "grip/", "elite-26-a/"]
+
+
+def sql_audit_tokens(x: str) -> str:
+    low = sql_plain(x)
+    for pattern, to in X.AUDIT_REWRITES:
+        low = f"regexp_replace({low}, {sql_text(pattern.replace('(?=\\s|$)', ''))}, {sql_text(to.replace('$', chr(92)))}, 'g')"
+    return f"list_filter(regexp_split_to_array({low}, '[^a-z0-9_]+'), lambda t: (length(t) >= 2 OR regexp_matches(t, '^[0-9x]$')) AND t NOT IN {sql_list(V.TITLE_STOP)} AND NOT (regexp_matches(t, '^[0-9]+$') AND NOT regexp_matches(t, '^(0?[1-9]|0)$')))"
+
+
+def sql_contains(x: str, words: list) -> str:
+    return "(" + " OR ".join(f"contains(lower({x}), {sql_text(w)})" for w in words) + ")"
+
+
+OWN_WORDS = sql_audit_tokens("regexp_replace(CASE WHEN starts_with(lower(model), lower(brand) || ' ') THEN substr(model, length(brand) + 2) ELSE model END, '\\b20[0-9]{2}\\b', '')")
+NAMED = " OR ".join(f"(lower(brand) = {sql_text(b)} AND {sql_contains('title', a)})" for b, a in V.AUDIT_BRANDS.items())
+PAIRS = f"""k AS (SELECT p_partkey AS k, CAST(floor(p_partkey / 5) AS BIGINT) AS k5, CAST(floor(p_partkey / 35) AS BIGINT) AS k35, p_retailprice AS price FROM part),
+a AS (SELECT k, {sql_pick(AUDIT_BRAND, 'k')} AS brand, {sql_pick(AUDIT_FORMS, 'k5')} AS title, {sql_pick(AUDIT_BRAND, 'k')} || ' ' || {sql_pick(AUDIT_MODEL, 'k35')} AS model, CAST(CASE WHEN k % 4 <> 0 THEN 2024 + k % 4 END AS INTEGER) AS y, price,
+  'https://s.example/' || {sql_pick(AUDIT_SLUG, 'k5')} AS url FROM k), w AS (SELECT *, {OWN_WORDS} AS own FROM a)"""
+
+
+def _audited(spark, sf):
+    k = F.col("p_partkey")
+    k5, k35 = F.floor(k / 5), F.floor(k / 35)
+    brand = pick(AUDIT_BRAND, k)
+    return table(spark, sf, "part").select(
+        k.alias("match_id"), F.when(k % 50 != 7, k).alias("item_id"), (k % 6).alias("store_id"), brand.alias("brand"), pick(AUDIT_FORMS, k5).alias("title"), F.concat_ws(" ", brand, pick(AUDIT_MODEL, k35)).alias("model"),
+        F.when(k % 4 != 0, 2024 + k % 4).cast("int").alias("year"), (k % 100).alias("discount_pct"), F.concat(F.lit("https://s.example/"), pick(AUDIT_SLUG, k5)).alias("url"),
+        (k % 300).cast("decimal(12,2)").alias("price"), F.when(k % 11 != 0, 300).cast("decimal(12,2)").alias("reference"), (k % 13 != 0).alias("available"), F.when(k % 7 == 0, 0.9).otherwise(0.92).alias("confidence"),
+        (F.lit("2025-01-02T00:00:00").cast("timestamp_ntz") - F.make_dt_interval(hours=(k % 26).cast("int"))).alias("seen_at"),
+    )
+
+
+@query(f"""WITH {PAIRS}, c AS (SELECT k, k AS item_id, unnest([
+  CASE WHEN CAST(nullif(regexp_extract(title, '\\b(20(?:1[89]|2[0-9]))\\b', 1), '') AS INTEGER) <> y THEN 'M1' END,
+  CASE WHEN len(own) > 2 AND len(list_filter(own, lambda t: list_contains({sql_audit_tokens('title')}, t))) / len(own) < 0.4::DOUBLE THEN 'M2' END,
+  CASE WHEN {sql_contains('title', V.AUDIT_EXCLUDED)} THEN 'M3' END, CASE WHEN k % 100 > 90 THEN 'M4' END,
+  CASE WHEN NOT ({NAMED} OR contains(lower(title), split_part(lower(brand), ' ', 1))) AND NOT (lower(brand) NOT IN {sql_list(list(V.AUDIT_BRANDS))} AND contains(lower(title), lower(brand))) THEN 'M5' END]) AS code FROM w WHERE k % 50 <> 7)
+SELECT k AS match_id, item_id, code, CASE WHEN code IN ('M1', 'M3') THEN 'error' ELSE 'warning' END AS severity, code IN ('M1', 'M3') AS corrected FROM c WHERE code IS NOT NULL""")
+def match_audit(spark, sf):
+    """Brands, titles and models of the lists above meet in all combinations."""
+    return M.audit_listings(_audited(spark, sf))
+
+
+@query(f"""WITH {PAIRS}, u AS (SELECT *, CASE WHEN k % 11 <> 0 THEN 300 END AS reference, CAST(nullif(regexp_extract(url, '20[0-9]{{2}}', 0), '') AS INTEGER) AS whole,
+  CASE WHEN regexp_matches(url, '[_-]2[0-9][_-][0-9]{{3}}') THEN NULL ELSE CAST(nullif(regexp_extract(url, '[_-](2[0-9])[_-]', 1), '') AS INTEGER) + 2000 END AS short,
+  replace(replace(list_last(list_filter(string_split(url, '/'), lambda p: p <> '')), '-', ' '), '_', ' ') AS slug, list_filter(own, lambda t: length(t) >= 3 AND t NOT IN {sql_list(V.AUDIT_COMMON)}) AS key
+  FROM w WHERE k % 50 <> 7 AND k % 13 <> 0 AND k % 7 <> 0 AND k % 6 <> 2 AND k % 26 <= 24),
+c AS (SELECT k, unnest([CASE WHEN CASE WHEN whole BETWEEN 2018 AND 2030 THEN whole ELSE short END <> y THEN 'C1' END, CASE WHEN {sql_contains('title', V.AUDIT_EXCLUDED)} THEN 'C2' END,
+  CASE WHEN floor((reference - k % 300) / 300.0::DOUBLE * 100 + 0.5) > 80 THEN 'C3' END,
+  CASE WHEN len(key) >= 2 AND len(list_filter(key, lambda t: contains(slug, t))) / len(key) < 0.25::DOUBLE THEN 'C4' END]) AS code FROM u)
+SELECT k AS match_id, k AS item_id, code, CASE WHEN code IN ('C1', 'C2') THEN 'error' ELSE 'warning' END AS severity, code IN ('C1', 'C2') AS corrected FROM c WHERE code IS NOT NULL""")
+def price_audit(spark, sf):
+    return M.audit_prices(_audited(spark, sf), F.lit("2025-01-02T00:00:00").cast("timestamp_ntz"))
+
+
 PAGES = [
     "<p>CODIGO: PADELMANIA10 -10%</p>", "-16%15% EXTRA COD: SUM15", '<div data-title="CUPON 20% EXTRA HOT20">x</div>', "5% extra con SUMMER5 y mas", "Suscribete a la newsletter y usa el codigo HOLA10 10%", "codigo PALAS 10%",
     "no acumulable con otras ofertas: 33%", "codigo hola10 10%", "cupon: ABC99 60%", "<script>codigo: HIDE10 10%</script> nada", "codigo 10% dto VERANO10", "oferta 15% de descuento con VERANO15. fin",

@@ -93,3 +93,51 @@ def test_broken_pages_give_no_rows(spark):
     pages = spark.createDataFrame([("s", 1, None), ("s", 2, ""), ("s", 3, "{"), ("s", 4, "<html>")], "store string, page int, body string")
     for rows in (L.shop_products(pages, F.lit("https://s")), L.store_api_products(pages), L.card_offers(pages), L.facet_offers(pages), L.section_offers(pages, F.lit("https://s")), L.thumb_offers(pages), L.catalogue_rows(pages)):
         assert rows.count() == 0
+
+
+PREPARED = [
+    # Shop words, a plus sign, a year written 2.6 and a product code.
+    ("Pala de pádel Nox Raptor+ 2.6 228272", ("Nox", "Raptor", None, 2026, "plus", None)),
+    # A generation gives the year, and the model if nothing else is left.
+    ("Adidas Metalbone 3.4", ("Adidas", "Metalbone", None, 2025, "3.4", None)),
+    ("Adidas Metalbone 3.4 2024", ("Adidas", "Metalbone", None, 2024, "3.4", None)),
+    # A woman's name or a lone W stands for the variant, but only if there is none.
+    ("Adidas Metalbone Bold by Ale Salazar", ("Adidas", "Metalbone", "WOMAN", None, "bold", "Ale Salazar")),
+    ("Adidas Metalbone Ctrl by Ale Salazar", ("Adidas", "Metalbone", "CTRL", None, "", "Ale Salazar")),
+    ("Adidas Metalbone 04 W Premier 25", ("Adidas", "Metalbone", "WOMAN", 2025, "04 premier", None)),
+    ("Adidas Metalbone Élite 1.0 - Superficie completa, Raqueta de segunda mano", ("Adidas", "Metalbone", None, None, "elite 1.0", None)),
+    # Without a known line the first word left; without words the player.
+    ("Nox Unknown Thing", ("Nox", "Unknown", None, None, "thing", None)),
+    ("Nox Ale Salazar Ctrl", ("Nox", "Ale Salazar", "CTRL", None, "", None)),
+    ("nothing known", (None, None, None, None, "nothing known", None)),
+    (None, (None, None, None, None, "", None)),
+]
+
+
+def test_attributes_of_prepared_titles(spark):
+    words = [("brand", "nox", "Nox", 1), ("brand", "adidas", "Adidas", 1), ("line", "raptor", "Raptor", 1), ("line", "metalbone", "Metalbone", 1), ("variant", "ctrl", "CTRL", 1), ("player", "ale salazar", "Ale Salazar", 1), ("woman", "ale salazar", "Ale Salazar", 1)]
+    titles = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(PREPARED)], "offer_id int, title string")
+    out = M.extract_attributes(titles, spark.createDataFrame(words, "kind string, alias string, value string, priority int"), guess_line=True)
+    got = {r.offer_id: (r.brand, r.line, r.variant, r.year, r.model, r.player) for r in out.collect()}
+    for n, (title, expected) in enumerate(PREPARED):
+        assert got[n] == expected, title
+
+
+def test_nearest_by_chunks(spark):
+    """Equal to brute force for a block of many chunks and join keys, with ties, repeats and nulls."""
+    import random
+
+    deal = random.Random(7)
+    rows = [(i, i % 10 == 0, [float(deal.randint(-3, 3)) for _ in range(4)]) for i in range(400)] + [(1000, False, None), (1001, True, None), (3, False, [1.0, 1.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id bigint, label boolean, embedding array<double>")
+    got = {r.query_id: (r.best_id, round(r.best, 9), round(r.second, 9)) for r in M.two_nearest(v.filter("vec_id % 50 = 0"), v, "label", chunk=8, spread=4).collect()}
+
+    def sim(a, b):
+        size = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return sum(x * y for x, y in zip(a, b, strict=True)) / size if size else 0.0
+
+    for i, label, q in rows:
+        if i % 50 == 0 and q:
+            near = sorted((-round(sim(q, e), 9), j) for j, other, e in rows if other == label and j != i and e)
+            assert got[i][1:] == (-near[0][0], -near[1][0]) and got[i][0] in {j for far, j in near if far == near[0][0]}
+    assert 1000 not in got
