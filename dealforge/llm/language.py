@@ -3,7 +3,8 @@
 Texts are vectors of hashed byte trigrams around letters, sublinear counts times idf, unit
 length. Each language has a few centroids, clustered by cosine on a bounded sample; a text gets
 the language of the nearest one. A text farther from it than
-the bound of that language, a low quantile of held-out prose, is rejected.
+the bound of that language, a low quantile of held-out prose, is rejected. A short text holds few
+trigrams and is far from any centroid, so its bound is that of prose thinned to as few.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ CLUSTERS = 3
 LEAST = 8  # rows of a language
 FOLDS = 5
 REJECTED = 0.005  # the share of a language's held-out prose that its bound leaves out
+LEVELS = np.array([4, 8, 16, 32, 64, 128])  # numbers of trigrams that have a bound of their own; fewer than 4 tell nothing
 FEW = 20  # with fewer rows of prose a language's bound is half the least cosine
 UNKNOWN = "und"
 _LETTERS = np.zeros(256, dtype=np.uint8)
@@ -85,7 +87,15 @@ class Centroids:
     languages: list[str]  # of each centroid
     centres: np.ndarray
     idf: np.ndarray
-    reject_below: np.ndarray  # of each centroid
+    reject_below: np.ndarray  # of each centroid, for texts of 2 * LEVELS[-1] trigrams and more
+    short_below: np.ndarray | None = None  # of each centroid and each of LEVELS, for texts of so many trigrams up to twice as many; without it, one bound for all
+
+    def bounds(self, nearest: np.ndarray, trigrams: np.ndarray) -> np.ndarray:
+        if self.short_below is None:
+            return np.asarray(self.reject_below)[nearest]
+        level = np.searchsorted(LEVELS, trigrams, side="right") - 1
+        short = np.where(level < 0, 0.0, self.short_below[nearest, np.maximum(level, 0)])
+        return np.where(trigrams >= 2 * LEVELS[-1], self.reject_below[nearest], short)
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         tf = counts(texts)
@@ -95,7 +105,7 @@ class Centroids:
         cosine = weigh(tf, self.idf) @ self.centres.T
         best = cosine.argmax(axis=1)
         score = np.where(lettered, np.clip(cosine[np.arange(len(tf)), best], 0, 1), 0.0)
-        return [self.languages[j] if ok else UNKNOWN for j, ok in zip(best, lettered)], score, ~lettered | (score < np.asarray(self.reject_below)[best])
+        return [self.languages[j] if ok else UNKNOWN for j, ok in zip(best, lettered)], score, ~lettered | (score < self.bounds(best, tf.sum(axis=1)))
 
 
 def prose(texts: pa.Array) -> np.ndarray:
@@ -120,6 +130,25 @@ def bound(x: np.ndarray, is_prose: np.ndarray, found: np.ndarray) -> float:
     return float(np.quantile(held, REJECTED, method="lower"))
 
 
+def thinned(tf: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """Rows of counts of n trigrams each, drawn from the rows of tf."""
+    out = np.zeros_like(tf)
+    for row, into in zip(tf, out):
+        upto = np.cumsum(row)
+        into += np.bincount(np.searchsorted(upto, rng.random(n) * upto[-1], side="right"), minlength=SIZE)
+    return out
+
+
+def short_bounds(tf: np.ndarray, idf: np.ndarray, found: np.ndarray, most: float) -> list[float]:
+    """The bound for each of LEVELS: the low quantile of prose thinned so far, and at most the bound of whole texts."""
+    rng, out = np.random.default_rng(17), []
+    for n in LEVELS:
+        rows = tf[tf.sum(axis=1) >= n]
+        held = (weigh(thinned(rows, int(n), rng), idf) @ found.T).max(axis=1)
+        out.append(min(most, float(np.quantile(held, REJECTED, method="lower"))) if len(held) >= FEW else 0.5 * most)
+    return out
+
+
 def train(labelled: DataFrame) -> Centroids:
     """labelled: (id, text, lang), lang not null. At most MAX_SAMPLE rows are fitted, by hash of id.
 
@@ -127,7 +156,7 @@ def train(labelled: DataFrame) -> Centroids:
     """
     by_lang = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_SAMPLE // LEAST).collect()}
     if not by_lang:
-        return Centroids([], np.empty((0, SIZE), np.float32), np.ones(SIZE, np.float32), np.empty(0))
+        return Centroids([], np.empty((0, SIZE), np.float32), np.ones(SIZE, np.float32), np.empty(0), np.empty((0, len(LEVELS))))
     each = max(LEAST, min(SAMPLE, MAX_SAMPLE // len(by_lang)))
     share = F.create_map(*[F.lit(x) for lang, n in by_lang.items() for x in (lang, min(1.0, each / n))])
     unit = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1_000_003)) / 1_000_003
@@ -149,14 +178,16 @@ def train(labelled: DataFrame) -> Centroids:
     langs, tf, is_prose = langs[used], tf[used], is_prose[used]
     idf = (np.log((1 + len(tf)) / (1 + (tf > 0).sum(axis=0))) + 1).astype(np.float32)
     x = weigh(tf, idf)
-    names, centres, bounds = [], [], []
+    names, centres, bounds, short = [], [], [], []
     for lang in sorted(set(langs)):
         own = x[langs == lang]
         found = cluster(own, CLUSTERS)
         names += [str(lang)] * len(found)
         centres.append(found)
-        bounds += [bound(own, is_prose[langs == lang], found)] * len(found)
-    return Centroids(names, np.concatenate(centres) if centres else np.empty((0, SIZE), np.float32), idf, np.array(bounds))
+        least = bound(own, is_prose[langs == lang], found)
+        bounds += [least] * len(found)
+        short += [short_bounds(tf[(langs == lang) & is_prose], idf, found, least)] * len(found)
+    return Centroids(names, np.concatenate(centres) if centres else np.empty((0, SIZE), np.float32), idf, np.array(bounds), np.array(short, float).reshape(len(names), len(LEVELS)))
 
 
 def identify(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataFrame:

@@ -23,3 +23,15 @@ def test_foreign_and_random_texts_are_rejected(spark):
     seen = (got, kept, sorted(set(zip(model.languages, model.reject_below))))
     assert all(r for r, _ in got.values()), seen
     assert kept >= 0.98, seen
+
+
+def test_short_clean_texts_stay(spark):
+    """Sentences of a few words in a learned language are not told from it by a long text's bound."""
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    model = language.train_on(docs, F.lit(True))
+    words = docs.filter("lang is not null").select(F.explode(F.slice(F.regexp_extract_all("text", F.lit("([A-Za-z]{2,} [a-z]{2,} [a-z]{2,} [a-z]{2,})"), F.lit(1)), 1, 5)).alias("text"))
+    found = language.identify(words, model)
+    kept, n = found.agg(F.avg((~F.col("lang_rejected")).cast("double")), F.count("*")).first()
+    assert n > 500 and kept >= 0.97, (n, kept, model.short_below.tolist())
+    odd = spark.createDataFrame([("Следующим утром ветер стих",), ("翌朝、風は静まり",)], "text string")
+    assert language.identify(odd, model).filter("lang_rejected").count() == 2
