@@ -86,12 +86,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     classes: set[int] = set()
 
     def frequent(id_type: pa.DataType) -> pa.RecordBatch:
-        found, n = np.unique(np.concatenate(held), return_counts=True)
+        found = np.concatenate(held)
         held.clear()
         classes.clear()
-        some = n > 1
-        m = int(some.sum())
-        return pa.RecordBatch.from_arrays([pa.nulls(m, id_type), pa.array(n[some], pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(found[some].view(np.int64))], names=["id", "n", "d1", "d2", "h"])
+        found.sort()
+        found, again = np.unique(found[1:][found[1:] == found[:-1]], return_counts=True)
+        m = len(found)
+        return pa.RecordBatch.from_arrays([pa.nulls(m, id_type), pa.array(again + 1, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(found.view(np.int64))], names=["id", "n", "d1", "d2", "h"])
 
     size = 0
     for whole in batches:
@@ -211,10 +212,11 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     """A bit set of hashed ids: at most FILTER_BITS bits, combined by tasks before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
+        packed = np.zeros(FILTER_BITS // 8, np.uint8)
         for b in batches:
-            bits[_bits(b.column(0).to_numpy())] = True
-        packed = np.packbits(bits).view(np.int64)
+            at = _bits(b.column(0).to_numpy())
+            np.bitwise_or.at(packed, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        packed = packed.view(np.int64)
         at = np.flatnonzero(packed)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(packed[at])], names=["at", "bits"])
 

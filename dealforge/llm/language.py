@@ -27,6 +27,7 @@ SIZE = 1 << BITS
 SAMPLE, MAX_SAMPLE = 400, 4096
 CLUSTERS = 3
 LEAST = 8  # rows of a language
+ROWS = 256  # texts counted at a time, each of which is a row of SIZE numbers, however short
 FOLDS = 5
 REJECTED = 0.005  # the share of a language's held-out prose that its bound leaves out
 LEVELS = np.array([4, 8, 16, 32, 64, 128])  # numbers of trigrams that have a bound of their own; fewer than 4 tell nothing
@@ -165,7 +166,7 @@ def train(labelled: DataFrame) -> Centroids:
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in chunks(whole, size=1 << 18):
+            for b in chunks(whole, rows=ROWS):
                 tf = np.minimum(counts(b.column(1)), 65535).astype("<u2")
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.tobytes() for r in tf], pa.binary()), pa.array(prose(b.column(1)))], names=["id", "lang", "tf", "prose"])
 
@@ -208,7 +209,7 @@ def identify(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataF
         for whole in batches:
             parts = [([], np.empty(0), np.empty(0, bool))]
             texts = pa.RecordBatch.from_arrays([whole.column(at)], names=["text"])
-            for b in chunks(texts, size=1 << 18):
+            for b in chunks(texts, rows=ROWS):
                 parts.append(model.predict(b.column(0)))
             pred, score, rejected = [x for p in parts for x in p[0]], np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
             yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*whole.schema.names, *(f.name for f in new)])

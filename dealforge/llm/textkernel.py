@@ -1,7 +1,8 @@
 """Vectorised text kernels over Arrow string buffers: word spans and 64-bit word hashes.
 
 Everything works on UTF-8 bytes; separators and case folding are ASCII, so bytes of longer
-code points pass through unchanged. Batches are cut to about CHUNK bytes to bound memory.
+code points pass through unchanged. Batches are cut to about CHUNK bytes to bound memory: a kernel
+needs some fifty bytes for each byte of text, and a waiting worker keeps much of what it once took.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -42,8 +43,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about `size` bytes of text each; a longer text has a slice of its own."""
+def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about `size` bytes of text each, and at most `rows` rows; a longer text has a slice of its own."""
     if not batch.num_rows:
         return
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -52,6 +53,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK) -> It
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+        stop = min(stop, start + rows) if rows else stop
         yield batch.slice(start, stop - start)
         start = stop
     pa.default_memory_pool().release_unused()  # workers wait for later stages with what they keep

@@ -3,10 +3,12 @@
 import base64
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from dealforge.llm import language
 from dealforge.llm.common import read
+from dealforge.llm.textkernel import chunks
 
 ITALIAN = "La mattina dopo il vento era calato e gli uomini del paese scesero alla spiaggia per vedere che cosa il mare avesse lasciato sulla riva durante la notte. "
 POLISH = "Następnego ranka wiatr ucichł i mieszkańcy wsi zeszli na plażę, żeby zobaczyć, co morze zostawiło w nocy na brzegu, ale nie znaleźli niczego ważnego. "
@@ -35,3 +37,11 @@ def test_short_clean_texts_stay(spark):
     assert n > 500 and kept >= 0.97, (n, kept, model.short_below.tolist())
     odd = spark.createDataFrame([("Следующим утром ветер стих",), ("翌朝、風は静まり",)], "text string")
     assert language.identify(odd, model).filter("lang_rejected").count() == 2
+
+
+def test_rows_of_a_slice_are_bounded():
+    """Ten thousand texts of a few bytes are counted in slices, not in one matrix; nulls and empty texts count as rows."""
+    texts = pa.RecordBatch.from_arrays([pa.array(["ein Satz", None, "", "two words"] * 2500)], names=["text"])
+    sizes = [b.num_rows for b in chunks(texts, rows=language.ROWS)]
+    assert max(sizes) == language.ROWS and sum(sizes) == 10_000
+    assert sum((b.column(0).to_pylist() for b in chunks(texts, rows=language.ROWS)), []) == texts.column(0).to_pylist()
