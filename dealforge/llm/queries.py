@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprint, jaccard, language, lines, packing, quality, tokens, urls
+from . import chat, decontaminate, fingerprint, jaccard, katz, language, lines, packing, quality, ranking, tokens, trie, urls
 from .common import crc32_fold, read
 
 #: Names of vocabulary files; their place is asked of the package that holds them.
@@ -101,7 +101,22 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_packing, op4_language, op5_quality, op6_urls, op7_chat, op8_fingerprints, op9_line_dedup, op10_jaccard)}
+def op11_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.ordered_turns(read(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(turns.select("conv_id").distinct(), trie.borrowed(turns))
+
+
+def op13_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    out = katz.scores(read(spark, sf_dir, "documents"), ~held_out)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_packing, op4_language, op5_quality, op6_urls, op7_chat, op8_fingerprints, op9_line_dedup, op10_jaccard, op11_ranking, op12_trie, op13_katz)}
 
 _ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 ORACLE = {
@@ -144,4 +159,35 @@ b AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
 r AS (SELECT doc_id AS a, doc_id AS c FROM d UNION SELECT r.a, b.v FROM r JOIN b ON b.u = r.c)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(c) AS component_id FROM r GROUP BY a) c USING (doc_id)""",
+    "op11_ranking": rf"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_ALPHABET}), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), {_ALPHABET}), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS t FROM benchmark),
+g AS (SELECT count(*) AS n_docs, sum(len(w)) AS n_all FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d),
+f AS (SELECT doc_id, n, t, count(*) AS tf FROM p WHERE t IN (SELECT t FROM i) GROUP BY doc_id, n, t),
+v AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM f, g GROUP BY t, n_docs),
+s AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // CAST(n_all AS BIGINT))))) AS BIGINT) AS score
+  FROM i JOIN f USING (t) JOIN v USING (t), g GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= 50""",
+    "op12_trie": r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, role, text
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+ids AS (SELECT DISTINCT conv_id FROM t),
+bits AS (SELECT conv_id, list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: list_prepend(CAST(ascii(x) AS BIGINT), [-1, -1, -1, -1, -1, -1, -1, -1])))) AS steps FROM ids),
+h AS (SELECT conv_id, xor(list_reduce(steps, lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 6 AS h FROM bits),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth, role, text FROM (
+  SELECT conv_id, pos, role, text FROM t JOIN h USING (conv_id) WHERE pos > h
+  UNION ALL SELECT h.conv_id, pos, role, text FROM h JOIN t ON t.conv_id = h.conv_id - h.conv_id % 100 WHERE pos <= h)),
+p AS (SELECT conv_id, 0 AS depth, '' AS k, '' AS text FROM ids
+  UNION ALL SELECT conv_id, depth, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ORDER BY depth) OVER (PARTITION BY conv_id ORDER BY depth)), text FROM r),
+n AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(length(text)) AS chars FROM p GROUP BY k, depth),
+e AS (SELECT k, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ends FROM (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS last FROM p) WHERE depth = last GROUP BY k),
+up AS (SELECT n.k, n.depth, n.chars, n.n_convs, p.k AS top, p.depth AS top_depth FROM n JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth),
+c AS (SELECT top AS k, count(*) AS n_children FROM up WHERE top_depth = depth - 1 GROUP BY top),
+s AS (SELECT top AS k, count(*) FILTER (c.k IS NULL) AS n_leaves, sum((n_convs - 1) * chars) AS saved FROM up LEFT JOIN c USING (k) GROUP BY top),
+a AS (SELECT up.k, m.conv_id AS parent FROM up JOIN n m ON m.k = up.top WHERE top_depth = up.depth - 1)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, a.parent AS parent_conv_id, n.n_convs, CAST(coalesce(c.n_children, 0) AS BIGINT) AS n_children,
+  CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ends, '')) AS ends_sha256
+FROM n JOIN s USING (k) LEFT JOIN c USING (k) LEFT JOIN a USING (k) LEFT JOIN e USING (k)""",
 }
