@@ -8,7 +8,7 @@ context sums to 1 exactly. Where nothing is left by discounts, the total counts
 Counts are tables in parts by a hash, whose rows are sorted arrays. Texts are read twice: once for words, once for pairs.
 A slice of texts sends each part the distinct pairs of that part once, with their
 counts and the documents that they stand in. A part asks the table of words for the counts that it needs, evaluates its
-pairs, and answers each slice with sums for its documents. A context of more than 1 / HOT of all
+pairs, and answers each slice with sums for its documents. A context of more than a quarter of a part's
 tokens is dealt over all parts by the word after it, and its sums are put together from them.
 """
 
@@ -27,7 +27,9 @@ from .textkernel import SPACES, buffers, chunks, mix, span_hashes, words
 
 K = 5  # the greatest count that is discounted
 SLICE = 1 << 21  # tokens
+ROWS = 1 << 15  # documents in a slice at most
 HOT = 1 << 16  # so many hot contexts at most
+SHARES = 4  # a context is hot from the SHARES-th of a part
 END, BEGIN = (int(x) for x in mix(np.array([1, 2], np.uint64)).view(np.int64))  # the token after each text, the context before
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,7 +60,7 @@ def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
     held, rows, tokens = [], 0, 0
     whole = lambda: (pa.concat_arrays([h[0] for h in held]), *(np.concatenate(x) for x in list(zip(*held))[1:]))
     for batch in batches:
-        for some in chunks(batch):
+        for some in chunks(batch, rows=ROWS // 2):
             data, offsets = buffers(some.column("text"))
             starts, ends, first = words(data, offsets, SPACES)
             n = np.diff(first) + 1
@@ -66,7 +68,7 @@ def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
             out[np.arange(len(starts)) + np.repeat(np.arange(len(n)), n - 1)] = span_hashes(data, starts, ends).view(np.int64)
             held.append((some.column("id"), some.column("train").to_numpy(zero_copy_only=False).astype(bool), n, np.repeat(np.arange(len(n)) + rows, n), out))
             rows, tokens = rows + len(n), tokens + len(out)
-            if tokens >= size:
+            if tokens >= size or rows >= ROWS:
                 yield whole()
                 held, rows, tokens = [], 0, 0
     if held:
@@ -118,9 +120,9 @@ def _profile(table: DataFrame, column: str) -> tuple[int, int, np.ndarray]:
 
 def pair_rows(rows: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
     """What slices send to parts: for each context (before) so many words (fan), for each word its training count
-    and tokens (reps), for each token its document; and once a slice its documents (ids, n, train)."""
+    and tokens (reps), for each token its document (less half of ROWS); and once a slice its documents (ids, n, train)."""
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"part bigint, slice bigint, before array<bigint>, fan array<int>, word array<bigint>, known array<int>, reps array<int>, docs array<int>, ids array<{kind}>, n array<bigint>, train array<boolean>"
+    schema = f"part bigint, slice bigint, before array<bigint>, fan array<int>, word array<bigint>, known array<int>, reps array<int>, docs array<smallint>, ids array<{kind}>, n array<bigint>, train array<boolean>"
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for serial, (ids, train, n, doc, word) in enumerate(_slices(batches, SLICE)):
@@ -151,7 +153,7 @@ def pair_rows(rows: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
             slots = np.where(home, len(n), 0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(there), pa.array(np.full(len(there), name)), _lists(v[turn], contexts), *(_lists(x.astype(np.int32), s) for x, s in ((fan, contexts),)), _lists(w, sizes[there]),
-                 _lists(known.astype(np.int32), sizes[there]), _lists(reps.astype(np.int32), sizes[there]), _lists(doc.astype(np.int32), spans),
+                 _lists(known.astype(np.int32), sizes[there]), _lists(reps.astype(np.int32), sizes[there]), _lists((doc - ROWS // 2).astype(np.int16), spans),
                  pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(slots)), pa.int32()), ids), _lists(n.astype(np.int64), slots), _lists(train, slots)],
                 names=["part", "slice", "before", "fan", "word", "known", "reps", "docs", "ids", "n", "train"],
             )
@@ -172,10 +174,10 @@ class _Pairs:
 
 
 class _Model:
-    """What a task needs besides its part: totals, discounts of words and of pairs, hot contexts."""
+    """What a task needs besides its part: totals, discounts of words and of pairs, hot contexts, the number of parts."""
 
-    def __init__(self, total: int, types: int, word_n: np.ndarray, hot: np.ndarray) -> None:
-        self.total, self.types, self.hot = total, types, hot
+    def __init__(self, total: int, types: int, word_n: np.ndarray, hot: np.ndarray, parts: int) -> None:
+        self.total, self.types, self.hot, self.parts = total, types, hot, parts
         self.word_d = discounts(word_n)
         top = np.arange(1, K + 1)
         spared = float((top * word_n[:K] * (1 - self.word_d[1:])).sum())  # tokens' worth that the discounts leave
@@ -199,10 +201,10 @@ def weights(tokens: np.ndarray, kept: np.ndarray, known: np.ndarray) -> tuple[np
     return total, np.where(tokens > 0, (1 - kept / total) / np.maximum(1 - known, 1e-300), 1.0)
 
 
-def _counts_of(asked: np.ndarray, answers: pa.Table) -> np.ndarray:
-    """Counts of sorted words, from the answers of the word table."""
-    out = np.zeros(len(asked), np.int64)
-    out[np.searchsorted(asked, _flat(answers.column("words")))] = _flat(answers.column("counts"))
+def _counts_of(asked: np.ndarray, notes: pa.Table, parts: int) -> np.ndarray:
+    """Counts of a part's sorted words, from the answers, which come in the order of ask()."""
+    out = np.empty(len(asked), np.int64)
+    out[np.argsort(_part(asked, parts), kind="stable")] = _flat(notes.sort_by("to").column("counts"))
     return out
 
 
@@ -221,12 +223,12 @@ def scores(docs: DataFrame, train: Column, parts: int | None = None, id_col: str
     table = materialise(word_table(rows, parts), "words")
     total, types, word_n = _profile(table, "counts")
     every = table.agg(F.sum(F.aggregate("totals", F.lit(0).cast("bigint"), lambda a, c: a + c))).first()[0] or 0
-    often = table.select(F.explode(F.filter(F.arrays_zip("words", "totals"), lambda x: x["totals"] * HOT > every)).alias("x")).select("x.words")
+    often = table.select(F.explode(F.filter(F.arrays_zip("words", "totals"), lambda x: x["totals"] * min(HOT, SHARES * parts) > every)).alias("x")).select("x.words")
     hot = np.array(sorted({BEGIN, *(r[0] for r in often.collect())}), np.int64)  # HOT at most
-    model = _Model(total, types, word_n, hot)
+    model = _Model(total, types, word_n, hot, parts)
     sent = pair_rows(rows, parts, hot).repartition(parts, "part")
     asked = sent.groupBy("part").applyInArrow(_ask(parts), "to bigint, part bigint, words array<bigint>, many array<bigint>")
-    answers = asked.groupBy("to").cogroup(table.groupBy("part")).applyInArrow(_answer, "part bigint, words array<bigint>, counts array<int>, many array<bigint>").repartition(parts, "part")
+    answers = asked.groupBy("to").cogroup(table.groupBy("part")).applyInArrow(_answer, "part bigint, to bigint, counts array<int>, many array<bigint>").repartition(parts, "part")
     first = F.col("many").isNotNull()  # one row of a part
     profile = answers.filter(first).agg(F.array(*[F.coalesce(F.sum(F.get("many", r)), F.lit(0)) for r in range(K + 1)]).alias("pair_n"))
     noted = answers.join(F.broadcast(profile), first, "left")
@@ -258,12 +260,12 @@ def _answer(asked: pa.Table, have: pa.Table) -> pa.Table:
     want = _flat(asked.column("words"))
     counts = _flat(have.column("counts"))[np.searchsorted(_flat(have.column("words")), want)]
     sizes = asked.column("words").combine_chunks().value_lengths().to_numpy()
-    return pa.table([asked.column("part"), asked.column("words"), _lists(np.minimum(counts, 2**31 - 1).astype(np.int32), sizes), asked.column("many")], names=["part", "words", "counts", "many"])
+    return pa.table([asked.column("part"), asked.column("to"), _lists(np.minimum(counts, 2**31 - 1).astype(np.int32), sizes), asked.column("many")], names=["part", "to", "counts", "many"])
 
 
 def _local(model: _Model, sent: pa.Table, notes: pa.Table) -> tuple[_Pairs, np.ndarray, np.ndarray, pa.Table]:
     pairs = _Pairs(sent)
-    counts = _counts_of(pairs.words, notes)
+    counts = _counts_of(pairs.words, notes, model.parts)
     row = notes.filter(pa.compute.is_valid(notes.column("many")))
     model.pair_d = discounts(_flat(row.column("pair_n")).astype(float))
     return pairs, counts, model.sums(pairs, counts), row
@@ -293,7 +295,7 @@ def _evaluate(model: _Model):
         reps = _flat(sent.column("reps"))
         each = np.repeat(pairs.row, reps)  # the pair of each token
         docs = sent.column("docs").combine_chunks()
-        ends, doc = np.cumsum(docs.value_lengths().to_numpy()), _flat(sent.column("docs"))
+        ends, doc = np.cumsum(docs.value_lengths().to_numpy()), _flat(sent.column("docs")).astype(np.int32) + ROWS // 2
         out = []
         for a, b in zip(np.append(0, ends[:-1]), ends):
             found, index = np.unique(doc[a:b], return_inverse=True)

@@ -69,6 +69,7 @@ def corpus(seed, n):
 def test_equals_plain_model(spark, monkeypatch, slice_, hot, parts):
     monkeypatch.setattr(katz, "SLICE", slice_)
     monkeypatch.setattr(katz, "HOT", hot)
+    monkeypatch.setattr(katz, "SHARES", hot)
     rows = corpus(parts, 150)
     model = Plain([t for _, t, learn, *_ in rows if learn])
     found = katz.scores(spark.createDataFrame(rows, SCHEMA).repartition(3), F.col("learn"), parts).collect()
