@@ -26,7 +26,7 @@ from .common import materialise
 from .textkernel import SPACES, buffers, chunks, mix, span_hashes, words
 
 K = 5  # the greatest count that is discounted
-SLICE = 1 << 21  # tokens
+SLICE = 1 << 20  # tokens; a worker needs some 120 bytes for each
 ROWS = 1 << 15  # documents in a slice at most
 HOT = 1 << 16  # so many hot contexts at most
 SHARES = 4  # a context is hot from the SHARES-th of a part
@@ -132,8 +132,11 @@ def pair_rows(rows: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
             before[np.cumsum(n) - n] = len(found)  # BEGIN
             names, width = np.append(found, BEGIN), len(found) + 1
             code = before * width + index
+            del word, before, index
             order = np.argsort(code, kind="stable")
-            code, doc, seen = code[order], doc[order], train[doc[order]]
+            code, doc = code[order], doc[order].astype(np.int32)
+            seen = train[doc]
+            del order
             start = np.flatnonzero(np.diff(code, prepend=-1))
             reps, known = np.diff(np.append(start, len(code))), np.add.reduceat(seen.astype(np.int64), start)
             v, w = names[code[start] // width], names[code[start] % width]
@@ -144,6 +147,7 @@ def pair_rows(rows: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
             tokens = np.repeat(reps[moved], reps[moved])  # place of each token after the move
             at = np.repeat(start[moved], reps[moved]) + np.arange(len(tokens)) - np.repeat(np.cumsum(reps[moved]) - reps[moved], reps[moved])
             part, v, w, known, reps, doc = part[moved], v[moved], w[moved], known[moved], reps[moved], doc[at]
+            del code, seen, tokens, at, moved, start
             turn = np.flatnonzero(np.append(True, (np.diff(v) != 0) | (np.diff(part) != 0)))
             fan, sizes = np.diff(np.append(turn, len(v))), np.bincount(part, minlength=parts)
             there = np.flatnonzero(sizes)
