@@ -29,9 +29,13 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(normalize(text), " ", -1), lambda t: t != "")
 
 
+def table_of(names: dict[str, str]) -> Column:
+    """A constant map, from one literal: building a literal for each entry takes the driver seconds."""
+    return F.str_to_map(F.lit(";".join(f"{k}={v}" for k, v in names.items())), F.lit(";"), F.lit("="))
+
+
 def renamed(words: Column, names: dict[str, str]) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return F.transform(words, lambda t: F.coalesce(F.try_element_at(table, t), t))
+    return F.transform(words, lambda t: F.coalesce(F.try_element_at(table_of(names), t), t))
 
 
 #: What title_tokens() rewrites, in this order. Fixed values.
@@ -107,13 +111,11 @@ def without_colour(model: Column) -> Column:
 def variant_name(variant: Column) -> Column:
     """Plain lower case, by one name each; null for an empty one."""
     low = F.trim(F.lower(F.translate(variant, MARKED, PLAIN)))
-    table = F.create_map(*[F.lit(x) for pair in V.VARIANT_NAMES.items() for x in pair])
-    return F.when(variant != "", F.coalesce(F.try_element_at(table, low), low))
+    return F.when(variant != "", F.coalesce(F.try_element_at(table_of(V.VARIANT_NAMES), low), low))
 
 
 def line_name(line: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in V.LINE_NAMES.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, F.trim(F.lower(line))), line)
+    return F.coalesce(F.try_element_at(table_of(V.LINE_NAMES), F.trim(F.lower(line))), line)
 
 
 def is_year(word: Column, year: Column) -> Column:

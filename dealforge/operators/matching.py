@@ -71,20 +71,31 @@ def extract_attributes(titles: DataFrame, dictionary: DataFrame, id_col: str = "
     return out.select(F.col("id").alias(id_col), "brand", "line", "variant", "year", "model", F.when(~F.col("player").eqNullSafe(F.col("line")), F.col("player")).alias("player"))
 
 
-def model_compatible(cat: Column, title: Column, cat_year: Column, title_year: Column) -> Column:
-    """Whether a title's model may be the catalogue's: the words of one are among the other's and no
-    word that is left tells two products apart. A catalogue row without words allows more only in
-    colours and its year; a title without a model fits a row without one, or with a number only."""
-    none = F.array().cast("array<string>")
-    tc, tt = F.coalesce(X.model_tokens(cat), none), F.coalesce(X.model_tokens(title), none)
-    year = F.coalesce(cat_year, title_year)
+def _compatible(tc: Column, tt: Column, cat: Column, title: Column, year: Column) -> Column:
     unsafe = lambda t: t.isin(V.MODEL_TELLING) | t.rlike("^v[0-9]+p[0-9]+$") | (t.rlike("^[0-9]+$") & year.isNull())
     safe = lambda t: t.isin(V.COLOURS) | X.is_year(t, year)
     only = lambda a, b: F.filter(a, lambda t: ~F.exists(b, lambda u: X.close(t, u)))
-    empty = F.coalesce(title, F.lit("")) == ""
-    alone = (F.size(tc) == 0) | F.coalesce(F.trim(cat).rlike("^[0-9.]+$"), F.lit(False))
     more = F.when(F.size(tc) == 0, F.forall(only(tt, tc), safe)).otherwise(~F.exists(only(tt, tc), unsafe))
-    return F.when(empty, alone).when(X.all_in(tt, tc), ~F.exists(only(tc, tt), unsafe)).when(X.all_in(tc, tt), more).otherwise(False)
+    return F.when(_blank(title), _alone(tc, cat)).when(X.all_in(tt, tc), ~F.exists(only(tc, tt), unsafe)).when(X.all_in(tc, tt), more).otherwise(False)
+
+
+def _blank(text: Column) -> Column:
+    return F.coalesce(text, F.lit("")) == ""
+
+
+def _alone(tokens: Column, model: Column) -> Column:
+    return (F.size(tokens) == 0) | F.coalesce(F.trim(model).rlike("^[0-9.]+$"), F.lit(False))
+
+
+def _model_tokens(model: Column) -> Column:
+    return F.coalesce(X.model_tokens(model), F.array().cast("array<string>"))
+
+
+def model_compatible(cat: Column, title: Column, cat_year: Column, title_year: Column) -> Column:
+    """Whether a title's model may be the catalogue's: the words of one are among the other's and no
+    word that is left tells two products apart. A catalogue row without words allows more only in
+    colours and its year; a title without a model fits a row without one, or with a number only."""
+    return _compatible(_model_tokens(cat), _model_tokens(title), cat, title, F.coalesce(cat_year, title_year))
 
 
 def prefer(rows: DataFrame, keys: list[str], rung: Column) -> DataFrame:
@@ -93,45 +104,111 @@ def prefer(rows: DataFrame, keys: list[str], rung: Column) -> DataFrame:
     return rows.withColumn("_on", F.coalesce(rung, F.lit(False))).withColumn("_any", F.max("_on").over(w)).filter(F.col("_on") | ~F.col("_any")).drop("_on", "_any")
 
 
+def _head(word: Column) -> Column:
+    """Its first four letters; words that count as close have equal ones."""
+    return F.substring(word, 1, 4)
+
+
+def _heads(tokens: str) -> Column:
+    return F.array_distinct(F.transform(tokens, _head))
+
+
+def _some(keep: Column, *keys: Column) -> Column:
+    return F.when(keep, F.array(*keys)).otherwise(F.array().cast("array<string>"))
+
+
+def _slot(variant: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), variant), F.lit("~"))
+
+
+def _counted_rows(items: DataFrame) -> DataFrame:
+    """A row for each catalogue row and head of its model's words, with how many rows of its brand and line have it."""
+    model, line = F.col("model"), F.col("line")
+    c = items.select(
+        "item_id", "brand", F.lower(X.line_name(line)).alias("line_key"), F.lower(line).alias("c_line"), F.col("variant").alias("c_variant"), model.alias("c_model"), F.col("year").alias("c_year"),
+        X.variant_name(F.col("variant")).alias("cat"), X.variant_name(model).alias("c_named"), _model_tokens(model).alias("tc"),
+    )
+    heads = c.filter("brand is not null and line_key is not null").select("*", F.explode_outer(_heads("tc")).alias("head"))
+    return heads.withColumn("rows", F.count("*").over(Window.partitionBy("brand", "line_key", "head")))
+
+
+def _keyed_rows(counted: DataFrame) -> DataFrame:
+    """Catalogue rows by what a title may meet them on (meet).
+
+    T: each head, for titles whose rarest head it is. C: the rarest head, for titles that have it among others. E: rows that
+    a title without a model fits; N: rows that one without words fits; X: a model that is a title's variant; S: signatures, of
+    a row without a year one for each of its numbers that a title may have for its year.
+    """
+    least = F.min(F.struct("rows", "head")).over(Window.partitionBy("item_id"))["head"]
+    telling = F.exists("tc", lambda t: t.isin(V.MODEL_TELLING) | t.rlike("^v[0-9]+p[0-9]+$"))
+    numbers = F.transform(F.filter("tc", lambda t: t.rlike("^[0-9]{1,4}$")), lambda t: t.cast("int"))
+    of = F.when(F.col("c_year").isNotNull(), F.array("c_year")).otherwise(F.concat(F.array(F.lit(None).cast("int")), numbers))
+    one = counted.withColumn("rare", least)
+    slot, first = _slot("cat"), F.col("head").eqNullSafe(F.col("rare"))
+    fits = F.concat(
+        _some(F.col("head").isNotNull(), F.concat(slot, F.lit("T"), "head")), _some(first, F.concat(slot, F.lit("C"), F.coalesce("rare", F.lit("")))), _some(first & _alone(F.col("tc"), F.col("c_model")), F.concat(slot, F.lit("E"))),
+        _some(first & ~telling, F.concat(slot, F.lit("N"))), _some(first & F.col("cat").isNull() & F.col("c_named").isNotNull(), F.concat(F.lit("~X"), "c_named")),
+    )
+    signed = F.transform(F.when(first, F.array_distinct(of)).otherwise(F.array().cast("array<int>")), lambda y: F.concat(F.lit("S"), X.signature(F.col("c_model"), F.col("c_variant"), y)))
+    colours = lambda keep: F.filter("tc", lambda w: w.isin(V.COLOURS) == keep)
+    kind = F.struct("c_line", F.lower(F.coalesce("c_model", F.lit(""))), F.coalesce("cat", F.lit("")))
+    plain = F.struct("c_line", F.coalesce("cat", F.lit("")), F.coalesce("c_year", F.lit(0)), F.array_join(colours(False), " "))
+    return one.select("item_id", "brand", "line_key", "c_variant", "c_model", "c_year", "tc", kind.alias("kind"), plain.alias("plain"), F.get(colours(True), 0).alias("c_colour"), F.explode(F.concat(fits, signed)).alias("meet"))
+
+
+def _probes(found: DataFrame, counted: DataFrame, id_col: str) -> DataFrame:
+    """Titles by what they may meet the catalogue on: by their model (level 1), their player (2), their signature (3)."""
+    player = F.col("player") if "player" in found.columns else F.lit(None).cast("string")
+    known = counted.filter("head is not null").select("brand", "line_key", "head", "rows").distinct()
+    named = F.coalesce(F.nullif("model", F.lit("")), "player")
+    asked = found.select(F.col(id_col).alias("title_key"), "brand", F.lower(X.line_name(F.col("line"))).alias("line_key"), "variant", "year", "model", player.alias("player"), X.variant_name(F.col("variant")).alias("own"))
+    asked = asked.filter("brand is not null and line_key is not null").withColumn("signed", X.signature(named, F.col("variant"), F.col("year")))
+    way = lambda level, name: F.struct(F.lit(level).alias("level"), name.alias("named"))
+    ways = F.filter(F.array(way(1, F.col("model")), way(2, F.col("player")), way(3, F.lit(None).cast("string"))), lambda w: (w["level"] == 1) | w["named"].isNotNull() | ((w["level"] == 3) & (F.col("signed") != "")))
+    rows = asked.select("title_key", "brand", "line_key", "year", "own", "signed", named.alias("n"), F.explode(ways).alias("w")).select("*", "w.level", "w.named", _model_tokens(F.col("w.named")).alias("words")).drop("w")
+    rows = rows.select("*", F.explode_outer(_heads("words")).alias("head")).join(known, ["brand", "line_key", "head"], "left")
+    way_of = Window.partitionBy("title_key", "level")
+    least = F.min(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "head")).over(way_of)
+    rows = rows.withColumn("r", least).withColumns({"rare": F.when(F.col("r.rows") > 0, F.col("r.head")), "first": F.col("head").eqNullSafe(F.col("r.head"))})
+    plain = F.forall("words", lambda t: t.isin(V.COLOURS) | t.rlike("^[0-9]+$"))
+    slot, blank, wordless, level3 = _slot("own"), _blank(F.col("named")), F.size("words") == 0, F.col("level") == 3
+    by_words = F.concat(_some(F.col("first") & F.col("rare").isNotNull(), F.concat(slot, F.lit("T"), "head")), _some(F.col("rows").isNotNull(), F.concat(slot, F.lit("C"), "head")), _some(F.col("first") & plain, F.concat(slot, F.lit("C"))))
+    without = F.concat(F.array(F.concat(slot, F.lit("E"))), _some(F.col("own").isNotNull(), F.concat(F.lit("~X"), "own")))
+    keys = F.when(level3, F.array(F.concat(F.lit("S"), "signed"))).when(blank, without).when(wordless, F.array(F.concat(slot, F.lit("N")))).otherwise(by_words)
+    return rows.select("title_key", "brand", "line_key", F.col("year").alias("t_year"), "own", "signed", "n", "level", "named", "words", "rare", F.explode(keys).alias("meet"))
+
+
 def attribute_candidates(found: DataFrame, items: DataFrame, id_col: str = "offer_id") -> DataFrame:
-    """Candidates of each title on equal brand and line, after the ladder.
+    """(id_col, item_id, c_model, c_year): candidates of each title on equal brand and line, after the ladder.
 
     First rows with an equal variant and a compatible model (or, without a model in the title, a
     row whose model is the title's variant); else the same with the player's name (column player,
     if there is one) for the model; else the only row of an equal signature. Then rows whose model
     words are just the title's; a single row of the title's year; without a year in the title the
     newest of rows that differ in nothing else; and of rows that differ in colour the title's.
+
+    Tokens, variants and signatures are made once for each title and row, and both sides meet on them: where the
+    words of one are among the other's, on the rarest head of the side that is contained. A pair that two keys bring
+    together is dropped from the second. Titles are told apart by id_col, rows by item_id.
     """
-    player = F.col("player") if "player" in found.columns else F.lit(None).cast("string")
-    line = F.lower(X.line_name(F.col("line")))
-    c = items.select("item_id", "brand", line.alias("line_key"), F.col("line").alias("c_line"), F.col("variant").alias("c_variant"), F.col("model").alias("c_model"), F.col("year").alias("c_year"))
-    asked = found.select(*[F.col(x) for x in found.columns if x not in ("player", "line_key")], player.alias("player"), line.alias("line_key"))
-    rows = asked.join(c, ["brand", "line_key"]).filter(F.col("year").isNull() | F.col("c_year").isNull() | (F.col("year") == F.col("c_year")))
-    own, cat = X.variant_name(F.col("variant")), X.variant_name(F.col("c_variant"))
-
-    def fits(model: Column) -> Column:
-        crossed = (F.coalesce(model, F.lit("")) == "") & own.isNotNull() & cat.isNull() & (X.variant_name(F.col("c_model")) == own)
-        return (own.eqNullSafe(cat) & model_compatible(F.col("c_model"), model, F.col("c_year"), F.col("year"))) | F.coalesce(crossed, F.lit(False))
-
-    signed = X.signature(F.coalesce(F.nullif("model", F.lit("")), "player"), F.col("variant"), F.col("year"))
-    same = (signed != "") & (X.signature(F.col("c_model"), F.col("c_variant"), F.coalesce("c_year", "year")) == signed)
-    level = F.when(fits(F.col("model")), 1).when(F.col("player").isNotNull() & fits(F.col("player")), 2).when(same, 3)
-    title = Window.partitionBy(id_col)
-    rows = rows.withColumn("_level", level).filter("_level is not null").withColumn("_least", F.min("_level").over(title)).withColumn("_n", F.count("*").over(title))
-    rows = rows.filter((F.col("_level") == F.col("_least")) & ((F.col("_least") < 3) | (F.col("_n") == 1))).drop("_level", "_least", "_n")
-    named = F.coalesce(F.nullif("model", F.lit("")), "player")
-    tc, tt = X.model_tokens(F.col("c_model")), X.model_tokens(named)
-    rows = prefer(rows, [id_col], (F.size(tc) > 0) & X.all_in(tt, tc) & X.all_in(tc, tt))
-    exact = F.coalesce(F.col("year") == F.col("c_year"), F.lit(False))
-    rows = rows.withColumn("_exact", F.count_if(exact).over(title)).filter((F.col("_exact") != 1) | exact).drop("_exact")
-    key = F.struct(F.lower("c_line"), F.lower(F.coalesce("c_model", F.lit(""))), F.coalesce(cat, F.lit("")))
+    counted = _counted_rows(items)
+    met = _probes(found, counted, id_col).join(_keyed_rows(counted), ["brand", "line_key", "meet"])
+    years = F.col("t_year").isNull() | F.col("c_year").isNull() | (F.col("t_year") == F.col("c_year"))
+    fits = F.when(F.col("level") == 3, F.col("c_year").isNotNull() | (X.signature(F.col("c_model"), F.col("c_variant"), F.coalesce("c_year", "t_year")) == F.col("signed")))
+    fits = fits.when(F.startswith("meet", F.lit("~X")), F.lit(True)).otherwise(_compatible(F.col("tc"), F.col("words"), F.col("c_model"), F.col("named"), F.coalesce("c_year", "t_year")))
+    title = Window.partitionBy("title_key")
+    rows = met.filter(years & fits).withColumn("_least", F.min("level").over(title)).filter(F.col("level") == F.col("_least"))
+    rows = rows.withColumn("_again", F.row_number().over(Window.partitionBy("title_key", "item_id").orderBy("meet"))).filter("_again = 1")
+    rows = rows.withColumn("_n", F.count("*").over(title)).filter((F.col("_least") < 3) | (F.col("_n") == 1))
+    rows = rows.withColumns({"tn": _model_tokens(F.col("n")), "t_colour": X.colour_of(F.col("n"))})
+    rows = prefer(rows, ["title_key"], (F.size("tc") > 0) & X.all_in(F.col("tn"), F.col("tc")) & X.all_in(F.col("tc"), F.col("tn")))
+    exact = F.coalesce(F.col("t_year") == F.col("c_year"), F.lit(False))
+    rows = rows.withColumn("_exact", F.count_if(exact).over(title)).filter((F.col("_exact") != 1) | exact)
     newest = F.row_number().over(title.orderBy(F.desc(F.coalesce("c_year", F.lit(0))), "item_id"))
-    rows = rows.withColumns({"_keys": F.size(F.collect_set(key).over(title)), "_newest": newest}).filter(F.col("year").isNotNull() | (F.col("_keys") > 1) | (F.col("_newest") == 1)).drop("_keys", "_newest")
-    plain = F.struct(F.lower("c_line"), F.coalesce(cat, F.lit("")), F.coalesce("c_year", F.lit(0)), F.coalesce(X.without_colour(F.col("c_model")), F.lit("")))
-    right = X.colour_of(named).eqNullSafe(X.colour_of(F.col("c_model")))
-    rows = rows.withColumns({"_plain": F.size(F.collect_set(plain).over(title)), "_right": right})
-    rows = rows.withColumn("_hits", F.count_if("_right").over(title)).filter((F.col("_plain") > 1) | (F.col("_hits") != 1) | F.col("_right"))
-    return rows.drop("_plain", "_right", "_hits", "player", "line_key", "c_line")
+    rows = rows.withColumns({"_kinds": F.min("kind").over(title) == F.max("kind").over(title), "_newest": newest}).filter(F.col("t_year").isNotNull() | ~F.col("_kinds") | (F.col("_newest") == 1))
+    rows = rows.withColumns({"_plain": F.min("plain").over(title) == F.max("plain").over(title), "_right": F.col("t_colour").eqNullSafe(F.col("c_colour"))})
+    rows = rows.withColumn("_hits", F.count_if("_right").over(title)).filter(~F.col("_plain") | (F.col("_hits") != 1) | F.col("_right"))
+    return rows.select(F.col("title_key").alias(id_col), "item_id", "c_model", "c_year")
 
 
 def match_cascade(offers: DataFrame, aliases: DataFrame, items: DataFrame, exclude: str, dictionary: DataFrame | None = None) -> DataFrame:
