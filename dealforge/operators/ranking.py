@@ -8,10 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dealforge.functions.text import tokens
 from dealforge.operators.pricing import first_by
 
 #: Classes of condition that a search may name.
 CONDITIONS = {"like_new": ["new", "as_good_as_new"], "used": ["good", "fair"]}
+# Conditions that may be an opportunity.
+OPPORTUNITY_CONDITIONS = ("new", "un_opened", "as_good_as_new", "Nuevo con etiqueta", "Nuevo sin etiqueta")
 # Shown names, points by model year, by age in days and by kind.
 LABELS = {"new": "Nuevo", "as_good_as_new": "Como nuevo", "good": "Bueno"}
 YEAR_POINTS = {2026: 10, 2025: 5, 2024: 2, 2023: -5, 2022: -15, 2021: -20}
@@ -110,10 +113,48 @@ def under_reference(rows: DataFrame, share: float) -> DataFrame:
     return rows.filter(F.col("price").cast("double") <= F.col("reference") * share)
 
 
+CLASS = ["words", "condition"]
+
+
+def alert_classes(alerts: DataFrame) -> DataFrame:
+    """alert_id, words (sorted, distinct), condition, max_price: which class each alert is of.
+
+    Alerts that ask for the same words and condition are one class, whatever their price. An alert without words asks for nothing
+    and has no class.
+    """
+    words = F.array_sort(F.array_distinct(tokens(F.col("query"))))
+    return alerts.select("alert_id", words.alias("words"), "condition", "max_price").filter(F.size("words") > 0)
+
+
 def alert_matches(alerts: DataFrame, rows: DataFrame, told: DataFrame) -> DataFrame:
-    """(alert_id, listing_id): titles with the alert's word at its price or less, not told before."""
-    words = rows.join(told, "listing_id", "left_anti").select("listing_id", "price", F.explode(F.array_distinct(F.split(F.lower("title"), " "))).alias("word"))
-    return words.join(alerts, "word").filter("price <= max_price").select("alert_id", "listing_id")
+    """words, condition, listing_id, price, n_alerts: what each class of alerts has found, and for how many of them.
+
+    A title has all words of the query, whole; the condition is equal, where one is asked for; the price is max_price or
+    less, where there is one. Pairs (alert_id, listing_id) in `told` count no more, and a listing that is news for no
+    alert is left out. alerts: alert_id, query, condition, max_price; rows: listing_id, title, price, condition.
+
+    A class meets listings on its rarest word only. Prices of listings and limits of alerts are merged in one run along
+    each class's distinct prices, so no list of alerts is made, and the result holds no alert ids: alert_classes() tells
+    whose class it is.
+    """
+    titled = rows.select("listing_id", "price", F.col("condition").alias("had"), F.array_distinct(tokens(F.col("title"))).alias("tw"))
+    worded = titled.select("listing_id", "price", "had", "tw", F.explode("tw").alias("word"))
+    often = worded.groupBy("word").agg(F.count("*").alias("n"))
+    members = alert_classes(alerts)
+    limits = members.groupBy(*CLASS, "max_price").agg(F.count("*").alias("n"))
+    classes = members.select(*CLASS).distinct().select(*CLASS, F.explode("words").alias("word")).join(often, "word", "left")
+    classes = classes.groupBy(*CLASS).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r")).filter("r.n > 0").select(*CLASS, F.col("r.word").alias("word"))
+    fits = (F.size(F.array_except("words", "tw")) == 0) & (F.col("condition").isNull() | F.coalesce(F.col("condition") == F.col("had"), F.lit(False)))
+    met = worded.join(classes, "word").filter(fits & F.col("price").isNotNull()).select(*CLASS, "listing_id", "price")
+    # Both kinds of row in one order: a limit stands before prices equal to it, from the highest down.
+    marks = limits.select(*CLASS, F.col("max_price").alias("at"), "n", F.lit(0).alias("side")).unionByName(met.select(*CLASS, F.col("price").alias("at")).distinct().withColumns({"n": F.lit(0).cast("bigint"), "side": F.lit(1)}))
+    down = Window.partitionBy(*CLASS).orderBy(F.desc_nulls_first("at"), "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = marks.withColumn("n_alerts", F.sum("n").over(down)).filter("side = 1").select(*CLASS, F.col("at").alias("price"), "n_alerts")
+    found = met.join(reach.select(*[F.col(c).alias("r_" + c) for c in (*CLASS, "price")], "n_alerts"), (F.col("words") == F.col("r_words")) & F.col("condition").eqNullSafe(F.col("r_condition")) & (F.col("price") == F.col("r_price"))).select(*CLASS, "listing_id", "price", "n_alerts")
+    heard = told.select("alert_id", "listing_id").distinct().join(members, "alert_id").join(titled.select("listing_id", "price"), "listing_id").filter(F.col("max_price").isNull() | (F.col("price") <= F.col("max_price")))
+    heard = heard.groupBy(F.col("words").alias("h_words"), F.col("condition").alias("h_condition"), F.col("listing_id").alias("h_id")).agg(F.count("*").alias("heard"))
+    out = found.join(heard, (F.col("words") == F.col("h_words")) & F.col("condition").eqNullSafe(F.col("h_condition")) & (F.col("listing_id") == F.col("h_id")), "left")
+    return out.withColumn("n_alerts", F.col("n_alerts") - F.coalesce("heard", F.lit(0))).filter("n_alerts > 0").select(*CLASS, "listing_id", "price", "n_alerts")
 
 
 def favourite_drops(favourites: DataFrame, prices: DataFrame, told: DataFrame) -> DataFrame:
@@ -132,9 +173,9 @@ def drop_histogram(events: DataFrame, zone: str = "Europe/Madrid") -> DataFrame:
     return rows.select("store", F.explode(slots).alias("s")).groupBy("store", "s.kind", F.col("s.slot").cast("bigint").alias("slot")).agg(F.count("*").alias("drops"))
 
 
-def search_flags(rows: DataFrame, share: float = 0.75, least: int = 5) -> DataFrame:
-    """rows with `opportunity`: whether the price is under `share` of the median of the result's like-new
-    rows, if there are enough of these. One pass for the median, one row broadcast."""
-    like = rows.filter(F.col("condition").isin(CONDITIONS["like_new"]))
-    med = like.agg(F.median(F.col("price").cast("double")).alias("_med"), F.count("*").alias("_n"))
-    return rows.crossJoin(F.broadcast(med)).withColumn("opportunity", F.coalesce((F.col("_n") >= least) & (F.col("price").cast("double") < F.col("_med") * share), F.lit(False))).drop("_med", "_n")
+def search_flags(rows: DataFrame, share: float = 0.75, least: int = 5, floor: float = 10, conditions: tuple[str, ...] = OPPORTUNITY_CONDITIONS) -> DataFrame:
+    """rows with `opportunity`: whether a like-new row of `floor` or more costs less than `share` of the median
+    of all such rows of the result, if there are `least` of them. A null price or condition is none. One pass for the median, one row broadcast."""
+    valid = F.coalesce(F.col("condition").isin(*conditions) & (F.col("price") >= floor), F.lit(False))
+    med = rows.filter(valid).agg(F.median(F.col("price").cast("double")).alias("_med"), F.count("*").alias("_n"))
+    return rows.crossJoin(F.broadcast(med)).withColumn("opportunity", valid & F.coalesce((F.col("_n") >= least) & (F.col("price").cast("double") < F.col("_med") * share), F.lit(False))).drop("_med", "_n")

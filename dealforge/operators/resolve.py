@@ -6,13 +6,16 @@ the title is keyed by its rarest one, one that must share half of them by its ra
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from dealforge.functions import text as X
 from dealforge.functions import vocabulary as V
+from dealforge.operators.groups import checkpointed, numbered, tied
 from dealforge.operators.matching import attribute_candidates, dictionary_of, extract_attributes, prefer
 
 LEAST = 0.95
@@ -157,23 +160,58 @@ def resolve_pending(candidates: DataFrame, items: DataFrame) -> DataFrame:
     return out.select("candidate_id", F.when(F.col("n") == 1, F.col("hit")).alias("item_id"), state.alias("state"))
 
 
-def promote(candidates: DataFrame, items: DataFrame, not_product: str, least_sources: int = 2, dictionary: DataFrame | None = None) -> DataFrame:
-    """candidate_id, action, item_id, slug: what to do with each candidate.
+def alike(rows: DataFrame, items: DataFrame, least: float = 78.0) -> DataFrame:
+    """(candidate_id, item_id): the least item of the same brand whose name is at least that many percent like the candidate's.
 
-    wait (too few sources), ignore (no product), review (no line, or several products fit), link (one fits,
-    or one has the slug), insert. candidates: candidate_id, title, sources; items have a slug.
+    rows: candidate_id, brand, name; items: item_id, brand, name. As text.token_similarity(); a pair meets on the
+    first two letters of a word, and of a candidate only on so many, the rarest in the brand, that one must be shared.
+    """
+    words = lambda c: F.filter(X.tokens(c), lambda t: F.length(t) > 1)
+    heads = lambda c: F.array_distinct(F.transform(words(c), lambda t: F.substring(t, 1, 2)))
+    brand = F.lower("brand").alias("b")
+    p = items.select(F.col("item_id"), brand, F.col("name").alias("other"), F.explode(heads(F.col("name"))).alias("head"))
+    often = p.groupBy("b", "head").agg(F.count("*").alias("n"))
+    c = rows.select("candidate_id", brand, "name", F.size(words(F.col("name"))).alias("words"), F.explode(words(F.col("name"))).alias("w")).withColumn("head", F.substring("w", 1, 2))
+    rank = F.row_number().over(Window.partitionBy("candidate_id").orderBy("n", "w"))
+    c = c.join(often, ["b", "head"], "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("r", rank).filter(F.col("r") <= F.col("words") - F.ceil(F.col("words") * F.lit(least) / 100 - 1e-9) + 1)
+    met = c.filter("n > 0").select("candidate_id", "b", "name", "head").distinct().join(p, ["b", "head"])
+    return met.filter(X.token_similarity(F.col("name"), F.col("other")) >= least).groupBy("candidate_id").agg(F.min("item_id").alias("item_id"))
+
+
+def promote(candidates: DataFrame, items: DataFrame, not_product: str, least_sources: int = 2, dictionary: DataFrame | None = None, same: float = 78.0, number_slugs: bool = False) -> DataFrame:
+    """candidate_id, action, item_id, with_id, slug: what to do with each candidate.
+
+    wait (too few sources), ignore (no product), review (no line, or several products fit), link (one product fits, one
+    has the slug, or one of the brand has a name that is `same` percent like the title; item_id), insert (slug), and
+    again link, for those that would insert a product that another candidate of less id inserts (with_id).
+
+    Candidates that would insert are one product if they are tied by equal attributes or by an equal slug, also over others.
+    With number_slugs an equal slug ties nothing: a slug that a product or another candidate has gets -2, -3 and so on.
+    candidates: candidate_id (distinct), title, sources; items: item_id, slug, brand, name and the attributes.
     """
     rows = candidates.withColumn("slug", F.substring(X.slugify(F.col("title")), 1, 100))
     first = F.when(F.coalesce(F.size("sources"), F.lit(0)) < least_sources, "wait").when(F.coalesce(F.lower("title").rlike(not_product), F.lit(True)), "ignore")
-    rows = rows.withColumn("first", first)
-    todo = rows.filter("first is null")
-    found = extract_attributes(todo.select("candidate_id", "title"), dictionary if dictionary is not None else dictionary_of(items), "candidate_id")
+    rows = rows.withColumn("early", first)
+    todo = rows.filter("early is null")
+    found = checkpointed(extract_attributes(todo.select("candidate_id", "title"), dictionary if dictionary is not None else dictionary_of(items), "candidate_id"))
     fits = attribute_candidates(found, items, "candidate_id").groupBy("candidate_id").agg(F.countDistinct("item_id").alias("n"), F.min("item_id").alias("hit"))
     slugs = items.groupBy("slug").agg(F.min("item_id").alias("same_slug"))
-    out = rows.join(found.select("candidate_id", "line"), "candidate_id", "left").join(fits, "candidate_id", "left").join(slugs, "slug", "left")
-    action = F.coalesce("first", F.when(F.col("line").isNull(), "review").when(F.col("n") == 1, "link").when(F.col("n") > 1, "review").when(F.col("same_slug").isNotNull(), "link").otherwise("insert"))
-    item = F.when(action == "link", F.when(F.col("n") == 1, F.col("hit")).otherwise(F.col("same_slug")))
-    return out.select("candidate_id", action.alias("action"), item.alias("item_id"), F.when(action == "insert", F.col("slug")).alias("slug"))
+    out = rows.join(found.select("candidate_id", "brand", "line", "model", "variant", "year"), "candidate_id", "left").join(fits, "candidate_id", "left").join(slugs, "slug", "left")
+    settled = F.coalesce("early", F.when(F.col("line").isNull(), "review").when(F.col("n") == 1, "link").when(F.col("n") > 1, "review"))
+    settled = settled if number_slugs else F.coalesce(settled, F.when(F.col("same_slug").isNotNull(), "link"))
+    out = out.withColumns({"action": settled, "item_id": F.when(settled == "link", F.when(F.col("n") == 1, F.col("hit")).otherwise(F.col("same_slug")))})
+    out = checkpointed(out.select("candidate_id", "title", "action", "item_id", "slug", "brand", "line", "model", "variant", "year"))
+    near = alike(out.filter("action is null").select("candidate_id", "brand", F.col("title").alias("name")), items.select("item_id", "brand", "name"), same)
+    out = out.join(near.withColumnRenamed("item_id", "near_id"), "candidate_id", "left")
+    fresh = out.filter("action is null and near_id is null")
+    text = lambda c: F.coalesce(F.lower(c.cast("string")), F.lit(""))
+    signed = F.concat_ws("|", *[text(F.col(c)) for c in ("brand", "line", "model", "variant", "year")])
+    fresh = tied(fresh.select("candidate_id", "slug", signed.alias("signed")), "candidate_id", ["signed"] if number_slugs else ["signed", "slug"])
+    new = fresh.filter(F.col("candidate_id") == F.col("first"))
+    new = numbered(new, "candidate_id", "slug", items.select("slug")) if number_slugs else new.withColumn("name", F.col("slug"))
+    out = out.drop("slug").join(fresh.select("candidate_id", "first"), "candidate_id", "left").join(new.select("candidate_id", F.col("name").alias("slug")), "candidate_id", "left")
+    action = F.coalesce("action", F.when(F.col("near_id").isNotNull() | (F.col("first") != F.col("candidate_id")), "link").otherwise("insert"))
+    return out.select("candidate_id", action.alias("action"), F.coalesce("item_id", "near_id").alias("item_id"), F.when(F.col("first") != F.col("candidate_id"), F.col("first")).alias("with_id"), "slug")
 
 
 def audit_matcher(stored: DataFrame, again: DataFrame, items: DataFrame) -> DataFrame:
@@ -207,42 +245,113 @@ def ambiguity(titles: DataFrame, candidates: DataFrame) -> DataFrame:
     return titles.join(per, "title_id").select("title_id", category.alias("category"))
 
 
-def _jaro_winkler(a: str, b: str) -> float:
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    taken, first = [False] * len(b), []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == c:
-                taken[j] = True
-                first.append(c)
+def _letters(texts: list[str]) -> np.ndarray:
+    """How often each letter of the alphabet, each digit, a space and anything else stand in each text."""
+    out = np.zeros((len(texts), 38), np.int16)
+    for row, text in zip(out, texts):
+        codes = np.frombuffer(text.encode("ascii", "replace"), np.uint8).astype(np.int64)
+        place = np.where((codes >= 97) & (codes <= 122), codes - 97, np.where((codes >= 48) & (codes <= 57), codes - 22, np.where(codes == 32, 36, 37)))
+        row[:] = np.bincount(place, minlength=38)
+    return out
+
+
+def _grid(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts, a row each, filled with -1; and their lengths."""
+    size = np.array([len(t) for t in texts], np.int64)
+    out = np.full((len(texts), max(int(size.max(initial=0)), 4)), -1, np.int64)
+    for row, text in zip(out, texts):
+        row[: len(text)] = [ord(c) for c in text]
+    return out, size
+
+
+def jaro_winkler(a: str, grid: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Jaro-Winkler similarity of one text to each of many, all of which take a step together for each letter of it."""
+    own = np.array([ord(c) for c in a], np.int64)
+    n, rows = len(own), np.arange(len(grid))
+    if not n:
+        return (size == 0).astype(float)
+    reach, place = np.maximum(np.maximum(n, size) // 2 - 1, 0), np.arange(grid.shape[1])
+    free, matched = grid >= 0, np.zeros((len(grid), n), bool)
+    for i, code in enumerate(own):
+        open_ = (grid == code) & free & (place >= (i - reach)[:, None]) & (place <= (i + reach)[:, None])
+        at = open_.argmax(axis=1)
+        hit = open_[rows, at]
+        free[rows[hit], at[hit]] = False
+        matched[:, i] = hit
+    m = matched.sum(axis=1)
+    # The matched letters of both sides in their order, moved to the left.
+    order_a, order_b = np.argsort(~matched, axis=1, kind="stable"), np.argsort(~((grid >= 0) & ~free), axis=1, kind="stable")
+    width = min(n, grid.shape[1])
+    first = own[order_a][:, :width]
+    second = np.take_along_axis(grid, order_b, axis=1)[:, :width]
+    swaps = ((first != second) & (np.arange(width) < m[:, None])).sum(axis=1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = np.where(m > 0, (m / n + m / np.maximum(size, 1) + (m - swaps) / m) / 3, 0.0)
+    return jaro + _begin(own, grid) * 0.1 * (1 - jaro)
+
+
+def _begin(own: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """How many of the first four letters are equal before one differs."""
+    head = np.full(4, -3, np.int64)
+    head[: min(4, len(own))] = own[:4]
+    return np.cumprod(grid[:, :4] == head, axis=1).sum(axis=1)
+
+
+def nearest_names(asked: list[str], names: list[str], n: int, batch: int = 32) -> tuple[list[tuple[str, str, float]], int]:
+    """(asked, name, score) of the n names that are most like each text, equal scores by name; and how many pairs were scored.
+
+    Letters in common are at most the sum of the lesser counts of each letter, which bounds the score. Names are
+    taken in batches by bound, until the next bound is under the n-th score.
+    """
+    names = sorted(names)
+    grid, size = _grid(names)
+    letters, out, scored = _letters(names), [], 0
+    for a, own in zip(asked, _letters(asked)):
+        code = np.array([ord(c) for c in a], np.int64)
+        common = np.minimum(letters, own).sum(axis=1)
+        jaro = np.where(common > 0, (common / max(len(a), 1) + common / np.maximum(size, 1) + 1) / 3, 0.0 if a else 1.0)
+        bound = np.minimum(jaro, 1) + _begin(code, grid) * 0.1 * (1 - np.minimum(jaro, 1))
+        order = np.argsort(-bound, kind="stable")
+        best_at, best = np.empty(0, np.int64), np.empty(0)
+        for start in range(0, len(order), batch):
+            some = order[start : start + batch]
+            if len(best) >= n and bound[some[0]] < best[n - 1] - 1e-12:
                 break
-    if not first:
-        return 0.0
-    second = [c for c, t in zip(b, taken) if t]
-    swaps = sum(x != y for x, y in zip(first, second)) // 2
-    m = len(first)
-    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    same = next((k for k, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(4, len(a), len(b)))
-    return jaro + same * 0.1 * (1 - jaro)
+            scored += len(some)
+            best_at, best = np.concatenate([best_at, some]), np.concatenate([best, jaro_winkler(a, grid[some], size[some])])
+            keep = np.lexsort((best_at, -best))[: max(n, 1)]
+            best_at, best = best_at[keep], best[keep]
+        out += [(a, names[i], float(s)) for i, s in zip(best_at[:n], best[:n])]
+    return out, scored
 
 
-@F.pandas_udf(DoubleType())
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else _jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
+def _blocks(rows: DataFrame, text: str, size: int) -> DataFrame:
+    """brand, texts: the distinct texts of a brand in blocks of about `size`, dealt by a hash."""
+    rows = rows.select("brand", text).distinct()
+    parts = rows.groupBy("brand").agg(F.ceil(F.count("*") / size).alias("parts"))
+    dealt = rows.join(parts, "brand").withColumn("part", F.pmod(F.xxhash64(text), "parts"))
+    return dealt.groupBy("brand", "part").agg(F.collect_list(text).alias(text + "s")).drop("part")
 
 
 def closest_names(titles: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
     """(title_id, item_id, score, place): the n products of the title's brand whose names are most like it by
-    Jaro-Winkler similarity. Equal texts of a brand are compared once, and titles without a brand are left out."""
+    Jaro-Winkler similarity.
+
+    Equal texts of a brand are compared once. Texts and names of a brand lie in blocks; each pair of blocks gives n
+    names for a text, found by bounds, so that a large brand is shared among tasks. Titles without a brand are left out.
+    """
     plain = lambda c: F.trim(F.regexp_replace(X.normalize(c), r"\b(pala|raqueta) (de )?padel\b ?", ""))
     asked = detect_brands(titles, items).filter("brand is not null").select("title_id", "brand", plain(F.col("title")).alias("a"))
     names = items.filter("name is not null").select("item_id", "brand", plain(F.col("name")).alias("b"))
-    pairs = asked.select("brand", "a").distinct().join(names.select("brand", "b").distinct(), "brand")
-    scored = pairs.withColumn("score", jaro_winkler("a", "b"))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                found, _ = nearest_names(list(row.as_), list(row.bs), n)
+                yield pd.DataFrame({"brand": row.brand, "a": [f[0] for f in found], "b": [f[1] for f in found], "score": [f[2] for f in found]})
+
+    pairs = _blocks(asked, "a", 256).withColumnRenamed("as", "as_").join(_blocks(names, "b", 4096), "brand")
+    scored = pairs.repartition("brand", F.xxhash64("as_"), F.xxhash64("bs")).mapInPandas(score, "brand string, a string, b string, score double")
     rank = Window.partitionBy("brand", "a").orderBy(F.desc("score"), "b")
     top = scored.withColumn("rn", F.row_number().over(rank)).filter(F.col("rn") <= n)  # n texts hold n items at least
     rows = top.join(names, ["brand", "b"]).withColumn("place", F.row_number().over(Window.partitionBy("brand", "a").orderBy(F.desc("score"), "item_id"))).filter(F.col("place") <= n)

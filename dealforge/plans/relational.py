@@ -323,13 +323,30 @@ def new_under_reference(spark, sf):
     return ranking.under_reference(rows, share=0.65).select("listing_id", "item_id", "price", round_half_up((1 - F.col("price").cast("double") / F.col("reference")) * 100).cast("double").alias("discount"))
 
 
-@query(f"""{LST}, a AS (SELECT c_custkey AS alert_id, ['red', 'blue', 'small', 'old'][1 + c_custkey % 4] AS word, CAST(c_custkey % 7 AS DECIMAL(10,2)) AS max_price FROM customer)
-SELECT alert_id, listing_id FROM a JOIN lst ON list_contains(string_split(lower(title), ' '), word) AND price <= max_price WHERE listing_id % 3 <> 0""")
+ALERTS = """a AS (SELECT c_custkey AS alert_id, list_sort([['red', 'blue', 'small', 'old'][1 + c_custkey % 4], ['ring', 'steel', 'brass', 'case', 'copper'][1 + c_custkey % 5]]) AS words,
+  CASE c_custkey % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'good' END AS condition, CASE WHEN c_custkey % 10 <> 0 THEN CAST(c_custkey % 7 * 10 AS DECIMAL(10,2)) END AS max_price FROM customer)"""
+
+
+def _alerts(spark, sf):
+    """Alerts of two words, some for one condition, some without a limit."""
+    k = F.col("c_custkey")
+    pick = lambda words, n: F.get(F.split(F.lit(words), " "), (k % n).cast("int"))
+    asked = F.concat_ws(" ", pick("red blue small old", 4), pick("ring steel brass case copper", 5))
+    return table(spark, sf, "customer").select(k.alias("alert_id"), asked.alias("query"), F.when(k % 3 == 0, "new").when(k % 3 == 1, "good").alias("condition"), F.when(k % 10 != 0, (k % 7 * 10).cast("decimal(10,2)")).alias("max_price"))
+
+
+@query(f"""{LST}, {ALERTS}, m AS (SELECT words, condition, listing_id, price, alert_id FROM a JOIN (SELECT listing_id, price, condition AS had, string_split(lower(title), ' ') AS tw FROM lst) ON list_contains(tw, words[1]) AND list_contains(tw, words[2]) AND (condition IS NULL OR condition = had) AND (max_price IS NULL OR price <= max_price))
+SELECT words, condition, listing_id, price, count(*) AS n_alerts FROM m WHERE NOT EXISTS (SELECT 1 FROM lst t WHERE t.listing_id % 3 = 0 AND t.listing_id = m.listing_id AND t.seller = m.alert_id) GROUP BY ALL""")
 def alert_matches(spark, sf):
-    words = F.array(*[F.lit(w) for w in ("red", "blue", "small", "old")])
-    alerts = table(spark, sf, "customer").select(F.col("c_custkey").alias("alert_id"), words[(F.col("c_custkey") % 4).cast("int")].alias("word"), (F.col("c_custkey") % 7).cast("decimal(10,2)").alias("max_price"))
+    """Every third listing was told to the alert of its seller's number."""
     rows = listings(spark, sf)
-    return ranking.alert_matches(alerts, rows, rows.filter("listing_id % 3 = 0").select("listing_id"))
+    told = rows.filter("listing_id % 3 = 0").select(F.col("seller").alias("alert_id"), "listing_id")
+    return ranking.alert_matches(_alerts(spark, sf), rows, told)
+
+
+@query(f"WITH {ALERTS} SELECT alert_id, words, condition, max_price FROM a")
+def alert_members(spark, sf):
+    return ranking.alert_classes(_alerts(spark, sf))
 
 
 @query(f"{CAT} SELECT brand, item_id, list_price FROM cat QUALIFY row_number() OVER (PARTITION BY brand ORDER BY list_price DESC, item_id) <= 12")
@@ -348,7 +365,8 @@ def favourite_drops(spark, sf):
     return ranking.favourite_drops(fav, lines.select("item_id", "price"), told)
 
 
-@query(f"{LST}, r AS (SELECT * FROM lst WHERE contains(lower(title), 'ring')), m AS (SELECT median(CAST(price AS DOUBLE)) AS med, count(*) AS n FROM r WHERE condition IN ('new', 'as_good_as_new')) SELECT listing_id, coalesce(n >= 5 AND CAST(price AS DOUBLE) < med * 0.75::DOUBLE, false) AS opportunity FROM r, m")
+@query(f"""{LST}, r AS (SELECT *, coalesce(condition IN ('new', 'un_opened', 'as_good_as_new', 'Nuevo con etiqueta', 'Nuevo sin etiqueta') AND price >= 10, false) AS valid FROM lst WHERE contains(lower(title), 'ring')),
+m AS (SELECT median(CAST(price AS DOUBLE)) AS med, count(*) AS n FROM r WHERE valid) SELECT listing_id, valid AND coalesce(n >= 5 AND CAST(price AS DOUBLE) < med * 0.75::DOUBLE, false) AS opportunity FROM r, m""")
 def search_flags(spark, sf):
     return ranking.search_flags(ranking.keyword_search(listings(spark, sf), ["ring"])).select("listing_id", "opportunity")
 

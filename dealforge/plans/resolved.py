@@ -96,22 +96,43 @@ def resolve_pending(spark, sf):
     return R.resolve_pending(found, c)
 
 
-@query(f"""{CAT}, c AS (SELECT item_id AS candidate_id, item_id % 3 AS sources, item_id % 13 = 1 AS ball, item_id % 7 = 2 AS lost, brand, line, variant, model, CASE WHEN item_id % 2 = 0 THEN year END AS y FROM cat),
-m0 AS (SELECT candidate_id, cat.item_id, cat.year AS cy, y FROM c JOIN cat USING (brand, line, variant, model) WHERE NOT lost AND (y IS NULL OR cat.year IS NULL OR y = cat.year) AND cat.item_id % 2 = 0),
+#: Candidates: one of each catalogue row, and for every fifth of those that are not in the catalogue two more with the same title.
+PROMOTED = f"""{CAT}, c0 AS (SELECT item_id AS k, 0 AS copy FROM cat UNION ALL SELECT item_id, unnest([1, 2]) FROM cat WHERE item_id % 5 = 1 AND item_id % 2 = 1),
+c AS (SELECT k + copy * 1000000 AS candidate_id, k % 3 AS sources, k % 13 = 1 AS ball, k % 7 = 2 AS lost, brand, line, variant, 't' || lower(model) AS model, CASE WHEN k % 2 = 0 THEN year END AS y,
+  concat_ws(' ', brand, name, 't' || lower(model), CASE WHEN k % 2 = 0 THEN CAST(year AS VARCHAR) END) AS title FROM c0 JOIN cat ON item_id = k),
+i AS (SELECT item_id, brand, line, variant, 't' || lower(model) AS model, year, concat_ws(' ', brand, name, 't' || lower(model)) AS name, CASE WHEN item_id % 4 = 0 THEN 'brand-' || item_id ELSE 's-' || item_id END AS slug FROM cat WHERE item_id % 2 = 0),
+m0 AS (SELECT candidate_id, i.item_id, i.year AS cy, y FROM c JOIN i USING (brand, line, variant, model) WHERE NOT lost AND (y IS NULL OR i.year IS NULL OR y = i.year)),
 m1 AS (SELECT *, count(*) FILTER (y = cy) OVER (PARTITION BY candidate_id) AS exact, row_number() OVER (PARTITION BY candidate_id ORDER BY coalesce(cy, 0) DESC, item_id) AS newest FROM m0),
-m AS (SELECT candidate_id, count(DISTINCT item_id) AS n, min(item_id) AS hit FROM m1 WHERE CASE WHEN y IS NOT NULL THEN exact <> 1 OR y = cy ELSE newest = 1 END GROUP BY candidate_id)
-SELECT candidate_id, CASE WHEN sources < 2 THEN 'wait' WHEN ball THEN 'ignore' WHEN lost THEN 'review' WHEN n = 1 THEN 'link' WHEN n > 1 THEN 'review' ELSE 'insert' END AS action, CASE WHEN sources >= 2 AND NOT ball AND NOT lost AND n = 1 THEN hit END AS item_id FROM c LEFT JOIN m USING (candidate_id)""")
+m AS (SELECT candidate_id, count(DISTINCT item_id) AS n, min(item_id) AS hit FROM m1 WHERE CASE WHEN y IS NOT NULL THEN exact <> 1 OR y = cy ELSE newest = 1 END GROUP BY candidate_id),
+g AS (SELECT *, CASE WHEN sources < 2 THEN 'wait' WHEN ball THEN 'ignore' WHEN lost THEN 'review' WHEN n = 1 THEN 'link' WHEN n > 1 THEN 'review' END AS action FROM c LEFT JOIN m USING (candidate_id)),
+w AS (SELECT candidate_id, lower(brand) AS b, list_filter(string_split_regex(lower(title), '[^a-z0-9]+'), lambda t: len(t) > 1) AS ta FROM g WHERE action IS NULL),
+v AS (SELECT item_id, lower(brand) AS b, list_distinct(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda t: len(t) > 1)) AS tb FROM i),
+near AS (SELECT candidate_id, min(item_id) AS near_id FROM w JOIN v USING (b) WHERE len(list_filter(ta, lambda t: len(list_filter(tb, lambda u: starts_with(u, t) OR starts_with(t, u))) > 0)) / greatest(len(ta), len(tb)) * 100 >= 78 GROUP BY candidate_id),
+f AS (SELECT *, CASE WHEN action IS NULL AND near_id IS NULL THEN min(CASE WHEN action IS NULL AND near_id IS NULL THEN candidate_id END) OVER (PARTITION BY brand, line, variant, model, y) END AS first FROM g LEFT JOIN near USING (candidate_id))"""
+
+
+@query(f"""{PROMOTED} SELECT candidate_id, coalesce(action, CASE WHEN near_id IS NOT NULL OR first <> candidate_id THEN 'link' ELSE 'insert' END) AS action, coalesce(CASE WHEN action = 'link' THEN hit END, near_id) AS item_id,
+CASE WHEN first <> candidate_id THEN first END AS with_id, CASE WHEN first = candidate_id THEN trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') END AS slug FROM f""")
 def promote(spark, sf):
     """Every second item is in the catalogue already."""
+    from dealforge.operators.matching import dictionary_of
+
+    return R.promote(*_promoted(spark, sf), "pelotas", dictionary=dictionary_of(_promoted_from(spark, sf)))
+
+
+def _promoted_from(spark, sf):
+    return catalogue(spark, sf).withColumn("model", F.concat(F.lit("t"), F.lower("model")))
+
+
+def _promoted(spark, sf):
     k = F.col("item_id")
-    c = catalogue(spark, sf).withColumn("model", F.concat(F.lit("t"), F.lower("model")))
+    c = _promoted_from(spark, sf)
+    copies = F.when((k % 5 == 1) & (k % 2 == 1), F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))
     title = F.when(k % 7 == 2, F.concat(F.lit("unknown thing "), k)).otherwise(F.concat_ws(" ", "brand", "name", "model", F.when(k % 2 == 0, F.col("year").cast("string"))))
     title = F.when(k % 13 == 1, F.concat(title, F.lit(" pelotas"))).otherwise(title)
-    found = c.select(k.alias("candidate_id"), title.alias("title"), F.slice(F.array(F.lit("a"), F.lit("b")), 1, (k % 3).cast("int")).alias("sources"))
-    items = c.filter("item_id % 2 = 0").withColumn("slug", F.concat(F.lit("s-"), k))
-    from dealforge.operators.matching import dictionary_of
-
-    return R.promote(found, items, "pelotas", dictionary=dictionary_of(c)).drop("slug")
+    found = c.select(k, title.alias("title"), F.slice(F.array(F.lit("a"), F.lit("b")), 1, (k % 3).cast("int")).alias("sources"), F.explode(copies).alias("copy"))
+    items = c.filter("item_id % 2 = 0").withColumns({"name": F.concat_ws(" ", "brand", "name", "model"), "slug": F.concat(F.when(k % 4 == 0, "brand-").otherwise("s-"), k)})
+    return found.select((k + F.col("copy") * 1000000).alias("candidate_id"), "title", "sources"), items
 
 
 @query(f"""{MATCHED}, s AS (SELECT title_id, tt, CASE WHEN title_id % 3 = 0 THEN title_id + 1 ELSE title_id END AS item_id FROM q),
