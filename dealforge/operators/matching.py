@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from dealforge.functions import text as X
 from dealforge.functions import vocabulary as V
+from dealforge.operators.groups import checkpointed
 
 MAX_WORDS = 3  # of a dictionary alias
 # Which source's row survives among duplicates.
@@ -42,7 +43,8 @@ def extract_attributes(titles: DataFrame, dictionary: DataFrame, id_col: str = "
     the dictionary, then the first in the title. A player is told if it is not the line. Without a variant
     it is WOMAN if the title has a name of kind woman (the players that only women's rackets name) or a
     lone w. Shop phrases and words that name nothing leave the model; if no model is left, it is the
-    generation (3.4). With guess_line, the first word left stands for a line that is missing, else the
+    generation (3.4). Where the dictionary has a column `brand`, an entry with one counts only in titles of that brand,
+    which is found first; among these the order is the dictionary's, as curated lists have it, before the length. With guess_line, the first word left stands for a line that is missing, else the
     player. A null title, or one without words, has nothing but nulls and an empty model.
     """
     prepared, generation = X.prepared_title(F.col(title_col))
@@ -51,6 +53,10 @@ def extract_attributes(titles: DataFrame, dictionary: DataFrame, id_col: str = "
     runs = lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1))), lambda i: i + n - 1 <= F.size("words")), lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), F.array_join(F.slice("words", i, n), " ").alias("alias")))
     met = rows.select("id", F.explode(F.concat(*[runs(n) for n in range(1, MAX_WORDS + 1)])).alias("r")).select("id", "r.at", "r.n", "r.alias").join(dictionary, "alias")
     rank = F.struct(F.length("alias"), -F.col("priority"), -F.col("at"))
+    if "brand" in dictionary.columns:
+        own = F.max_by(F.when(F.col("kind") == "brand", F.col("value")), F.when(F.col("kind") == "brand", rank)).over(Window.partitionBy("id"))
+        met = met.withColumn("_own", own).filter((F.col("kind") == "brand") | F.col("brand").isNull() | F.coalesce(F.col("brand") == F.col("_own"), F.lit(False)))
+        rank = F.struct(F.when(F.col("brand").isNull(), 0).otherwise(-F.col("priority")), F.length("alias"), -F.col("priority"), -F.col("at"))
     kinds = ("brand", "line", "variant", "player", "woman")
     best = met.groupBy("id").agg(*[F.max_by(F.when(F.col("kind") == k, F.struct("value", "at", "n")), F.when(F.col("kind") == k, rank)).alias("_" + k) for k in kinds])
     out = rows.join(best, "id", "left")
@@ -262,7 +268,7 @@ def embedding_match(queries: DataFrame, vectors: DataFrame, block: str, least: f
 def duplicate_groups(items: DataFrame) -> DataFrame:
     """item_id, key, keep_id. Rows without a year join the dated group of least key with the same brand,
     line, model and variant. A group whose model words are all among another's, with the rest of the
-    key equal, joins that one. The survivor is the row of the best source, then with an image."""
+    key equal, joins that one, and with it the one that that one joins, to the end. The survivor is the row of the best source, then with an image."""
     part = lambda c: F.coalesce(X.normalize(F.col(c)), F.lit(""))
     rows = items.filter((part("brand") != "") & (part("line") != ""))
     rows = rows.withColumns({c + "_k": part(c) for c in ("brand", "line", "model", "variant")})
@@ -277,19 +283,27 @@ def duplicate_groups(items: DataFrame) -> DataFrame:
 
 
 def absorbed(groups: DataFrame, rest: list[str], text: str) -> DataFrame:
-    """(rest, text, into): texts whose words are all among those of a longer one with equal `rest`.
+    """(rest, text, into): texts whose words are all among those of a longer one with equal `rest`, or of one of as many words that comes later.
 
-    The longest such one that no other takes in, then the first. Pairs meet on the first two letters of
-    the shorter's longest word, since close words begin alike.
+    Each goes into the longest such one, then the first, and on into what takes that one in, to a text that none takes in: words
+    that are close make chains that no single step spans. Pairs meet on the first two letters of
+    the shorter's longest word, since close words begin alike; chains are followed by doubling.
     """
     rows = groups.withColumn("t", F.filter(F.split(text, " "), lambda w: w != "")).filter(F.size("t") > 0)
     head = lambda w: F.substring(w, 1, 2)
     longest = F.element_at(F.array_sort(F.transform("t", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
     small = rows.select(*rest, F.col(text), F.col("t").alias("st"), head(longest).alias("head"))
     wide = rows.select(*rest, F.col(text).alias("into"), F.col("t").alias("wt"), F.explode(F.array_distinct(F.transform("t", head))).alias("head"))
-    met = small.join(wide, [*rest, "head"]).filter((F.size("st") < F.size("wt")) & X.all_in(F.col("st"), F.col("wt")))
+    later = (F.size("st") < F.size("wt")) | ((F.size("st") == F.size("wt")) & (F.col(text) < F.col("into")))
+    met = small.join(wide, [*rest, "head"]).filter(later & X.all_in(F.col("st"), F.col("wt")))
     best = met.groupBy(*rest, text).agg(F.min(F.struct(-F.size("wt"), "into")).alias("b"))
-    return best.select(*rest, text, F.col("b.into").alias("into"))
+    now = checkpointed(best.select(*rest, text, F.col("b.into").alias("into")))
+    while True:
+        onward = now.select(*rest, F.col(text).alias("into"), F.col("into").alias("further"))
+        moved = checkpointed(now.join(onward, [*rest, "into"], "left"))
+        now = moved.select(*rest, text, F.coalesce("further", "into").alias("into"))
+        if moved.filter("further is not null").isEmpty():
+            return now
 
 
 def survivors(rows: DataFrame, keys: list[str]) -> DataFrame:
