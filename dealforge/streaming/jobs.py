@@ -7,12 +7,12 @@ folder on storage that the cluster shares. AvailableNow catches up and stops.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 
-from dealforge.operators.pricing import first_by
+from dealforge.streaming.store import Lease, store, stored
 
 
 def new_listings(stream: DataFrame, id_col: str = "listing_id", ts_col: str = "ts", late: str = "48 hours") -> DataFrame:
@@ -27,18 +27,63 @@ def daily_mean(stream: DataFrame, ts_col: str = "ts", late: str = "1 day") -> Da
 
 
 def daily_upsert(stream: DataFrame, path: str, checkpoint: str, keys: tuple = ("item_id", "store_id", "day"), order: str = "seq") -> StreamingQuery:
-    """Appends each batch's last row of a key as files of its batch; latest() reads one row for
-    each key. A batch that is run again overwrites its own folder, so replays change nothing."""
+    """Keeps the row of greatest `order` of each key in a table in days (store.py), of which a batch rewrites only
+    those that it touches."""
 
     def write(batch: DataFrame, number: int) -> None:
-        first_by(batch, list(keys), [F.desc(order)]).withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        store(batch, path, number, list(keys), [F.desc(order)], "day", ranked=False)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, path: str, keys: tuple = ("item_id", "store_id", "day"), order: str = "seq") -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc("_batch"), F.desc(order))
-    return spark.read.parquet(path).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_batch", "batch")
+def latest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows that daily_upsert() keeps; None before its first batch."""
+    return stored(spark, path, "day")
+
+
+HEADS = 50  # ids that a cursor holds
+CURSOR = "run bigint, stop bigint, heads array<struct<place:bigint,id:bigint>>, known array<bigint>"
+
+
+def until_cursor(stream: DataFrame) -> DataFrame:
+    """(keyword, run, place, listing_id, day): of each keyword and run, newest first, what stands before the first id that the run before
+    had among its first HEADS: the cursor.
+
+    stream: keyword, run, place (from 0, the newest), listing_id, day. Pages of a run may come in any order and in later
+    batches: what stands behind the stop is dropped then too, and what a later page shows to stand behind a stop found since was
+    given out already, as it was new when it came. Pages of a run that come after one of a later run are dropped. The state of a keyword is its
+    run, the stop, the first ids of the run and those of the run before. The first run of a keyword has no stop.
+    """
+
+    def update(key: tuple, frames, state: GroupState):
+        run, stop, heads, known = state.get if state.exists else (-1, -1, [], [])
+        heads = [(h[0], h[1]) for h in heads]
+        rows, out = pd.concat(list(frames)).sort_values(["run", "place"]), []
+        for current, page in rows.groupby("run", sort=True):
+            if current < run:
+                continue
+            if current > run:
+                known, run, stop, heads = [i for _, i in heads] or known, int(current), -1, []
+            hits = page.loc[page["listing_id"].isin(known), "place"]
+            if len(hits):
+                stop = int(hits.min()) if stop < 0 else min(stop, int(hits.min()))
+            heads = sorted({*heads, *zip(page["place"].tolist(), page["listing_id"].tolist())})[:HEADS]
+            out.append(page if stop < 0 else page[page["place"] < stop])
+        state.update((run, stop, heads, list(known)))
+        if out:
+            yield pd.concat(out)[["keyword", "run", "place", "listing_id", "day"]]
+
+    rows = stream.select("keyword", F.col("run").cast("bigint"), F.col("place").cast("bigint"), F.col("listing_id").cast("bigint"), F.col("day").cast("date"))
+    return rows.groupBy("keyword").applyInPandasWithState(update, "keyword string, run bigint, place bigint, listing_id bigint, day date", CURSOR, "append", GroupStateTimeout.NoTimeout)
+
+
+def new_by_cursor(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Stores each listing once, whichever keyword found it first, in a table in days of the listings (store.py)."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        store(batch, path, number, ["listing_id"], [F.asc("run"), F.asc("keyword"), F.asc("place")], "day", on_conflict="ignore")
+
+    return until_cursor(stream).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 DEAL_STATE = "item_id bigint, store_id bigint, action string, price double"
@@ -79,10 +124,22 @@ def deal_states(stream: DataFrame, step: float = 0.99) -> DataFrame:
     return rows.groupBy("item_id", "store_id").applyInPandasWithState(update, DEAL_STATE, "run bigint, active boolean, last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def every(stream: DataFrame, name: str, sink, checkpoint: str, hours: int) -> StreamingQuery | None:
+def every(stream: DataFrame, name: str, sink, checkpoint: str, hours: float, leases: str | None = None) -> StreamingQuery | None:
     """Starts `sink` on each batch every so many hours, under a name; nothing if a query of that name is running
-    in this application."""
+    in this application or, with a folder of `leases` on shared storage, in any.
+
+    The lease lasts for three triggers and is renewed by each batch; a batch that finds it lost fails, which ends the query.
+    """
     spark = stream.sparkSession
     if any(q.name == name and q.isActive for q in spark.streams.active):
         return None
-    return stream.writeStream.queryName(name).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=f"{hours} hours").start()
+    lease = Lease(spark, leases, name, 3 * hours * 3600) if leases else None
+    if lease and not lease.take():
+        return None
+
+    def held(batch: DataFrame, number: int) -> None:
+        if lease and not lease.renew():
+            raise RuntimeError(f"another application runs {name}")
+        sink(batch, number)
+
+    return stream.writeStream.queryName(name).foreachBatch(held).option("checkpointLocation", checkpoint).trigger(processingTime=f"{round(hours * 3600)} seconds").start()
