@@ -479,3 +479,9 @@ def audit_prices(rows: DataFrame, as_of: Column, hours: int = 24, least: float =
         _failed("C4", "warning", (F.size(own) >= 2) & (hits / F.size(own) < 0.25), False),
     ]
     return _one_per_check(rows, checks)
+
+
+def audit_counts(*audits: DataFrame) -> DataFrame:
+    """(code, severity, n, corrected): how often each check of the audits failed, and how many matches that puts right."""
+    rows = reduce(DataFrame.unionByName, audits)
+    return rows.groupBy("code", "severity").agg(F.count("*").alias("n"), F.count_if("corrected").alias("corrected"))

@@ -109,7 +109,9 @@ def price_patterns(events: DataFrame, zone: str = "Europe/Madrid", least_days: i
     return per.withColumn("reliable", F.col("days") >= least_days)
 
 
-def under_reference(rows: DataFrame, share: float) -> DataFrame:
+def under_reference(rows: DataFrame, share: float, sure: float | None = None) -> DataFrame:
+    """Rows at `share` of their reference or less; with `sure`, only those whose match has that confidence or more."""
+    rows = rows if sure is None else rows.filter(F.col("confidence") >= sure)
     return rows.filter(F.col("price").cast("double") <= F.col("reference") * share)
 
 

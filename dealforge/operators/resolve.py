@@ -7,6 +7,7 @@ the title is keyed by its rarest one, one that must share half of them by its ra
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -142,19 +143,27 @@ def memo_split(rows: DataFrame, memo: DataFrame, keys: list[str]) -> tuple[DataF
     return both.filter(valid).drop("seen_title", "seen"), both.filter(~valid).select(*rows.columns)
 
 
+def affected(matches: DataFrame, listings: DataFrame) -> DataFrame:
+    """item_id: products whose listings are others after second_hand_match(), so that their figures are made anew: those that a
+    listing was newly matched to, and those that it was matched to before and is no more."""
+    rows = matches.join(listings.select("listing_id", F.col("item_id").alias("old")), "listing_id").filter(F.col("outcome").isin("matched", "nullified"))
+    return rows.select(F.explode(F.array("item_id", "old")).alias("item_id")).filter("item_id is not null").distinct()
+
+
 def resolve_pending(candidates: DataFrame, items: DataFrame) -> DataFrame:
     """candidate_id, item_id, state: a pending candidate that exactly one product fits is matched; with
     several it stays pending (ambiguous), with none too.
 
-    candidates: candidate_id, brand, line, model, variant, year, as read from the title.
+    candidates: candidate_id, brand, line, model, variant, year, as read from the title. A missing model or year on either side fits any.
+    Products are counted by brand, line, variant, model and year before the join, so that a candidate meets a few rows of counts, not its line.
     """
-    c = candidates.filter("brand is not null and line is not null").select("candidate_id", "brand", F.lower("line").alias("l"), *[F.col(x).alias("c_" + x) for x in ("model", "variant", "year")])
-    p = items.filter("line is not null").select("item_id", "brand", F.lower("line").alias("l"), "model", "variant", "year")
-    blank = lambda x: F.coalesce(x, F.lit("")) == ""
-    model = blank(F.col("c_model")) | blank(F.col("model")) | (F.lower("c_model") == F.lower("model"))
-    year = F.col("c_year").isNull() | F.col("year").isNull() | (F.col("c_year") == F.col("year"))
-    met = c.join(p, ["brand", "l"]).filter(model & year & X.variant_name(F.col("c_variant")).eqNullSafe(X.variant_name(F.col("variant"))))
-    found = met.groupBy("candidate_id").agg(F.count("*").alias("n"), F.min("item_id").alias("hit"))
+    lower = lambda x: F.coalesce(F.lower(x), F.lit(""))
+    variant = F.coalesce(F.concat(F.lit("="), X.variant_name(F.col("variant"))), F.lit("~")).alias("v")
+    c = candidates.filter("brand is not null and line is not null").select("candidate_id", "brand", F.lower("line").alias("l"), variant, F.col("year").alias("c_year"), F.explode(F.when(lower("model") == "", F.array(F.lit("*"))).otherwise(F.array(F.concat(F.lit("="), lower("model")), F.lit("=")))).alias("m"))
+    p = items.filter("line is not null").select("item_id", "brand", F.lower("line").alias("l"), variant, "year", F.explode(F.array(F.concat(F.lit("="), lower("model")), F.lit("*"))).alias("m"))
+    counts = p.groupBy("brand", "l", "v", "m", "year").agg(F.count("*").alias("n"), F.min("item_id").alias("hit"))
+    met = c.join(counts, ["brand", "l", "v", "m"]).filter(F.col("c_year").isNull() | F.col("year").isNull() | (F.col("c_year") == F.col("year")))
+    found = met.groupBy("candidate_id").agg(F.sum("n").alias("n"), F.min("hit").alias("hit"))
     out = candidates.select("candidate_id").join(found, "candidate_id", "left")
     state = F.when(F.col("n") == 1, "matched").when(F.col("n") > 1, "ambiguous").otherwise("pending")
     return out.select("candidate_id", F.when(F.col("n") == 1, F.col("hit")).alias("item_id"), state.alias("state"))
@@ -219,8 +228,10 @@ def audit_matcher(stored: DataFrame, again: DataFrame, items: DataFrame) -> Data
     against a new run of the matcher. stored: title_id, title, item_id; again: title_id, item_id.
 
     missing_telling: the stored product has telling words that the title lacks; extra_telling: the title
-    has some that the product lacks; ratio: neither.
+    has some that the product lacks; ratio: neither. Titles with a word of another kind of product are left out.
     """
+    accessory = reduce(lambda a, b: a | b, [F.contains(F.lower("title"), F.lit(w)) for w in V.AUDIT_EXCLUDED])
+    stored = stored.filter(~F.coalesce(accessory, F.lit(False)))
     p = product_tokens(items).select("item_id", "t")
     rows = stored.join(again.select("title_id", F.col("item_id").alias("now")), "title_id", "left").join(p, "item_id")
     tt = F.coalesce(X.title_tokens(F.lower("title")), _empty())
@@ -233,6 +244,15 @@ def audit_matcher(stored: DataFrame, again: DataFrame, items: DataFrame) -> Data
     return rows.select("title_id", verdict.alias("verdict"), kind.alias("suggestion"), words.alias("words"))
 
 
+def matcher_fixes(audit: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of audit_matcher(): (suggestion, words, n), how many false positives each fix would mend; and (word, n), how many
+    miss each telling word."""
+    wrong = audit.filter("verdict = 'false_positive'")
+    fixes = wrong.groupBy("suggestion", F.array_join("words", " ").alias("words")).agg(F.count("*").alias("n"))
+    words = wrong.filter("suggestion = 'missing_telling'").select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return fixes, words
+
+
 def ambiguity(titles: DataFrame, candidates: DataFrame) -> DataFrame:
     """title_id, category of the reason why several candidates are left: same_model_other_year, player,
     no_telling_word or other. candidates: title_id, item_id, model, year."""

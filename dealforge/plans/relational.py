@@ -377,13 +377,13 @@ def drop_histogram(spark, sf):
     return ranking.drop_histogram(table(spark, sf, "events"))
 
 
-@query(f"{LST}, r AS (SELECT l_partkey AS item_id, floor(CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2))) AS DOUBLE) / count(*) / 800 * 100 + 0.5) / 100 AS reference FROM lineitem GROUP BY l_partkey) SELECT listing_id, lst.item_id, reference FROM lst JOIN r ON r.item_id = lst.item_id WHERE condition = 'new' AND CAST(price AS DOUBLE) <= reference * 0.65::DOUBLE")
+@query(f"{LST}, r AS (SELECT l_partkey AS item_id, floor(CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2))) AS DOUBLE) / count(*) / 800 * 100 + 0.5) / 100 AS reference FROM lineitem GROUP BY l_partkey) SELECT listing_id, lst.item_id, reference FROM lst JOIN r ON r.item_id = lst.item_id WHERE condition = 'new' AND listing_id % 4 <> 0 AND CAST(price AS DOUBLE) <= reference * 0.65::DOUBLE")
 def under_own_reference(spark, sf):
-    """New listings against their own product's reference, by an inner join with a condition on it."""
+    """New listings against their own product's reference, by an inner join with a condition on it. Every fourth match is not sure."""
     price = F.col("l_extendedprice").cast("decimal(15,2)")
     refs = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("item_id")).agg(round_half_up(F.sum(price).cast("double") / F.count("*") / 800, 2).alias("reference"))
-    rows = listings(spark, sf).filter("condition = 'new'").join(refs, "item_id")
-    return ranking.under_reference(rows, share=0.65).select("listing_id", "item_id", "reference")
+    rows = listings(spark, sf).filter("condition = 'new'").join(refs, "item_id").withColumn("confidence", F.when(F.col("listing_id") % 4 == 0, 0.95).otherwise(1.0))
+    return ranking.under_reference(rows, share=0.65, sure=1.0).select("listing_id", "item_id", "reference")
 
 
 @query("""WITH o AS (SELECT c_custkey AS key, CAST(c_custkey % 4 AS BIGINT) AS n FROM customer WHERE c_custkey % 2 = 0), w AS (SELECT o_custkey AS key, count(*) AS n FROM orders GROUP BY o_custkey), t AS (SELECT coalesce(o.key, w.key) AS key, CAST(coalesce(o.n, 0) + coalesce(w.n, 0) AS BIGINT) AS n FROM o FULL JOIN w ON o.key = w.key)

@@ -75,6 +75,12 @@ def second_hand(spark, sf):
     return _second_hand(spark, sf)
 
 
+@query(f"{SECOND}, ch AS (SELECT *, CASE WHEN item_id IS NOT NULL THEN item_id IS DISTINCT FROM old ELSE old IS NOT NULL END AS changed FROM o) SELECT DISTINCT i AS item_id FROM (SELECT unnest([item_id, old]) AS i FROM ch WHERE changed) WHERE i IS NOT NULL")
+def second_hand_affected(spark, sf):
+    listings = catalogue(spark, sf).select(F.col("item_id").alias("listing_id"), F.when(F.col("item_id") % 3 == 0, F.col("item_id")).when(F.col("item_id") % 3 == 1, F.col("item_id") + 1).alias("item_id"))
+    return R.affected(_second_hand(spark, sf), listings)
+
+
 @query("""WITH m AS (SELECT p_partkey AS url, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'other' END AS seen FROM part WHERE p_partkey % 5 <> 0)
 SELECT p_partkey AS url, seen IS NOT DISTINCT FROM p_name OR seen IS NULL AND url IS NOT NULL AS known FROM part LEFT JOIN m ON url = p_partkey""")
 def match_memo(spark, sf):
@@ -135,10 +141,13 @@ def _promoted(spark, sf):
     return found.select((k + F.col("copy") * 1000000).alias("candidate_id"), "title", "sources"), items
 
 
-@query(f"""{MATCHED}, s AS (SELECT title_id, tt, CASE WHEN title_id % 3 = 0 THEN title_id + 1 ELSE title_id END AS item_id FROM q),
+AUDITED = f"""{MATCHED}, s AS (SELECT title_id, tt, CASE WHEN title_id % 3 = 0 THEN title_id + 1 ELSE title_id END AS item_id FROM q),
 v AS (SELECT s.title_id, tt, p.t, r.item_id AS now, s.item_id FROM s JOIN r USING (title_id) JOIN p ON p.item_id = s.item_id),
-w AS (SELECT *, CASE WHEN now IS NULL THEN 'unmatched' WHEN now = item_id THEN 'correct' ELSE 'false_positive' END AS verdict, list_sort(list_filter(t, lambda w: w IN {sql_list(V.TITLE_TELLING)} AND NOT list_contains(tt, w))) AS missing, list_sort(list_filter(tt, lambda w: w IN {sql_list(V.TITLE_TELLING)} AND NOT list_contains(t, w))) AS extra FROM v)
-SELECT title_id, verdict, CASE WHEN verdict = 'false_positive' THEN CASE WHEN len(missing) > 0 THEN 'missing_telling' WHEN len(extra) > 0 THEN 'extra_telling' ELSE 'ratio' END END AS suggestion, CASE WHEN verdict = 'false_positive' THEN CASE WHEN len(missing) > 0 THEN missing ELSE extra END END AS words FROM w""")
+w AS (SELECT *, CASE WHEN now IS NULL THEN 'unmatched' WHEN now = item_id THEN 'correct' ELSE 'false_positive' END AS verdict, list_sort(list_filter(t, lambda w: w IN {sql_list(V.TITLE_TELLING)} AND NOT list_contains(tt, w))) AS missing, list_sort(list_filter(tt, lambda w: w IN {sql_list(V.TITLE_TELLING)} AND NOT list_contains(t, w))) AS extra FROM v)"""
+AUDIT = """SELECT title_id, verdict, CASE WHEN verdict = 'false_positive' THEN CASE WHEN len(missing) > 0 THEN 'missing_telling' WHEN len(extra) > 0 THEN 'extra_telling' ELSE 'ratio' END END AS suggestion, CASE WHEN verdict = 'false_positive' THEN CASE WHEN len(missing) > 0 THEN missing ELSE extra END END AS words FROM w"""
+
+
+@query(f"{AUDITED} {AUDIT}")
 def audit_matcher(spark, sf):
     """Every third stored match is the next item's."""
     t = titles(spark, sf)
@@ -147,6 +156,11 @@ def audit_matcher(spark, sf):
     return R.audit_matcher(stored, again, catalogue(spark, sf))
 
 
+@query(f"{AUDITED}, u AS ({AUDIT}) SELECT suggestion, array_to_string(words, ' ') AS words, count(*) AS n FROM u WHERE verdict = 'false_positive' GROUP BY ALL")
+def matcher_fixes(spark, sf):
+    return R.matcher_fixes(audit_matcher(spark, sf))[0]
+
+
 @query("""WITH c AS (SELECT p_partkey AS title_id, unnest([0, 1]) AS side FROM part), m AS (SELECT title_id, side, CASE title_id % 4 WHEN 0 THEN 'same 202' || side WHEN 1 THEN CASE side WHEN 0 THEN 'x Juan Lebron' ELSE 'x' END ELSE 'y' || side END AS model, CASE WHEN title_id % 4 = 0 THEN 2020 + side ELSE 2024 END AS year FROM c)
 SELECT title_id, CASE title_id % 4 WHEN 0 THEN 'same_model_other_year' WHEN 1 THEN 'player' WHEN 2 THEN 'no_telling_word' ELSE 'other' END AS category FROM m GROUP BY title_id""")
 def ambiguity(spark, sf):

@@ -174,29 +174,38 @@ def _audited(spark, sf):
     )
 
 
-@query(f"""WITH {PAIRS}, c AS (SELECT k, k AS item_id, unnest([
+LISTING_AUDIT = f"""WITH {PAIRS}, c AS (SELECT k, k AS item_id, unnest([
   CASE WHEN CAST(nullif(regexp_extract(title, '\\b(20(?:1[89]|2[0-9]))\\b', 1), '') AS INTEGER) <> y THEN 'M1' END,
   CASE WHEN len(own) > 2 AND len(list_filter(own, lambda t: list_contains({sql_audit_tokens('title')}, t))) / len(own) < 0.4::DOUBLE THEN 'M2' END,
   CASE WHEN {sql_contains('title', V.AUDIT_EXCLUDED)} THEN 'M3' END, CASE WHEN k % 100 > 90 THEN 'M4' END,
   CASE WHEN NOT ({NAMED} OR contains(lower(title), split_part(lower(brand), ' ', 1))) AND NOT (lower(brand) NOT IN {sql_list(list(V.AUDIT_BRANDS))} AND contains(lower(title), lower(brand))) THEN 'M5' END]) AS code FROM w WHERE k % 50 <> 7)
-SELECT k AS match_id, item_id, code, CASE WHEN code IN ('M1', 'M3') THEN 'error' ELSE 'warning' END AS severity, code IN ('M1', 'M3') AS corrected FROM c WHERE code IS NOT NULL""")
-def match_audit(spark, sf):
-    """Brands, titles and models of the lists above meet in all combinations."""
-    return M.audit_listings(_audited(spark, sf))
-
-
-@query(f"""WITH {PAIRS}, u AS (SELECT *, CASE WHEN k % 11 <> 0 THEN 300 END AS reference, CAST(nullif(regexp_extract(url, '20[0-9]{{2}}', 0), '') AS INTEGER) AS whole,
+SELECT k AS match_id, item_id, code, CASE WHEN code IN ('M1', 'M3') THEN 'error' ELSE 'warning' END AS severity, code IN ('M1', 'M3') AS corrected FROM c WHERE code IS NOT NULL"""
+PRICE_AUDIT = f"""WITH {PAIRS}, u AS (SELECT *, CASE WHEN k % 11 <> 0 THEN 300 END AS reference, CAST(nullif(regexp_extract(url, '20[0-9]{{2}}', 0), '') AS INTEGER) AS whole,
   CASE WHEN regexp_matches(url, '[_-]2[0-9][_-][0-9]{{3}}') THEN NULL ELSE CAST(nullif(regexp_extract(url, '[_-](2[0-9])[_-]', 1), '') AS INTEGER) + 2000 END AS short,
   replace(replace(list_last(list_filter(string_split(url, '/'), lambda p: p <> '')), '-', ' '), '_', ' ') AS slug, list_filter(own, lambda t: length(t) >= 3 AND t NOT IN {sql_list(V.AUDIT_COMMON)}) AS key
   FROM w WHERE k % 50 <> 7 AND k % 13 <> 0 AND k % 7 <> 0 AND k % 6 <> 2 AND k % 26 <= 24),
 c AS (SELECT k, unnest([CASE WHEN CASE WHEN whole BETWEEN 2018 AND 2030 THEN whole ELSE short END <> y THEN 'C1' END, CASE WHEN {sql_contains('title', V.AUDIT_EXCLUDED)} THEN 'C2' END,
   CASE WHEN floor((reference - k % 300) / 300.0::DOUBLE * 100 + 0.5) > 80 THEN 'C3' END,
   CASE WHEN len(key) >= 2 AND len(list_filter(key, lambda t: contains(slug, t))) / len(key) < 0.25::DOUBLE THEN 'C4' END]) AS code FROM u)
-SELECT k AS match_id, k AS item_id, code, CASE WHEN code IN ('C1', 'C2') THEN 'error' ELSE 'warning' END AS severity, code IN ('C1', 'C2') AS corrected FROM c WHERE code IS NOT NULL""")
+SELECT k AS match_id, k AS item_id, code, CASE WHEN code IN ('C1', 'C2') THEN 'error' ELSE 'warning' END AS severity, code IN ('C1', 'C2') AS corrected FROM c WHERE code IS NOT NULL"""
+
+
+@query(LISTING_AUDIT)
+def match_audit(spark, sf):
+    """Brands, titles and models of the lists above meet in all combinations."""
+    return M.audit_listings(_audited(spark, sf))
+
+
+@query(PRICE_AUDIT)
 def price_audit(spark, sf):
     return M.audit_prices(_audited(spark, sf), F.lit("2025-01-02T00:00:00").cast("timestamp_ntz"))
 
 
+@query(f"SELECT code, severity, count(*) AS n, count(*) FILTER (corrected) AS corrected FROM (({LISTING_AUDIT}) UNION ALL ({PRICE_AUDIT})) GROUP BY code, severity")
+def audit_counts(spark, sf):
+    return M.audit_counts(match_audit(spark, sf), price_audit(spark, sf))
+
+
 PAGES = [
     "<p>CODIGO: PADELMANIA10 -10%</p>", "-16%15% EXTRA COD: SUM15", '<div data-title="CUPON 20% EXTRA HOT20">x</div>', "5% extra con SUMMER5 y mas", "Suscribete a la newsletter y usa el codigo HOLA10 10%", "codigo PALAS 10%",
     "no acumulable con otras ofertas: 33%", "codigo hola10 10%", "cupon: ABC99 60%", "<script>codigo: HIDE10 10%</script> nada", "codigo 10% dto VERANO10", "oferta 15% de descuento con VERANO15. fin",

@@ -7,13 +7,16 @@ url the first page's is kept. Prices are decimals.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealforge.functions import text as X
 from dealforge.operators.pricing import first_by
+from dealforge.sources.markup import Element, parse
 
 FLOOR = 30
 MONEY = "decimal(12,2)"
@@ -112,19 +115,47 @@ def _text(html: Column) -> Column:
     return X.html_decode(F.trim(F.regexp_replace(F.regexp_replace(html, r"(?s)<[^>]*>", " "), r"\s+", " ")))
 
 
-def card_offers(pages: DataFrame, mark: str = r'class="[^"]*product-miniature', html: Column | None = None, floor: float = FLOOR) -> DataFrame:
-    """Cards with a title link, a price, perhaps an old price, an image and flags of their stock."""
-    b = F.col("block")
-    link = r'(?s)class="[^"]*product-title[^"]*"[^>]*>\s*<a\b([^>]*)>(.*?)</a>'
-    attrs = F.regexp_extract(b, link, 1)
-    title = _first(X.html_decode(F.regexp_extract(attrs, r'\btitle="([^"]*)"', 1)), _text(F.regexp_extract(b, link, 2)))
-    url = _group(attrs, r'\bhref="(http[^"]+)"')
-    price = X.parse_price(_group(b, r'(?s)(?:itemprop="price"|class="price"|class="product-price")[^>]*>(.*?)<')).cast(MONEY)
-    old = X.parse_price(_group(b, r'(?s)(?:class="(?:regular-price|old-price|product-price-old)"|<del)[^>]*>(.*?)<')).cast(MONEY)
-    image = F.regexp_replace(_first(F.regexp_extract(b, r'<img\b[^>]*\bdata-src="([^"]+)"', 1), F.regexp_extract(b, r'<img\b[^>]*?\bsrc="([^"]+)"', 1)), r"\?.*$", "")
-    flags = F.array_join(F.regexp_extract_all(b, F.lit(r'(?s)class="([^"]*(?:product-flag|flag-product|availability|out-of-stock)[^"]*"[^>]*>[^<]*)<'), F.lit(1)), " ")
-    rows = blocks(pages, mark, html).select("store", "page", "pos", title.alias("title"), price.alias("price"), old.alias("list_price"), url.alias("url"), F.when(~image.startswith("data:"), image).alias("image"), F.lit(None).cast("string").alias("sku"), (~flags.rlike(SOLD_OUT)).alias("available"))
-    return _offers(rows, floor)
+# Where a card has what. The first element in the page's order counts.
+CARD = ".js-product-miniature, article.product-miniature, .product-miniature"
+CARD_TITLE = "h2.product-title a, h3.product-title a, .product-title a"
+CARD_PRICE = '[itemprop="price"], span.price, .product-price, .price'
+CARD_OLD = ".regular-price, .old-price, .product-price-old, del"
+CARD_FLAGS = ".product-flag, .flag-product, .product-availability, .availability"
+CARD_GONE = ("fuera", "agotado", "out-of-stock")
+CARD_ROW = "store string, page bigint, pos bigint, title string, price_text string, old_text string, url string, image string, available boolean"
+
+
+def _card(card: Element) -> tuple:
+    """title, price and old price as texts, url, image, available; a title link is in the product's title, else the first with a title and no class."""
+    link = card.first(CARD_TITLE) or next((a for a in card.find("a[title]") if not a.attrs.get("class")), None)
+    text = lambda selector: e.text() if (e := card.first(selector)) else None
+    picture = card.first("img")
+    image = (picture.attrs.get("data-src") or picture.attrs.get("src") or "") if picture else ""
+    flags = " ".join(e.text() for e in card.find(CARD_FLAGS)).lower()
+    gone = any(w in flags for w in CARD_GONE) or "out-of-stock" in card.attrs.get("class", "").lower() or card.first('[class*="out-of-stock"]') is not None
+    title = (link.attrs.get("title") or link.text()).strip() if link else None
+    url = link.attrs.get("href", "") if link else ""
+    return title or None, text(CARD_PRICE), text(CARD_OLD), url if url.startswith("http") else None, None if image.startswith("data:") else image.split("?")[0] or None, not gone
+
+
+def card_offers(pages: DataFrame, cards: str = CARD, floor: float = FLOOR) -> DataFrame:
+    """Cards with a title link, a price, perhaps an old price, an image and flags of their stock, read as elements (markup.py).
+
+    A card within a card is none of its own. Cards without a title, a link to a page or a price are left out.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for store, page, body in zip(*(c.to_pylist() for c in batch.columns)):
+                found = parse(body).find(cards)
+                inside = {id(x) for e in found for x in e.walk()}
+                rows = [(store, page, n, *_card(e)) for n, e in enumerate(e for e in found if id(e) not in inside)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.bool_()])], names=["store", "page", "pos", "title", "price_text", "old_text", "url", "image", "available"])
+
+    kind = dict(pages.dtypes)
+    rows = pages.select(F.col("store").cast("string"), F.col("page").cast("bigint"), "body").mapInArrow(read, CARD_ROW)
+    price = lambda c: X.parse_price(_group(F.col(c), r"([0-9.]+,[0-9]{2})")).cast(MONEY)
+    return _offers(rows.select(F.col("store").cast(kind["store"]), "page", "pos", "title", price("price_text").alias("price"), price("old_text").alias("list_price"), "url", "image", F.lit(None).cast("string").alias("sku"), "available"), floor)
 
 
 def facet_offers(pages: DataFrame, low: float = 20, high: float = 2000) -> DataFrame:
@@ -185,12 +216,17 @@ def page_coupon(html: Column, now: datetime) -> Column:
     return F.when(cart.isNotNull(), F.struct(cart.alias("pct"), code.alias("code"))).when(pct.isNotNull() & ~late, F.struct(pct.alias("pct"), F.lit("CUPON_PRODUCTO").alias("code")))
 
 
+# Fixed value: what the service puts behind a product's name.
+HIT_TAIL = r"(?i)\s+Padel\s*-\s*.+$"
+
+
 def hit_offers(pages: DataFrame, details: DataFrame, category: int, now: datetime, excluded: str, floor: float = FLOOR) -> DataFrame:
-    """Products of a search service in a category, each with the coupon of its own page (details: url, body)."""
+    """Products of a search service in a category, each with the coupon of its own page (details: url, body). The tail of a name goes."""
     kind = "struct<name:string,url:string,image:string,price:double,list_price:double,categories:array<int>>"
     rows = pages.select("store", "page", F.posexplode(F.from_json("body", f"products array<{kind}>")["products"]).alias("pos", "p"))
     rows = rows.filter(F.array_contains("p.categories", category) & ~F.lower("p.name").rlike(excluded))
-    rows = rows.select("store", "page", "pos", F.col("p.name").alias("title"), F.col("p.price").cast(MONEY).alias("price"), F.col("p.list_price").cast(MONEY).alias("list_price"), F.col("p.url").alias("url"), F.col("p.image").alias("image"), F.lit(None).cast("string").alias("sku"), F.lit(True).alias("available"))
+    title = F.trim(F.regexp_replace("p.name", HIT_TAIL, ""))
+    rows = rows.select("store", "page", "pos", title.alias("title"), F.col("p.price").cast(MONEY).alias("price"), F.col("p.list_price").cast(MONEY).alias("list_price"), F.col("p.url").alias("url"), F.col("p.image").alias("image"), F.lit(None).cast("string").alias("sku"), F.lit(True).alias("available"))
     coupons = details.select("url", page_coupon(F.col("body"), now).alias("c")).filter("c is not null").groupBy("url").agg(F.max("c").alias("c"))
     return _offers(rows, floor).join(coupons, "url", "left").select("store", "title", "price", "list_price", "url", "image", "sku", "available", F.col("c.pct").alias("coupon_pct"), F.col("c.code").alias("coupon"))
 
