@@ -17,11 +17,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, materialise, quoted
+from .common import checkpointed, fresh, materialise, quoted
 from .textkernel import chunks
 
 FILTER_BITS = 1 << 24  # 2 MB, whatever the input
 MEMO_BYTES = 1 << 25  # texts that a task keeps to compare copies with
+HOT_SHARE = 1000  # a group with more than one in so many rows of groups is broadcast
 MAX_COLLISIONS = 10_000  # hashes that different texts share, kept by every task
 
 
@@ -122,10 +123,24 @@ def collisions(docs: DataFrame, text_col: str = "text", wide: Callable[[bytes],
 
 
 def with_groups(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """prints with group_id, the least id of an equal fingerprint, and group_size. Only rows of groups of two
-    and more are joined."""
-    groups = prints.groupBy("fingerprint").agg(F.min(id_col).alias("group_id"), F.count("*").alias("group_size"))
-    return prints.join(groups, "fingerprint").select(*map(quoted, prints.columns), "group_id", "group_size")
+    """prints with group_id, the least id of an equal fingerprint, and group_size.
+
+    Only groups of two and more are tables to join. Those with over a thousandth of all such rows, a thousand at
+    most, are broadcast, so that a large group stays dealt as it is; the others are joined by their fingerprint, which a
+    row of a large group has a stand-in for.
+    """
+    groups = prints.groupBy("fingerprint").agg(F.min(id_col).alias("group_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+    own, key, known, large_id, large_size, small_id, small_size = fresh(prints, "own", "key", "known", "large_id", "large_size", "small_id", "small_size")
+    groups = checkpointed(groups)
+    copies = groups.agg(F.sum("group_size")).first()[0] or 0
+    large = groups.filter(F.col("group_size") * HOT_SHARE > copies).select(F.col("fingerprint").alias(own), F.col("group_id").alias(large_id), F.col("group_size").alias(large_size))
+    small = groups.filter(F.col("group_size") * HOT_SHARE <= copies).select(F.col("fingerprint").alias(known), F.col("group_id").alias(small_id), F.col("group_size").alias(small_size))
+    marked = prints.join(F.broadcast(large), F.col("fingerprint") == F.col(own), "left")  # HOT_SHARE rows
+    marked = marked.withColumn(key, F.when(F.col(large_size).isNull(), F.col("fingerprint")).otherwise(F.concat(F.lit("#"), F.xxhash64(id_col))))
+    out = marked.join(small, F.col(key) == F.col(known), "left")
+    size = F.coalesce(large_size, small_size, F.lit(1).cast("bigint"))
+    least = F.when(F.col(large_size).isNotNull(), F.col(large_id)).when(F.col(small_size).isNotNull(), F.col(small_id)).otherwise(F.col(id_col))
+    return out.select(*map(quoted, prints.columns), least.alias("group_id"), size.alias("group_size"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wide: Callable[[bytes], str] = wide_hash) -> DataFrame:

@@ -98,13 +98,21 @@ def train(labelled: DataFrame) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, fold, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """(id, text, label) of labelled rows where `fold` holds, thinned by hash of id to about MAX_SAMPLE."""
+    """(id, text, label) of labelled rows where `fold` holds: about MAX_SAMPLE, and twice that at most.
+
+    Labels are thinned by a hash of the id, so that few ids are broadcast. Where ids repeat in docs, the rows are thinned
+    again, by a hash of id and text, and rows equal in both are cut in the order of that hash.
+    """
     known = labels.filter(fold & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-    share = min(1.0, MAX_SAMPLE / max(1, known.count()))
+    share = min(1.0, MAX_SAMPLE / max(1, known.select("id").distinct().count()))
     chosen = known.filter(F.pmod(F.xxhash64("id", F.lit(23)), F.lit(1_000_003)) < share * 1_000_003)
-    chosen = chosen.groupBy("id").agg(F.max("label").alias("label"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(chosen), "id")  # bounded by MAX_SAMPLE
+    chosen = F.broadcast(chosen.groupBy("id").agg(F.max("label").alias("label")))  # about MAX_SAMPLE ids
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    n = docs.select(F.col(id_col).alias("id")).join(chosen, "id").count()  # reads ids only
+    if n <= 2 * MAX_SAMPLE:
+        return rows
+    place = F.xxhash64("id", "text", F.lit(29))
+    return rows.filter(F.pmod(place, F.lit(1_000_003)) < MAX_SAMPLE / n * 1_000_003).orderBy(place, "id", "text").limit(2 * MAX_SAMPLE)
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
