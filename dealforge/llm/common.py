@@ -74,6 +74,23 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Plans made inside drop their shuffle files as soon as they have run, not when the driver collects garbage.
+
+    For steps that write a table, checkpoint or collect: nothing reads their shuffles again. A frame
+    that is handed out to be run more than once is made outside; inside, a second run of the same
+    frame would be right, but would make its shuffles anew.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fresh(docs: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores before it until no column of docs is called so (case aside)."""
     taken = {c.lower() for c in docs.columns}
@@ -93,6 +110,22 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Steps:
+    """Tables between the steps of one run, in the shared folder, each dropped when its last reader is done."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def keep(self, what: str, df: DataFrame) -> DataFrame:
+        self.paths[what] = path = shared_path(self.spark, what)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for what in names:
+            remove(self.spark, self.paths.pop(what))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, materialise
+from .common import Steps, materialise, shuffles_dropped
 from .components import components
 from .textkernel import buffers, chunks, mix, run_hashes, shingle_sets
 
@@ -313,19 +313,9 @@ def _rarest_lists(sets: DataFrame) -> DataFrame:
     return ranked.filter(F.col("place") <= F.col("n") + 1 - F.ceil(NUMERATOR * F.col("n") / DENOMINATOR)).select("h", "id", "n", "most", "place", "before")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, n_shingles, component_id.
-
-    A null text, or one without words, has no shingles and is linked with nothing; its component
-    is its own id. Rows that repeat an id are one node of the graph with several texts. A row
-    without an id takes the component of the ids with an equal set, else null. Other columns are
-    left out; an empty table gives no rows.
-    """
-    picked = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    seen = materialise(picked.mapInArrow(_signatures, "id bigint, n bigint, d1 bigint, d2 bigint, h bigint"), "signatures")
-    rows = seen.filter("h is null").drop("h")
-    classes = materialise(rows.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "classes")
-
+def _class_components(picked: DataFrame, seen: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, component) of the classes that link with another, by their least ids; a written table."""
+    steps = Steps(picked.sparkSession)
     # Bounds: MAX_LIGHT rows; at most total / threshold <= MAX_FREQUENT shingles.
     histogram = {r[0]: r[1] for r in classes.filter(F.col("n") <= MAX_LIGHT * DENOMINATOR // NUMERATOR + 1).groupBy("n").count().collect()}
     boundary = boundary_by_cost(histogram)
@@ -341,7 +331,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # A light set that is not listed has no prefix and links with light ones only.
     prefix = [F.coalesce(F.max("end"), F.lit(0)).alias("end"), F.max("grid").alias("grid")]
     listed = lists.join(reps, "d2").groupBy("d2", "id", "n").agg(F.collect_set("h").alias("hs"), *prefix).filter(F.size("hs") > 0)
-    listed = checkpointed(listed.drop("d2"))
+    listed = steps.keep("listed", listed.drop("d2"))
     lists = listed.select("id", "n", "end", "grid", F.size("hs").alias("shared"), F.explode("hs").alias("h"))
 
     # Each list to the member that may overlap most of itself.
@@ -349,15 +339,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hubs = lists.groupBy("h").agg(F.min(F.struct(-most / F.col("n"), "id", "n", "end", "grid", "shared")).alias("hub")).select("h", *[F.col(f"hub.{c}").alias(f"{c}_u") for c in ("id", "n", "end", "grid", "shared")])
     enough = _least_shared(_side(), _side(suffix="_u"), boundary) <= F.least("shared", "shared_u")
     stars = lists.join(hubs, "h").filter((F.col("id") != F.col("id_u")) & enough).select(F.col("id_u").alias("u"), F.col("id").alias("v")).distinct()
-    likely = checkpointed(_likely(stars, listed, boundary))
-    links = checkpointed(_verified(likely, _sets_of(picked, _ids(likely))))
-    parts = checkpointed(components(links))
+    likely = steps.keep("likely", _likely(stars, listed, boundary))
+    links = steps.keep("links", _verified(likely, _sets_of(picked, _ids(likely))))
+    steps.drop("likely")
+    parts = components(links)
 
     # Then members of different components, in lists that have them.
     labelled = listed.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     labelled = labelled.select("id", "n", "end", "grid", "component", F.size("hs").alias("shared"), F.explode("hs").alias("h"))
     open_lists = labelled.groupBy("h").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("h")
-    rest = checkpointed(labelled.join(open_lists, "h", "left_semi"))
+    rest = steps.keep("open", labelled.join(open_lists, "h", "left_semi"))
 
     def meet(how: str) -> DataFrame:
         a, b = rest.alias("a"), rest.alias("b")
@@ -372,14 +363,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return a.join(b, (F.col("a.h") == F.col("b.h")) & order & (F.col("a.component") != F.col("b.component")) & fits, how)
 
     # Sets that have a partner left are few: over these the lists are made anew from whole sets.
-    active = checkpointed(meet("left_semi").select("a.id").distinct())
-    sets = checkpointed(_sets_of(picked, active))
-    rest = checkpointed(_rarest_lists(sets).join(rest.select("id", "component").distinct(), "id"))
+    active = steps.keep("active", meet("left_semi").select("a.id").distinct())
+    sets = steps.keep("sets", _sets_of(picked, active))
+    rest = steps.keep("rest", _rarest_lists(sets).join(rest.select("id", "component").distinct(), "id"))
+    steps.drop("open", "active")
     pairs = meet("inner").select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
-    more = _verified(checkpointed(_likely(pairs, listed, boundary)), sets)
-    final = components(links.unionByName(more)).select(F.col("node").alias("rep"), "component")
+    more = _verified(steps.keep("likely", _likely(pairs, listed, boundary)), sets)
+    steps.drop("rest", "listed")
+    final = components(links.unionByName(more))
+    steps.drop("links", "sets", "likely")
+    return final
 
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: id, n_shingles, component_id.
+
+    A null text, or one without words, has no shingles and is linked with nothing; its component
+    is its own id. Rows that repeat an id are one node of the graph with several texts. A row
+    without an id takes the component of the ids with an equal set, else null. Other columns are
+    left out; an empty table gives no rows.
+    """
+    picked = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    with shuffles_dropped(docs.sparkSession):
+        seen = materialise(picked.mapInArrow(_signatures, "id bigint, n bigint, d1 bigint, d2 bigint, h bigint"), "signatures")
+        rows = seen.filter("h is null").drop("h")
+        classes = materialise(rows.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "classes")
+        final = _class_components(picked, seen, classes)
+    final = final.select(F.col("node").alias("rep"), "component")
     named = classes.join(final, "rep", "left").select("d1", "d2", F.col("n").alias("size"), F.coalesce("component", "rep").alias("component"))
     out = rows.join(named, (rows.d1 == named.d1) & (rows.d2 == named.d2) & (rows.n == named.size), "left")
-    out = out.select(F.col("id").cast(dict(docs.dtypes)[id_col]).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    return out
+    return out.select(F.col("id").cast(dict(docs.dtypes)[id_col]).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
