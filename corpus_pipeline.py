@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealforge.llm import decontaminate, jaccard, language, lines, packing
-from dealforge.llm.common import fresh, materialise, quoted, read, remove, shared_path, small_batches
+from dealforge.llm.common import fresh, materialise, quoted, read, remove, shared_path, shuffles_dropped, small_batches
 from dealforge.llm.queries import PACK_MODEL, vocabulary
 
 
@@ -80,7 +80,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_path(spark, f"pipeline-{name}")
-        with small_batches(spark):
+        with small_batches(spark), shuffles_dropped(spark):
             stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
         if before:
