@@ -43,3 +43,19 @@ def test_scores_against_exact_counts(spark, monkeypatch):
         s = line(texts[r.page_id])
         want = sum(math.log(p(1, s, at)) - math.log(p(0, s, at)) for at in range(4, len(s))) / (len(s) - 4)
         assert r.url_score == pytest.approx(want, abs=1e-9)
+
+
+def test_threshold_has_the_least_balanced_error(spark):
+    rng = random.Random(5)
+    rows = [(True, rng.gauss(0.6, 0.8)) for _ in range(150)] + [(False, rng.gauss(-0.7, 0.8)) for _ in range(40)]
+
+    def wrong(t):
+        sides = [[s for a, s in rows if a == kind] for kind in (True, False)]
+        return sum(s < t for s in sides[0]) / len(sides[0]) + sum(s >= t for s in sides[1]) / len(sides[1])
+
+    got = urls.threshold_of(spark.createDataFrame(rows, "accepted boolean, url_score double"))
+    assert wrong(got) == pytest.approx(min(wrong(b / urls.BINS * 8 - 4) for b in range(urls.BINS + 1)))
+
+
+def test_threshold_of_one_side_is_zero(spark):
+    assert urls.threshold_of(spark.createDataFrame([(True, 1.5)], "accepted boolean, url_score double")) == 0.0
