@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealforge.functions import text as X
+from dealforge.operators.groups import looked_up
 
 MAX_WORDS = 4
 
@@ -92,7 +93,7 @@ def stopped(titles: DataFrame, phrases: DataFrame, id_col: str = "title_id") ->
     held = held.select(*[F.col(c).alias("only_" + c) for c in only], "class", "way", "phrase", "place", "nth", "folded", "key")
     right = F.when(F.col("way") == "word", F.col("how").isin("word", "inner")).when(F.col("way") == "inner", F.col("how") == "inner")
     right = right.when(F.col("way") == "prefix", (F.col("how") == "prefix") & (F.startswith("low", "folded") | F.startswith("bare", "folded"))).otherwise((F.col("how") == "part") & F.contains("low", "folded"))
-    met = asked.join(held, "key").filter(right)
+    met = looked_up(asked, held, "key").filter(right)
     for c in only:
         met = met.filter(F.col("only_" + c).isNull() | F.coalesce(F.col("only_" + c) == F.col(c), F.lit(False)))
     return met.groupBy(id_col).agg(F.min(F.struct("place", "nth", "class", "phrase")).alias("s")).select(id_col, "s.class", "s.phrase")
