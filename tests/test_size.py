@@ -38,3 +38,13 @@ def test_a_long_dictionary_is_dealt(spark, stored):
     long, short = G.looked_up(rows, words, "w", most=3), G.looked_up(rows, words, "w")
     assert "Broadcast" not in plan(long) and "BroadcastHashJoin" in plan(short)
     assert long.count() == short.count() == 2000
+
+
+def test_catalogue_of_the_word_matcher_is_not_broadcast(stored):
+    """Only the dictionary of brands may be; and copies of a product count as often as they stand in the catalogue."""
+    titles, items = stored
+    out = R.fuzzy_match(titles, items)
+    assert all("[run#" in line for line in plan(out).splitlines() if "BroadcastHashJoin" in line)
+    same = [i for i in range(300) if i % 7 == 1 and i % 3 == 1]
+    row = out.filter("title_id = 1").first()
+    assert (row.method, row.candidates) == ("needs_review", same)
