@@ -48,3 +48,41 @@ def test_catalogue_of_the_word_matcher_is_not_broadcast(stored):
     same = [i for i in range(300) if i % 7 == 1 and i % 3 == 1]
     row = out.filter("title_id = 1").first()
     assert (row.method, row.candidates) == ("needs_review", same)
+
+
+def test_copies_are_met_once(spark):
+    """Answers where each row has many copies, against plain Python over all pairs."""
+    words = ["red hawk", "red owl", "blue hawk fast", "blue owl", "red hawk hawk"]
+    rows = [(i, f"B{i % 2}", words[i % 5]) for i in range(60)]
+    names = spark.createDataFrame(rows, "item_id int, brand string, name string")
+    share = lambda a, b: sum(w in b.split() for w in a.split()) / len(a.split())
+    for least in (0.5, 0.0):
+        near = {(i, j, round(r, 9)) for i, b, a in rows for r, j in sorted(((share(a, o), j) for j, c, o in rows if c == b and j != i and share(a, o) >= least), key=lambda x: (-x[0], x[1]))[:5]}
+        assert {(r.item_id, r.other_id, round(r.ratio, 9)) for r in M.near_names(names, names, ["brand"], least=least).collect()} == near
+    like = lambda a, b: len({*a.split()} & {*b.split()}) / len({*a.split()} | {*b.split()})
+    best = {i: min((-like(a, o), j) for j, c, o in rows if c == b and j != i) for i, b, a in rows}
+    assert {r.broken_id: (-r.score, r.item_id) for r in M.best_by_jaccard(names, names).collect()} == best
+
+
+ITEM = "item_id int, brand string, line string, variant string, model string, year int"
+
+
+def test_copies_of_rows_and_titles_in_the_ladder(spark):
+    """Counted as often as they stand in the catalogue; ids that repeat are weighed together; equal rows of one id count once."""
+    rows = [(n, "B", "L", "v", "bold", y) for n, y in enumerate([2024, 2025, 2025, None, 2026, 2026])]
+    items = spark.createDataFrame(rows + rows[:1], ITEM)
+    asked = [(1, 2025), (2, 2025), (3, None), (4, None), (5, 2024), (6, 2030), (7, 2024), (7, 2025)]
+    found = spark.createDataFrame([(i, "B", "L", "v", "bold", y) for i, y in asked], "offer_id int, brand string, line string, variant string, model string, year int")
+    expected = {1: [1, 2, 3], 2: [1, 2, 3], 3: [4], 4: [4], 5: [0], 6: [3]}
+    got = {}
+    for r in M.attribute_candidates(found, items).collect():
+        got.setdefault(r.offer_id, []).append(r.item_id)
+    assert {i: sorted(j) for i, j in got.items() if i < 7} == expected
+    counts = {r.offer_id: (r.n, r.hit) for r in M.attribute_counts(found, items).collect()}
+    assert {i: c for i, c in counts.items() if i < 7} == {i: (len(j), min(j)) for i, j in expected.items()} and counts[7] == (len({*got[7]}), min(got[7]))
+
+
+def test_pairs_of_kinds_with_copies(spark):
+    rows = [(n, "B", "L", v, m, y) for n, (v, m, y) in enumerate([("v", "bold", 2025), ("v", "bold", 2025), ("v", "bold", None), ("v", "bold", 2024), (None, "bold v", 2025), ("v", "other", 2025)])]
+    got = M.duplicate_pairs(spark.createDataFrame(rows, ITEM), spark.createDataFrame([(1,), (2,)], "item_id int")).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1, "SAFE_DELETE"), (0, 2, "SAFE_DELETE"), (2, 1, "NEEDS_MERGE"), (3, 2, "SAFE_DELETE"), (4, 0, "SAFE_DELETE"), (4, 1, "SAFE_DELETE"), (4, 2, "SAFE_DELETE")]
