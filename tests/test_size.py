@@ -86,3 +86,14 @@ def test_pairs_of_kinds_with_copies(spark):
     rows = [(n, "B", "L", v, m, y) for n, (v, m, y) in enumerate([("v", "bold", 2025), ("v", "bold", 2025), ("v", "bold", None), ("v", "bold", 2024), (None, "bold v", 2025), ("v", "other", 2025)])]
     got = M.duplicate_pairs(spark.createDataFrame(rows, ITEM), spark.createDataFrame([(1,), (2,)], "item_id int")).collect()
     assert sorted(tuple(r) for r in got) == [(0, 1, "SAFE_DELETE"), (0, 2, "SAFE_DELETE"), (2, 1, "NEEDS_MERGE"), (3, 2, "SAFE_DELETE"), (4, 0, "SAFE_DELETE"), (4, 1, "SAFE_DELETE"), (4, 2, "SAFE_DELETE")]
+
+
+def test_under_own_reference_leaves_no_listing_out(spark):
+    """Each fourth listing counts too; with `sure` the operator still asks for a confidence."""
+    from dealforge.operators import ranking
+    from dealforge.plans import relational
+
+    got = relational.under_own_reference(spark, "/root/testdata/sf0.001")
+    assert got.filter("listing_id % 4 = 0").count() > 0
+    rows = spark.createDataFrame([(1, 5.0, 10.0, 0.95), (2, 5.0, 10.0, 1.0), (3, 9.0, 10.0, 1.0)], "listing_id int, price double, reference double, confidence double")
+    assert [r.listing_id for r in ranking.under_reference(rows, 0.65, sure=1.0).collect()] == [2] and ranking.under_reference(rows, 0.65).count() == 2
