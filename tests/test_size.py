@@ -97,3 +97,20 @@ def test_under_own_reference_leaves_no_listing_out(spark):
     assert got.filter("listing_id % 4 = 0").count() > 0
     rows = spark.createDataFrame([(1, 5.0, 10.0, 0.95), (2, 5.0, 10.0, 1.0), (3, 9.0, 10.0, 1.0)], "listing_id int, price double, reference double, confidence double")
     assert [r.listing_id for r in ranking.under_reference(rows, 0.65, sure=1.0).collect()] == [2] and ranking.under_reference(rows, 0.65).count() == 2
+
+
+def test_copies_of_vectors_are_equally_like(spark):
+    """Copies in different chunks tie to the last bit, the least id first; vectors of another length or with nulls are no match."""
+    rows = [(i, 1, [0.1 * (i % 3), 0.7, 0.3, 0.9]) for i in range(150)] + [(200, 1, [1.0, 2.0]), (201, 1, [0.1, None, 0.3, 0.9])]
+    v = spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>")
+    got = {r.query_id: (r.best_id, r.best, r.second) for r in M.two_nearest(v.filter("vec_id % 50 = 0"), v, "label", chunk=7).collect()}
+    assert {q: g[0] for q, g in got.items()} == {0: 3, 50: 2, 100: 1} and all(best == second for _, best, second in got.values())
+
+
+def test_products_of_one_name_are_not_broadcast(stored):
+    """The n of least id of each name are enough for the n closest."""
+    titles, items = stored
+    out = R.closest_names(titles.filter("title_id < 14"), items, n=4)
+    assert all("[run#" in line or "[brand#" in line and "parts" in line for line in plan(out).splitlines() if "BroadcastHashJoin" in line and ", b#" in line)
+    first = [i for i in range(300) if i % 7 == 1 and i % 3 == 1][:4]
+    assert [r.item_id for r in out.filter("title_id = 1").orderBy("place").collect()] == first
