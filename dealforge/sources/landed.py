@@ -248,26 +248,25 @@ def catalogue_rows(pages: DataFrame) -> DataFrame:
 SPEC_NAMES = {"shape": ["forma", "shape", "tipo"], "balance": ["balance", "equilibrio"], "weight": ["peso", "weight", "peso (gr)", "peso gr"], "face": ["cara", "superficie", "material cara", "golpeo"], "core": ["núcleo", "nucleo", "core", "interior", "alma"], "frame": ["marco", "frame", "perfil"]}
 
 
-def spec_map(html: Column) -> Column:
-    """Property to value, from table rows, definition lists and attribute items of a page; the last layout wins."""
+def spec_entries(html: Column) -> Column:
+    """(k, v) of each property, from table rows, definition lists and attribute items of a page, in this order; of equal ones the last counts."""
     cell = r"<t[hd]\b[^>]*>(.*?)</t[hd]>"
     layouts = [rf"(?s)<tr\b[^>]*>\s*{cell}\s*{cell}", r"(?s)<dt\b[^>]*>(.*?)</dt>\s*<dd\b[^>]*>(.*?)</dd>", r'(?s)attributes-item__label"[^>]*>(.*?)</\w+>\s*<[^>]*attributes-item__value"[^>]*>(.*?)</\w+>']
     entries = [F.arrays_zip(F.transform(F.regexp_extract_all(html, F.lit(p), F.lit(1)), lambda k: F.lower(_text(k))).alias("k"), F.transform(F.regexp_extract_all(html, F.lit(p), F.lit(2)), _text).alias("v")) for p in layouts]
-    kept = F.filter(F.concat(*entries), lambda e: (e["k"] != "") & (e["v"] != ""))
-    # Of equal keys the last entry stays.
-    last = F.filter(F.transform(kept, lambda e, i: F.struct(e["k"].alias("k"), e["v"].alias("v"), i.alias("i"))), lambda e: ~F.exists(F.slice(kept, e["i"] + 2, F.size(kept)), lambda o: o["k"] == e["k"]))
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
+    return F.filter(F.concat(*entries), lambda e: (e["k"] != "") & (e["v"] != ""))
 
 
 def spec_fields(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and shape, balance, low and high weight, face, core and frame of a product page."""
-    rows = pages.withColumn("_m", spec_map(F.col("body")))
-    get = lambda name: F.coalesce(*[F.when(F.try_element_at("_m", F.lit(k)) != "-", F.try_element_at("_m", F.lit(k))) for k in SPEC_NAMES[name]])
+    """keys and shape, balance, low and high weight, face, core and frame of a product page. Each page is searched once, its values then read from a column."""
+    rows = pages.select(*keys, spec_entries(F.col("body")).alias("_e"))
+    last = lambda k: F.try_element_at(F.filter("_e", lambda e: e["k"] == k), F.lit(-1))["v"]
+    names = {n: F.coalesce(*[F.when(last(k) != "-", last(k)) for k in ks]).alias(n) for n, ks in SPEC_NAMES.items()}
+    rows = rows.select(*keys, *names.values())
     named = lambda c, pairs: _chain(F.lower(c), pairs).otherwise(c)
-    shape = named(get("shape"), [("redond", "Redonda"), ("lagrim", "Lágrima"), ("diam", "Diamante")])
-    balance = named(get("balance"), [("alto", "Alto"), ("medio", "Medio"), ("bajo", "Bajo")])
-    low, high = X.weight_range(get("weight"), 281, 449)
-    return rows.select(*keys, shape.alias("shape"), balance.alias("balance"), low.alias("low_weight"), high.alias("high_weight"), get("face").alias("face"), get("core").alias("core"), get("frame").alias("frame"))
+    shape = named(F.col("shape"), [("redond", "Redonda"), ("lagrim", "Lágrima"), ("diam", "Diamante")])
+    balance = named(F.col("balance"), [("alto", "Alto"), ("medio", "Medio"), ("bajo", "Bajo")])
+    low, high = X.weight_range(F.col("weight"), 281, 449)
+    return rows.select(*keys, shape.alias("shape"), balance.alias("balance"), low.alias("low_weight"), high.alias("high_weight"), F.col("face").alias("face"), F.col("core").alias("core"), F.col("frame").alias("frame"))
 
 
 def _chain(low: Column, pairs: list[tuple[str, str]]) -> Column:

@@ -114,3 +114,13 @@ def test_products_of_one_name_are_not_broadcast(stored):
     assert all("[run#" in line or "[brand#" in line and "parts" in line for line in plan(out).splitlines() if "BroadcastHashJoin" in line and ", b#" in line)
     first = [i for i in range(300) if i % 7 == 1 and i % 3 == 1][:4]
     assert [r.item_id for r in out.filter("title_id = 1").orderBy("place").collect()] == first
+
+
+def test_spec_pages_are_searched_once(spark, stored):
+    from dealforge.sources import landed as L
+
+    page = "<dl><dt>Peso</dt><dd>-</dd><dt>Forma</dt><dd>x</dd><dt>forma</dt><dd>Redonda</dd><dt>Cara</dt><dd>a</dd><dt>Cara</dt><dd>-</dd></dl>"
+    got = L.spec_fields(stored[0].selectExpr("title_id", f"concat('{page}', title) as body"), ["title_id"])
+    assert plan(got).count("regexp_extract_all(concat(") + plan(got).count("regexp_extract_all(body") <= 6
+    row = got.first()
+    assert (row["shape"], row.face, row.low_weight) == ("Redonda", None, None)
