@@ -64,6 +64,21 @@ def test_copies_are_met_once(spark):
     assert {r.broken_id: (-r.score, r.item_id) for r in M.best_by_jaccard(names, names).collect()} == best
 
 
+def test_near_candidates_asks_for_every_row(spark):
+    """Not only for each fiftieth id: the query against plain Python over all pairs."""
+    from dealforge.plans import more
+    from dealforge.sources.tables import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.item_id, r.brand, r.name.split(" ")) for r in catalogue(spark, sf).collect()]
+    near = set()
+    for i, b, t in rows:
+        shares = ((sum(w in o for w in t) / len(t), j) for j, c, o in rows if c == b and j != i)
+        near |= {(i, j, r) for r, j in sorted((x for x in shares if x[0] >= 0.5), key=lambda x: (-x[0], x[1]))[:5]}
+    got = {tuple(r) for r in more.near_candidates(spark, sf).collect()}
+    assert got == near and any(i % 50 for i, _, _ in got)
+
+
 ITEM = "item_id int, brand string, line string, variant string, model string, year int"
 
 
