@@ -79,6 +79,37 @@ def test_near_candidates_asks_for_every_row(spark):
     assert got == near and any(i % 50 for i, _, _ in got)
 
 
+def test_near_names_of_any_length(spark):
+    """Short and long names, words that repeat, rows without an id: against plain Python over all pairs."""
+    import random
+
+    deal = random.Random(4)
+    rows = [(i, f"B{i % 2}", " ".join(deal.choices("abcdefghi", k=deal.randint(1, 9)))) for i in range(150)]
+    names = spark.createDataFrame(rows + [(None, "B0", name) for _, _, name in rows[:20] * 6], "item_id int, brand string, name string")
+    share = lambda a, b: sum(w in b.split() for w in a.split()) / len(a.split())
+    for least, n in ((0.5, 5), (0.3, 2), (1.0, 3)):
+        near = {(i, j, round(r, 9)) for i, b, a in rows for r, j in sorted(((share(a, o), j) for j, c, o in rows if c == b and j != i and share(a, o) >= least), key=lambda x: (-x[0], x[1]))[:n]}
+        got = [(r.item_id, r.other_id, round(r.ratio, 9)) for r in M.near_names(names, names, ["brand"], least=least, n=n).collect()]
+        assert set(got) == near and len(got) == len(near)
+
+
+def test_names_that_share_a_word_are_not_paired(spark):
+    """2,000 names that differ in one of two words: no join makes pairs of all of them."""
+    names = spark.range(2000).selectExpr("id as item_id", "'B' as brand", "concat('red x', id) as name")
+    out = M.near_names(names, names, ["brand"])
+    assert out.filter("item_id = 7").count() == 5
+    out.collect()
+    todo, most = [out._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        name = p.nodeName()
+        below = [p.executedPlan()] if name == "AdaptiveSparkPlan" else [p.plan()] if "QueryStage" in name else [p.children().apply(i) for i in range(p.children().size())]
+        todo += below
+        if "Join" in name:
+            most = max(most, p.metrics().apply("numOutputRows").value())
+    assert 2000 <= most <= 50000
+
+
 ITEM = "item_id int, brand string, line string, variant string, model string, year int"
 
 
